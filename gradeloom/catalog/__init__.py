@@ -3,7 +3,7 @@
 
 def all_queries():
     """(queries, oracles), both keyed by query name."""
-    from gradeloom.catalog import expressions  # noqa: F401
+    from gradeloom.catalog import aggregates, expressions, io, models, streams  # noqa: F401
     from gradeloom.catalog.registry import ORACLES, QUERIES
 
     return QUERIES, ORACLES

@@ -21,6 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores when a table is too small to be read in that many splits.
+
+    A table of cluster size has more splits than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def questions_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     base = F.array(
@@ -31,7 +40,7 @@ def questions_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     more = F.concat(base, F.array(F.lit("extra 5"), F.lit("extra 6"), F.lit("extra 7")))
     names = F.array(*[F.lit(s) for s in SUBJECT_NAMES])
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars"), "doc_id").select(
         d.alias("question_id"),
         F.col("text").alias("question"),
         F.get(names, (d % N_SUBJECTS).cast("int")).alias("subject"),

@@ -58,12 +58,12 @@ def report_lines(responses: DataFrame, predictions: DataFrame) -> DataFrame:
                c("tokens_100_300"), c("tokens_ge_300"))),
         _lines(header, 2, 1, F.format_string("questions %d, providers %d, strategies %d, calls %d", c("questions"),
                c("providers"), c("strategies"), c("total_calls"))),
-        _lines(accuracy, 3, 1, F.format_string("%s / %s: %.1f%% of predictions match (%d)", c("provider"), c("strategy"),
+        _lines(accuracy, 3, 1, F.format_string("%s / %s: %.2f%% of predictions match (%d)", c("provider"), c("strategy"),
                c("accuracy_pct"), c("matches"))),
-        _lines(agreement, 3, 2, F.format_string("%s: routers agree on %.1f%%", c("provider"), c("agreement_pct"))),
-        _lines(savings, 4, 1, F.format_string("%s / %s: %s tokens (avg %d), saves %s (%.1f%%)", c("provider"), c("strategy"),
+        _lines(agreement, 3, 2, F.format_string("%s: routers agree on %.2f%%", c("provider"), c("agreement_pct"))),
+        _lines(savings, 4, 1, F.format_string("%s / %s: %s tokens (avg %d), saves %s (%.2f%%)", c("provider"), c("strategy"),
                _number(c("total_tokens")), c("avg_tokens"), _number(c("savings")), c("savings_pct"))),
-        _lines(success, 5, 1, F.format_string("%s / %s: %d/%d (%.1f%%)", c("provider"), c("strategy"), c("succeeded"),
+        _lines(success, 5, 1, F.format_string("%s / %s: %d/%d (%.2f%%)", c("provider"), c("strategy"), c("succeeded"),
                c("total"), c("success_rate_pct"))),
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)
