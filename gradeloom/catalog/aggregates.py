@@ -81,15 +81,14 @@ merged AS (SELECT s.question_id, count(f.question_id) AS answered, count(*) FILT
  FROM spine s LEFT JOIN firsts f USING (question_id) GROUP BY s.question_id) """
 
 
-def _merged(spark, sf):
+def _outcomes(spark, sf):
     total = data.table(spark, sf, "documents").agg(F.max("doc_id") + 1).first()[0]
-    firsts = merge.first_response(data.responses(spark, sf), "position")
-    return merge.on_spine(merge.merge_questions(firsts, fv.PROVIDERS), total)
+    return merge.on_spine(merge.question_outcomes(data.responses(spark, sf), fv.PROVIDERS, "position"), total)
 
 
 @query("jon_07_question_spine", o.over(_FIRSTS + "SELECT question_id, succeeded, failed, succeeded = 0 AS all_failed, succeeded > 0 AND failed > 0 AS partial_failure FROM merged"))
 def _(spark, sf):
-    return _merged(spark, sf).select("question_id", "succeeded", "failed", "all_failed", "partial_failure")
+    return _outcomes(spark, sf).select("question_id", "succeeded", "failed", "all_failed", "partial_failure")
 
 
 @query("jon_08_compare_question", o.over("""SELECT question_id, CASE provider WHEN 'claude' THEN 1 WHEN 'openai' THEN 2 END AS provider_no, provider, question, response, success, error
@@ -294,17 +293,18 @@ def _(spark, sf):
 
 @query("agg_20_merge_statistics", o.over(_FIRSTS + "SELECT count(*) AS total_questions, count(*) FILTER (succeeded = 0) AS all_failed, count(*) FILTER (succeeded > 0 AND failed > 0) AS partial_failures FROM merged"))
 def _(spark, sf):
-    return merge.merge_statistics(_merged(spark, sf))
+    return merge.merge_statistics(_outcomes(spark, sf))
 
 
 @query("agg_20_failure_rows", o.over(_FIRSTS + "SELECT question_id, CASE WHEN succeeded = 0 THEN 'all_failed' ELSE 'partial_failure' END AS kind FROM merged WHERE succeeded = 0 OR failed > 0"))
 def _(spark, sf):
-    return merge.failure_rows(_merged(spark, sf))
+    return merge.failure_rows(_outcomes(spark, sf))
 
 
 @query("agg_21_merged_responses", o.over(_FIRSTS + "SELECT m.question_id, m.question, f.provider, f.response, f.success, f.error, f.attempts FROM merged m JOIN firsts f USING (question_id)"))
 def _(spark, sf):
-    merged = _merged(spark, sf)
+    firsts = merge.first_response(data.responses(spark, sf), "position")
+    merged = merge.merge_questions(firsts, fv.PROVIDERS)
     return merged.select("question_id", "question", F.explode("responses").alias("provider", "r")).select("question_id", "question", "provider", "r.*")
 
 

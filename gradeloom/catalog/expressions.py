@@ -271,13 +271,15 @@ def _(spark, sf):
 
 @query("str_02_api_error", o.over_classified(f"SELECT question_id, provider, strategy, {o.api_error('response', 'body')} AS issue FROM stripped"))
 def _(spark, sf):
-    body = tx.stripped(F.col("response"))
-    return data.responses(spark, sf).select("question_id", "provider", "strategy", tx.api_error(F.col("response"), body).alias("issue"))
+    prepared = data.responses(spark, sf).withColumn("head", tx.error_head(F.col("response"))).withColumn("body", tx.stripped(F.col("response")))
+    issue = tx.api_error(F.col("response"), F.col("body"), F.col("head"))
+    return prepared.select("question_id", "provider", "strategy", issue.alias("issue"))
 
 
 @query("str_03_likely_error", o.over(f"SELECT question_id, provider, strategy, coalesce({o.likely_error('response')}, false) AS likely_error FROM responses"))
 def _(spark, sf):
-    return data.responses(spark, sf).select("question_id", "provider", "strategy", tx.likely_error(F.col("response")).alias("likely_error"))
+    lowered = data.responses(spark, sf).withColumn("low", F.lower("response"))
+    return lowered.select("question_id", "provider", "strategy", tx.likely_error(F.col("low")).alias("likely_error"))
 
 
 @query("str_04_blank", o.over_classified("SELECT question_id, provider, strategy, coalesce(body, '') = '' AS blank FROM stripped"))

@@ -23,41 +23,50 @@ def is_blank(text: Column) -> Column:
 def answer_choice(body: Column, lowered: Column) -> Column:
     """Letter A-D named by the text; NULL when no pattern matches.
 
-    ``body`` is the stripped text and ``lowered`` its lower-case form. A pattern is
-    only run when the text holds a substring the pattern cannot match without, so
-    most texts cost a few substring searches and one or two regular expressions.
+    ``body`` is the stripped text and ``lowered`` its lower-case form; make both columns
+    first, they are read many times. A pattern is only run when the text holds a
+    substring the pattern cannot match without, so most texts cost a few substring
+    searches and one or two regular expressions.
     """
     cases = F
     for pattern, needed in fv.ANSWER_PATTERNS:
-        seen = reduce(or_, [F.contains(lowered, F.lit(word)) for word in needed])
-        hit = seen & body.rlike(pattern)
+        hit = _any_of(lowered, needed) & body.rlike(pattern)
         cases = cases.when(hit, F.upper(F.regexp_extract(body, pattern, 1)))
     return cases.otherwise(F.lit(None).cast("string"))
 
 
-def api_error(text: Column, body: Column) -> Column:
-    """Issue name for empty, error-like and suspiciously short texts, else NULL."""
-    head = F.substring(F.lower(F.substring(text, 1, fv.API_ERROR_WINDOW)), 1, fv.API_ERROR_WINDOW)
+def _any_of(text: Column, words: list[str]) -> Column:
+    return reduce(or_, [F.contains(text, F.lit(word)) for word in words])
+
+
+def error_head(text: Column) -> Column:
+    """The part of a text that is searched for API errors."""
+    return F.substring(F.lower(F.substring(text, 1, fv.API_ERROR_WINDOW)), 1, fv.API_ERROR_WINDOW)
+
+
+def api_error(text: Column, body: Column, head: Column) -> Column:
+    """Issue name for empty, error-like and suspiciously short texts, else NULL.
+
+    ``body`` is the stripped text, ``head`` its ``error_head`` as a column.
+    """
     phrases = F.array(*[F.lit(p) for p in fv.API_ERROR_PHRASES])
-    first_phrase = F.get(F.filter(phrases, lambda p: F.contains(head, p)), F.lit(0))
+    first_phrase = F.get(F.filter(phrases, lambda phrase: F.contains(head, phrase)), F.lit(0))
+    # only texts of a few characters are lower-cased again here
     short = (F.length(body) < fv.SHORT_RESPONSE_LENGTH) & ~F.startswith(F.lower(body), F.lit("answer"))
-    return (
-        F.when(F.coalesce(text, F.lit("")) == "", "EMPTY_RESPONSE")
-        .when(head.rlike("|".join(fv.API_ERROR_PHRASES)), F.concat(F.lit("API_ERROR: "), first_phrase))
-        .when(short, "SUSPICIOUSLY_SHORT")
-        .otherwise(F.lit(None).cast("string"))
+    return F.when(F.coalesce(text, F.lit("")) == "", "EMPTY_RESPONSE").otherwise(
+        F.coalesce(F.concat(F.lit("API_ERROR: "), first_phrase), F.when(short, "SUSPICIOUSLY_SHORT"))
     )
 
 
-def likely_error(text: Column) -> Column:
-    """True when the text holds any error or refusal word."""
-    return F.coalesce(F.lower(text).rlike("|".join(fv.LIKELY_ERROR_WORDS)), F.lit(False))
+def likely_error(lowered: Column) -> Column:
+    """True when the lower-cased text holds any error or refusal word."""
+    return F.coalesce(_any_of(lowered, fv.LIKELY_ERROR_WORDS), F.lit(False))
 
 
 def token_estimate(text: Column) -> Column:
     """Words times 1.3, rounded down; 0 for missing text."""
     body = stripped(text)
-    words = F.size(F.split(body, rf"[{fv.WS_CLASS}]+"))
+    words = F.size(F.split(body, rf"(?U)[{fv.WS_CLASS}]+"))
     return F.when(F.coalesce(body, F.lit("")) == "", F.lit(0)).otherwise(
         F.floor(words * F.lit(1.3)).cast("int")
     )

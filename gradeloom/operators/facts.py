@@ -17,20 +17,22 @@ def classify(responses: DataFrame, text: str = "response") -> DataFrame:
     ``answer`` is extracted from every text; ``stage`` tells whether it counts.
     """
     own = responses.columns
-    staged = (
+    prepared = (
         responses.withColumn("_body", tx.stripped(F.col(text)))
         .withColumn("_low", F.lower("_body"))
-        .select(
-            *own,
-            F.when(F.coalesce(F.col("_body"), F.lit("")) == "", "EMPTY_RESPONSE")
-            .otherwise(tx.api_error(F.col(text), F.col("_body")))
-            .alias("issue"),
-            tx.answer_choice(F.col("_body"), F.col("_low")).alias("answer"),
-        )
+        .withColumn("_head", tx.error_head(F.col(text)))
+    )
+    searched = prepared.select(
+        *own,
+        (F.coalesce("_body", F.lit("")) == "").alias("_blank"),
+        tx.api_error(F.col(text), F.col("_body"), F.col("_head")).alias("_issue"),
+        tx.answer_choice(F.col("_body"), F.col("_low")).alias("answer"),
     )
-    return staged.withColumn(
-        "stage",
-        F.when(F.col("issue") == "EMPTY_RESPONSE", "empty").when(F.col("issue").isNotNull(), "error").otherwise("valid"),
+    return searched.select(
+        *own,
+        F.when(F.col("_blank"), "EMPTY_RESPONSE").otherwise(F.col("_issue")).alias("issue"),
+        "answer",
+        F.when(F.col("_blank"), "empty").when(F.col("_issue").isNotNull(), "error").otherwise("valid").alias("stage"),
     )
 
 

@@ -21,40 +21,53 @@ def first_response(responses: DataFrame, position: str) -> DataFrame:
     return responses.groupBy("provider", "question_id").agg(picked.alias("r")).select("provider", "question_id", "r.*")
 
 
+def question_outcomes(responses: DataFrame, providers: list[str], position: str) -> DataFrame:
+    """Per question how many providers' first responses succeeded and failed.
+
+    Only the success flag of the first response is carried, never its text.
+    """
+    flags = (
+        responses.where(F.col("provider").isin(providers))
+        .groupBy("question_id", "provider")
+        .agg(F.min_by(F.coalesce("success", F.lit(False)), position).alias("ok"))
+    )
+    return flags.groupBy("question_id").agg(F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"))
+
+
+def on_spine(outcomes: DataFrame, total_questions: int) -> DataFrame:
+    """All question numbers below ``total_questions``; those without a response are all-failed."""
+    spine = outcomes.sparkSession.range(total_questions).withColumnRenamed("id", "question_id")
+    return (
+        spine.join(outcomes, "question_id", "left")
+        .na.fill(0, ["succeeded", "failed"])
+        .withColumn("all_failed", F.col("succeeded") == 0)
+        .withColumn("partial_failure", (F.col("succeeded") > 0) & (F.col("failed") > 0))
+    )
+
+
 def merge_questions(firsts: DataFrame, providers: list[str]) -> DataFrame:
-    """One row per question: a provider -> response map and failure flags.
+    """One row per question: its text and a provider -> response map.
 
     ``firsts`` holds at most one row per (provider, question), so the collected list has
-    at most ``len(providers)`` entries.
+    at most ``len(providers)`` entries. The text comes from the first listed provider that has it.
     """
     rank = F.array_position(F.array(*[F.lit(p) for p in providers]), F.col("provider"))
     entry = F.struct(
-        F.col("provider").alias("key"), F.struct("response", "success", "error", "attempts").alias("value")
+        rank.alias("rank"),
+        F.col("provider").alias("key"),
+        F.col("question"),
+        F.struct("response", "success", "error", "attempts").alias("value"),
     )
-    ok = F.coalesce(F.col("success"), F.lit(False))
-    return (
+    gathered = (
         firsts.where(F.col("provider").isin(providers))
         .groupBy("question_id")
-        .agg(
-            F.min_by("question", F.when(F.col("question").isNotNull(), rank)).alias("question"),
-            F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("responses"),
-            F.count_if(ok).alias("succeeded"),
-            F.count_if(~ok).alias("failed"),
-        )
+        .agg(F.array_sort(F.collect_list(entry)).alias("e"))
     )
-
-
-def on_spine(merged: DataFrame, total_questions: int) -> DataFrame:
-    """All question numbers below ``total_questions``; those without a response are all-failed."""
-    spine = merged.sparkSession.range(total_questions).withColumnRenamed("id", "question_id")
-    joined = spine.join(merged, "question_id", "left")
-    succeeded = F.coalesce(F.col("succeeded"), F.lit(0))
-    failed = F.coalesce(F.col("failed"), F.lit(0))
-    return (
-        joined.withColumn("succeeded", succeeded)
-        .withColumn("failed", failed)
-        .withColumn("all_failed", F.col("succeeded") == 0)
-        .withColumn("partial_failure", (F.col("succeeded") > 0) & (F.col("failed") > 0))
+    texts = F.filter(F.col("e.question"), lambda text: text.isNotNull())
+    return gathered.select(
+        "question_id",
+        F.get(texts, F.lit(0)).alias("question"),
+        F.map_from_arrays("e.key", "e.value").alias("responses"),
     )
 
 

@@ -94,14 +94,14 @@ def validation_stats(responses: DataFrame, keys: list[str] = GROUP) -> DataFrame
 
 def suspicious_responses(responses: DataFrame, keys: list[str] = GROUP) -> DataFrame:
     """One row per low-token response with previews and the likely-error flag."""
-    return low_token_responses(responses).select(
+    return low_token_responses(responses).withColumn("_low", F.lower("response")).select(
         *keys,
         F.col("question_id").alias("question_idx"),
         F.substring(F.coalesce("question", F.lit("")), 1, 100).alias("question"),
         reported_tokens().alias("output_tokens"),
         F.substring(F.coalesce("response", F.lit("")), 1, 200).alias("response_preview"),
         F.col("response").alias("full_response"),
-        tx.likely_error(F.col("response")).alias("likely_error"),
+        tx.likely_error(F.col("_low")).alias("likely_error"),
         F.coalesce("template", F.lit("unknown")).alias("template_used"),
     )
 
@@ -110,7 +110,8 @@ def likely_error_counts(responses: DataFrame, keys: list[str] = GROUP) -> DataFr
     """Per group: low-token rows and how many of them look like errors."""
     return (
         low_token_responses(responses)
-        .select(*keys, tx.likely_error(F.col("response")).alias("likely_error"))
+        .withColumn("_low", F.lower("response"))
+        .select(*keys, tx.likely_error(F.col("_low")).alias("likely_error"))
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("low_token_responses"), _n(F.col("likely_error")).alias("likely_errors"))
     )

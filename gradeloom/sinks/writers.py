@@ -12,9 +12,18 @@ from gradeloom.operators.merge import provider_totals, upsert_cache
 from gradeloom.operators.prepare import split_summary
 
 
+def rebalanced(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows grouped by partition columns into evenly sized tasks.
+
+    Without this every task writes a small file into every partition; adaptive execution
+    splits large partitions, so a hot one is still written by many tasks.
+    """
+    return rows.hint("rebalance", *[F.col(c) for c in columns])
+
+
 def write_splits(split: DataFrame, path: str, embedding: str | None = "embedding") -> None:
     """Questions partitioned by split, and one metadata row per split."""
-    split.write.mode("overwrite").partitionBy("split").parquet(f"{path}/questions")
+    rebalanced(split, "split").write.mode("overwrite").partitionBy("split").parquet(f"{path}/questions")
     saved = split.sparkSession.read.parquet(f"{path}/questions")
     meta = split_summary(saved, embedding).select(
         "*",
@@ -47,7 +56,8 @@ def write_question_documents(questions: DataFrame, path: str, per_document: int
 def write_results(responses: DataFrame, path: str, num_questions: int, format: str = "parquet") -> None:
     """Run results below num_questions= / provider= / strategy=; reruns replace only their partitions."""
     (
-        responses.withColumn("num_questions", F.lit(num_questions))
+        rebalanced(responses, "provider", "strategy")
+        .withColumn("num_questions", F.lit(num_questions))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("num_questions", "provider", "strategy")
@@ -123,14 +133,14 @@ def write_cache(incoming: DataFrame, path: str, current: DataFrame | None = None
     The new state is written to its own folder; a cache is never overwritten while read.
     """
     state = incoming if current is None else upsert_cache(current, incoming)
-    state.write.mode("overwrite").partitionBy("provider").json(path)
+    rebalanced(state, "provider").write.mode("overwrite").partitionBy("provider").json(path)
 
 
 def write_provider_results(responses: DataFrame, path: str) -> None:
     """Per provider a header row (totals) and the response rows, in two folders."""
     header = provider_totals(responses).withColumn("timestamp", F.current_timestamp().cast("string"))
     header.write.mode("overwrite").partitionBy("provider").json(f"{path}/header")
-    responses.write.mode("overwrite").partitionBy("provider").json(f"{path}/responses")
+    rebalanced(responses, "provider").write.mode("overwrite").partitionBy("provider").json(f"{path}/responses")
 
 
 def write_question_list(questions: DataFrame, path: str) -> None:
