@@ -262,5 +262,5 @@ def _(spark, sf):
     path = scratch_path(spark, "question-list")
     writers.write_question_list(data.questions(spark, sf), path)
     header = spark.read.schema("total_questions bigint, timestamp string").json(f"{path}/header")
-    saved = spark.read.schema("question_id bigint, question string").json(f"{path}/questions").agg(F.count("question_id").alias("saved"))
-    return header.select("total_questions", F.lit(1).alias("one")).join(saved.withColumn("one", F.lit(1)), "one").drop("one")
+    saved = spark.read.schema("question_id bigint, question string").json(f"{path}/questions")
+    return header.select("total_questions", saved.agg(F.count("question_id")).scalar().alias("saved"))

@@ -70,7 +70,7 @@ def stratified_split(
     own = F.struct(seeded_key(F.col(row_id), seed).alias("key"), F.col(row_id).alias("rid"))
     return (
         rows.join(
-            broadcast_if_closed(cuts, "g", strata).withColumnRenamed("g", "_stratum"),
+            broadcast_if_closed(cuts.withColumnRenamed("g", "_stratum"), "_stratum", strata),
             F.col(stratum) == F.col("_stratum"),
             "left",
         )
@@ -105,12 +105,15 @@ def stratified_folds(
         "_bucket", F.substring("_key", 1, hex_digits)
     )
     sized = keyed.groupBy(F.col(label).alias("g"), F.col("_bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    starts = broadcast_if_closed(_bucket_starts(sized, "g").select("g", "bucket", "start"), "g", labels)
+    starts = _bucket_starts(sized, "g").select(
+        F.col("g").alias("_g"), F.col("bucket").alias("_b"), F.col("start").alias("_start")
+    )
+    starts = broadcast_if_closed(starts, "_g", labels)
     in_bucket = Window.partitionBy(label, "_bucket").orderBy("_key", row_id)
     return (
-        keyed.join(starts, (F.col(label) == F.col("g")) & (F.col("_bucket") == F.col("bucket")))
-        .withColumn("fold", ((F.col("start") + F.row_number().over(in_bucket) - 1) % k).cast("int"))
-        .drop("_key", "_bucket", "g", "bucket", "start")
+        keyed.join(starts, (F.col(label) == F.col("_g")) & (F.col("_bucket") == F.col("_b")))
+        .withColumn("fold", ((F.col("_start") + F.row_number().over(in_bucket) - 1) % k).cast("int"))
+        .drop("_key", "_bucket", "_g", "_b", "_start")
     )
 
 
@@ -142,18 +145,23 @@ def running_counts(
     parts = 2**levels
     shares = [i / parts for i in range(1, parts)]
     bounds = pin(
-        sized.groupBy(F.col(group).alias("g")).agg(
-            F.percentile_approx(order, shares, 100 * parts).alias("bounds")
+        sized.groupBy(F.col(group).alias("_g")).agg(
+            F.percentile_approx(order, shares, 100 * parts).alias("_bounds")
         )
     )
-    placed = sized.join(broadcast_if_closed(bounds, "g", groups), F.col(group) == F.col("g")).withColumn(
-        "_bucket", _position(F.col("bounds"), F.col(order), levels)
-    ).drop("g", "bounds")
+    placed = (
+        sized.join(broadcast_if_closed(bounds, "_g", groups), F.col(group) == F.col("_g"))
+        .withColumn("_bucket", _position(F.col("_bounds"), F.col(order), levels))
+        .drop("_g", "_bounds")
+    )
     totals = placed.groupBy(F.col(group).alias("g"), F.col("_bucket").alias("bucket")).agg(F.sum(count).alias("n"))
-    starts = broadcast_if_closed(_bucket_starts(totals, "g").drop("n"), "g", groups)
+    starts = _bucket_starts(totals, "g").select(
+        F.col("g").alias("_g"), F.col("bucket").alias("_b"), F.col("start").alias("_start"), "total"
+    )
+    starts = broadcast_if_closed(starts, "_g", groups)
     inside = Window.partitionBy(group, "_bucket").orderBy(order)
     return (
-        placed.join(starts, (F.col(group) == F.col("g")) & (F.col("_bucket") == F.col("bucket")))
-        .withColumn("running", F.col("start") + F.sum(count).over(inside))
-        .drop("g", "bucket", "start", "_bucket")
+        placed.join(starts, (F.col(group) == F.col("_g")) & (F.col("_bucket") == F.col("_b")))
+        .withColumn("running", F.col("_start") + F.sum(count).over(inside))
+        .drop("_g", "_b", "_start", "_bucket")
     )

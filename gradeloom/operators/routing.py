@@ -22,9 +22,8 @@ def long_predictions(predictions: DataFrame, strategies: list[str] = fv.STRATEGI
 
 
 def _against_predictions(counted: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Attach the number of predictions (one row) as ``n_predictions``."""
-    total = predictions.agg(F.count(F.lit(1)).alias("n_predictions")).withColumn("one", F.lit(1))
-    return counted.withColumn("one", F.lit(1)).join(F.broadcast(total), "one").drop("one")
+    """Attach the number of predictions as ``n_predictions``."""
+    return counted.withColumn("n_predictions", predictions.agg(F.count(F.lit(1))).scalar())
 
 
 def router_accuracy(predictions: DataFrame, responses: DataFrame, routers: list[str] = fv.STRATEGIES[1:]) -> DataFrame:
