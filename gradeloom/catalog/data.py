@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gradeloom import fixed_values as fv
 from gradeloom.operators.prepare import prepare_questions
+from gradeloom.session import computed_once
 
 SUBJECT_NAMES = list(fv.SUBJECT_CATEGORY) + ["unlisted_one", "unlisted_two", "unlisted_three", "unlisted_four"]
 N_SUBJECTS = len(SUBJECT_NAMES)
@@ -31,23 +32,17 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def questions_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = F.col("doc_id")
-    base = F.array(
-        F.concat(F.lit("first "), d.cast("string")),
-        F.concat(F.lit("second "), F.col("n_chars").cast("string")),
-        F.concat(F.lit("third "), F.col("lang")),
-        F.lit("none of these"),
-    )
-    more = F.concat(base, F.array(F.lit("extra 5"), F.lit("extra 6"), F.lit("extra 7")))
-    names = F.array(*[F.lit(s) for s in SUBJECT_NAMES])
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars"), "doc_id").select(
-        d.alias("question_id"),
-        F.col("text").alias("question"),
-        F.get(names, (d % N_SUBJECTS).cast("int")).alias("subject"),
-        F.when(d % 11 == 0, F.array().cast("array<string>")).when(d % 13 == 0, more).otherwise(base).alias("choices"),
-        F.when(d % 17 != 5, d % 4).cast("int").alias("answer"),
-        F.when(d % 3 == 0, "dev").when(d % 3 == 1, "validation").otherwise("test").alias("original_split"),
-        F.col("n_chars"),
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
+    base = "array(concat('first ', doc_id), concat('second ', n_chars), concat('third ', lang), 'none of these')"
+    return spread(documents, "doc_id").selectExpr(
+        "doc_id AS question_id",
+        "text AS question",
+        f"get(split('{' '.join(SUBJECT_NAMES)}', ' '), CAST(doc_id % {N_SUBJECTS} AS INT)) AS subject",
+        f"""CASE WHEN doc_id % 11 = 0 THEN CAST(array() AS array<string>)
+            WHEN doc_id % 13 = 0 THEN concat({base}, array('extra 5', 'extra 6', 'extra 7')) ELSE {base} END AS choices""",
+        "CASE WHEN doc_id % 17 <> 5 THEN CAST(doc_id % 4 AS INT) END AS answer",
+        "get(array('dev', 'validation', 'test'), CAST(doc_id % 3 AS INT)) AS original_split",
+        "n_chars",
     )
 
 
@@ -79,81 +74,59 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.col("question_id")
-    routed = _routed(q)
-    work = F.array(
-        *[
-            F.struct(F.lit(p).alias("provider"), F.lit(pid).alias("pid"), F.lit(s).alias("strategy"), F.lit(sid).alias("sid"))
-            for pid, p in enumerate(fv.PROVIDERS)
-            for sid, s in enumerate(fv.STRATEGIES)
-        ]
+    work = ", ".join(
+        f"named_struct('provider', '{p}', 'pid', {pid}, 'strategy', '{s}', 'sid', {sid})"
+        for pid, p in enumerate(fv.PROVIDERS)
+        for sid, s in enumerate(fv.STRATEGIES)
     )
-    shift = F.when((q + F.col("pid") + F.col("sid")) % 4 == 0, 1).otherwise(0)
-    letter = F.substring(F.lit("ABCD"), ((F.coalesce("answer", F.lit(0)) + shift) % 4 + 1).cast("int"), F.lit(1))
-    template = (
-        F.when((q * 7 + F.col("pid") * 3 + F.col("sid")) % 101 == 50, F.lit(None).cast("string"))
-        .when(F.col("strategy") == "baseline", routed["baseline"])
-        .when(F.col("strategy") == "simple_neural", routed["simple_neural"])
-        .otherwise(routed["roberta"])
-    )
-    x = (
-        questions(spark, sf_dir)
-        .withColumn("w", F.explode(work))
-        .select("*", "w.provider", "w.pid", "w.strategy", "w.sid")
-        .withColumn("l", letter)
-        .withColumn("k", (q * 7 + F.col("pid") * 3 + F.col("sid")) % 17)
-        .withColumn("template", template)
-    )
-    l, text, nl = F.col("l"), F.col("question"), F.lit("\n")
-    shapes = {
-        0: F.concat(F.lit("Answer: "), l, nl, text),
-        1: F.concat(F.lit("**Answer: "), l, F.lit("**"), nl, text),
-        2: F.concat(F.lit("**Correct Letter:** "), l, nl, text),
-        3: F.concat(F.lit("1. **Letter:** "), l, F.lit(" "), text),
-        4: F.concat(F.lit("correct letter  **"), l, F.lit("**")),
-        5: F.concat(F.lit("The correct answer is "), l, F.lit(". "), text),
-        6: F.concat(F.lit("1. "), l, F.lit(") "), text),
-        7: F.concat(F.lit("see ("), l, F.lit(") above")),
-        8: F.concat(F.lit("I choose option "), l, F.lit(" here")),
-        9: text,
-        10: F.lit(""),
-        11: F.concat(F.lit("API Error: "), text),
-        12: F.lit("Rate limit exceeded, please retry"),
-        13: F.lit("Hm."),
-        14: F.lit("Sorry, I cannot help with this request"),
-        15: F.lit(None).cast("string"),
-    }
-    k = F.col("k")
-    response = F
-    for shape, value in shapes.items():
-        response = response.when(k == shape, value)
-    response = response.otherwise(F.concat(nl, F.lit(" answer: "), F.lower(l), F.lit(" ")))
-    answered = F.col("response").isNotNull()
-    cap = (
-        F.when(F.col("template") == "minimal", 50)
-        .when(F.col("template") == "standard", 200)
-        .when(F.col("template") == "verbose", 500)
-        .when(F.col("template") == "technical", 400)
-        .otherwise(150)
+    planned = questions(spark, sf_dir).selectExpr(
+        "question_id", "question", "answer", "n_chars", "expected_template", f"inline(array({work}))"
     )
-    tokens = (
-        F.when(~answered | ((k == 14) & (q % 7 == 0)), F.lit(None))
-        .when(k.isin(4, 7, 8, 13, 14, 16), 8 + q % 12)
-        .otherwise(F.least(cap, 20 + F.col("n_chars")))
+    shaped = planned.selectExpr(
+        "*",
+        """substring('ABCD', CAST((coalesce(answer, 0) + CASE WHEN (question_id + pid + sid) % 4 = 0 THEN 1 ELSE 0 END) % 4 + 1 AS INT), 1) AS l""",
+        "(question_id * 7 + pid * 3 + sid) % 17 AS k",
+        """CASE WHEN (question_id * 7 + pid * 3 + sid) % 101 = 50 THEN NULL WHEN strategy = 'baseline' THEN 'verbose'
+            WHEN strategy = 'simple_neural' AND question_id % 10 = 3 THEN 'standard'
+            WHEN strategy = 'roberta' AND question_id % 9 = 4 THEN 'verbose' ELSE expected_template END AS template""",
     )
-    return x.withColumn("response", response).select(
+    response = F.expr(
+        r"""CASE k
+        WHEN 0 THEN concat('Answer: ', l, '\n', question)
+        WHEN 1 THEN concat('**Answer: ', l, '**\n', question)
+        WHEN 2 THEN concat('**Correct Letter:** ', l, '\n', question)
+        WHEN 3 THEN concat('1. **Letter:** ', l, ' ', question)
+        WHEN 4 THEN concat('correct letter  **', l, '**')
+        WHEN 5 THEN concat('The correct answer is ', l, '. ', question)
+        WHEN 6 THEN concat('1. ', l, ') ', question)
+        WHEN 7 THEN concat('see (', l, ') above')
+        WHEN 8 THEN concat('I choose option ', l, ' here')
+        WHEN 9 THEN question
+        WHEN 10 THEN ''
+        WHEN 11 THEN concat('API Error: ', question)
+        WHEN 12 THEN 'Rate limit exceeded, please retry'
+        WHEN 13 THEN 'Hm.'
+        WHEN 14 THEN 'Sorry, I cannot help with this request'
+        WHEN 15 THEN NULL
+        ELSE concat('\n answer: ', lower(l), ' ') END"""
+    ).alias("response")
+    keep = ["question_id", "question", "n_chars", "provider", "strategy", "sid", "k", "template"]
+    return computed_once(shaped, keep, response).selectExpr(
         "question_id",
         "question",
         "provider",
         "strategy",
         "template",
         "response",
-        answered.alias("success"),
-        F.when(~answered, "TimeoutError").alias("error"),
-        F.when(answered, 1 + q % 3).otherwise(20).cast("int").alias("attempts"),
-        F.when(answered, 40 + F.col("n_chars") % 90).cast("int").alias("input_tokens"),
-        tokens.cast("int").alias("output_tokens"),
-        (q * 3 + F.col("sid")).alias("position"),
+        "k <> 15 AS success",
+        "CASE WHEN k = 15 THEN 'TimeoutError' END AS error",
+        "CAST(CASE WHEN k = 15 THEN 20 ELSE 1 + question_id % 3 END AS INT) AS attempts",
+        "CAST(CASE WHEN k <> 15 THEN 40 + n_chars % 90 END AS INT) AS input_tokens",
+        """CAST(CASE WHEN k = 15 OR (k = 14 AND question_id % 7 = 0) THEN NULL
+            WHEN k IN (4, 7, 8, 13, 14, 16) THEN 8 + question_id % 12
+            ELSE least(CASE template WHEN 'minimal' THEN 50 WHEN 'standard' THEN 200 WHEN 'verbose' THEN 500
+                WHEN 'technical' THEN 400 ELSE 150 END, 20 + n_chars) END AS INT) AS output_tokens""",
+        "question_id * 3 + sid AS position",
     )
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from gradeloom.functions import text as tx
+from gradeloom.session import computed_once
 
 
 def classify(responses: DataFrame, text: str = "response") -> DataFrame:
@@ -22,8 +23,9 @@ def classify(responses: DataFrame, text: str = "response") -> DataFrame:
         .withColumn("_low", F.lower("_body"))
         .withColumn("_head", tx.error_head(F.col(text)))
     )
-    searched = prepared.select(
-        *own,
+    searched = computed_once(
+        prepared,
+        own,
         (F.coalesce("_body", F.lit("")) == "").alias("_blank"),
         tx.api_error(F.col(text), F.col("_body"), F.col("_head")).alias("_issue"),
         tx.answer_choice(F.col("_body"), F.col("_low")).alias("answer"),

@@ -158,11 +158,9 @@ def funnel(graded: DataFrame, keys: list[str] = GROUP) -> DataFrame:
 
 def funnel_rates(counts: DataFrame) -> DataFrame:
     """Funnel percentages: of all rows, and correct / incorrect of the extractable ones."""
-    for name in _FUNNEL[1:6]:
-        counts = counts.withColumn(f"{name}_pct", percent(F.col(name), F.col("total")))
-    for name in _FUNNEL[6:]:
-        counts = counts.withColumn(f"{name}_pct", percent(F.col(name), F.col("extractable")))
-    return counts
+    of_total = [percent(F.col(name), F.col("total")).alias(f"{name}_pct") for name in _FUNNEL[1:6]]
+    of_found = [percent(F.col(name), F.col("extractable")).alias(f"{name}_pct") for name in _FUNNEL[6:]]
+    return counts.select("*", *of_total, *of_found)
 
 
 def funnel_with_overall(graded: DataFrame, keys: list[str] = GROUP) -> DataFrame:
@@ -173,9 +171,8 @@ def funnel_with_overall(graded: DataFrame, keys: list[str] = GROUP) -> DataFrame
     per_group = funnel(graded, keys)
     sums = [F.sum(name).alias(name) for name in _FUNNEL]
     both = per_group.groupingSets([keys, []], *keys).agg(F.grouping_id().alias("level"), *sums)
-    for key in keys:
-        both = both.withColumn(key, F.when(F.col("level") > 0, "ALL").otherwise(F.col(key)))
-    return both.drop("level")
+    named = [F.when(F.col("level") > 0, "ALL").otherwise(F.col(key)).alias(key) for key in keys]
+    return both.select(*named, *_FUNNEL)
 
 
 def dataset_verdict(funnel_rows: DataFrame) -> DataFrame:

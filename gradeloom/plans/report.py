@@ -7,64 +7,111 @@ from functools import reduce
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gradeloom import fixed_values as fv
+from gradeloom.functions.numbers import percent, whole_average
+from gradeloom.functions.text import likely_error, token_estimate
 from gradeloom.operators import facts, quality, routing, usage
 from gradeloom.sinks import writers
 
-_SLIM = ["question_id", "provider", "strategy", "template", "success", "input_tokens", "output_tokens"]
+_KEYS = ["section", "provider", "strategy", "ord", "sub", "line"]
 
 
 def _number(value: Column) -> Column:
     return F.format_number(value, 0)
 
 
-def _lines(rows: DataFrame, section: int, ord_: int, line: Column, sub: Column | None = None) -> DataFrame:
-    """(section, provider, strategy, ord, sub, line) rows; absent keys sort first."""
+def _line(section: int, ord_: int, line: Column, show: Column | None = None) -> Column:
+    """One report line of the current row; a NULL line is not shown."""
+    text = line if show is None else F.when(show, line)
+    return F.struct(F.lit(section).alias("section"), F.lit(ord_).alias("ord"), text.alias("line"))
+
+
+def _lines(rows: DataFrame, *lines: Column, sub: Column | None = None) -> DataFrame:
+    """(section, provider, strategy, ord, sub, line) of each row; absent keys sort first."""
 
     def key(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit("")) if name in rows.columns else F.lit("")
 
     number = F.lit(0).cast("long") if sub is None else sub.cast("long")
-    return rows.select(
-        F.lit(section).alias("section"),
-        key("provider").alias("provider"),
-        key("strategy").alias("strategy"),
-        F.lit(ord_).alias("ord"),
-        number.alias("sub"),
-        line.alias("line"),
+    return (
+        rows.select(
+            key("provider").alias("provider"), key("strategy").alias("strategy"), number.alias("sub"), F.inline(F.array(*lines))
+        )
+        .where(F.col("line").isNotNull())
+        .select(*_KEYS)
     )
 
 
-def report_lines(responses: DataFrame, predictions: DataFrame) -> DataFrame:
-    """All report lines, unordered; every section is an aggregate of a few rows."""
-    stats = quality.groups_with_issues(quality.validation_stats(responses))
-    errors = quality.likely_error_counts(responses).select("provider", "strategy", "likely_errors")
-    issues = stats.join(errors, ["provider", "strategy"], "left").withColumn(
-        "likely_errors", F.coalesce("likely_errors", F.lit(0))
+def group_summary(responses: DataFrame) -> DataFrame:
+    """Everything the report says about a provider and strategy, in one pass over the log."""
+    ok = F.coalesce("success", F.lit(False))
+    tokens = F.when(ok, quality.reported_tokens())
+    answered = ok & (F.coalesce("response", F.lit("")) != "")
+    slim = responses.select(
+        "provider",
+        "strategy",
+        "question_id",
+        ok.alias("ok"),
+        tokens.alias("t"),
+        F.when(answered, token_estimate(F.col("response"))).alias("estimate"),
+        F.when(tokens < fv.LOW_TOKEN_LIMIT, F.lower("response")).alias("low_text"),
+    )
+    t = F.col("t")
+    totals = slim.groupBy("provider", "strategy").agg(
+        F.count("question_id").alias("total"),
+        F.count_if("ok").alias("succeeded"),
+        F.min("t").alias("min_tokens"),
+        F.max("t").alias("max_tokens"),
+        F.round(F.avg("t"), 1).alias("avg_tokens"),
+        F.count_if(t < 20).alias("lt_20"),
+        F.count_if((t >= 20) & (t < 100)).alias("to_100"),
+        F.count_if((t >= 100) & (t < 300)).alias("to_300"),
+        F.count_if(t >= 300).alias("ge_300"),
+        F.count_if(likely_error(F.col("low_text"))).alias("likely_errors"),
+        F.coalesce(F.sum("estimate"), F.lit(0)).alias("total_tokens"),
+        F.count("estimate").alias("counted"),
+    )
+    return usage.with_savings(
+        totals.withColumn("failed", F.col("total") - F.col("succeeded")).withColumn(
+            "avg_estimate", whole_average(F.col("total_tokens"), F.col("counted"))
+        )
     )
-    samples = quality.first_rows(quality.suspicious_responses(responses), quality.GROUP, "question_idx")
-    header = quality.run_header(responses)
-    accuracy = routing.router_accuracy(predictions, responses)
-    agreement = routing.router_agreement(predictions, responses)
-    savings = usage.token_savings(responses)
-    success = quality.success_rates(responses)
+
+
+def report_lines(responses: DataFrame, predictions: DataFrame) -> DataFrame:
+    """All report lines, unordered; every line comes from an aggregate of a few rows."""
     c = F.col
+    issues = (c("failed") > 0) | (c("lt_20") > 0)
+    groups = _lines(
+        group_summary(responses),
+        _line(1, 1, F.format_string("%s / %s: %d failed, %d below 20 tokens, %d of them look like errors",
+              c("provider"), c("strategy"), c("failed"), c("lt_20"), c("likely_errors")), issues),
+        _line(1, 3, F.format_string("  tokens min=%d avg=%.1f max=%d; <20: %d, 20-100: %d, 100-300: %d, >300: %d",
+              c("min_tokens"), c("avg_tokens"), c("max_tokens"), c("lt_20"), c("to_100"), c("to_300"), c("ge_300")), issues),
+        _line(4, 1, F.format_string("%s / %s: %s tokens (avg %d), saves %s (%.2f%%)", c("provider"), c("strategy"),
+              _number(c("total_tokens")), c("avg_estimate"), _number(c("savings")), c("savings_pct"))),
+        _line(5, 1, F.format_string("%s / %s: %d/%d (%.2f%%)", c("provider"), c("strategy"), c("succeeded"), c("total"),
+              percent(c("succeeded"), c("total")))),
+    )
     parts = [
-        _lines(issues, 1, 1, F.format_string("%s / %s: %d failed, %d below 20 tokens, %d of them look like errors",
-               c("provider"), c("strategy"), c("failed_responses"), c("low_token_responses"), c("likely_errors"))),
-        _lines(samples, 1, 2, F.format_string("  Q%d: %d tokens - %s", c("question_idx"), c("output_tokens"),
-               F.substring("response_preview", 1, 80)), c("sample_no")),
-        _lines(issues, 1, 3, F.format_string("  tokens min=%d avg=%.1f max=%d; <20: %d, 20-100: %d, 100-300: %d, >300: %d",
-               c("min_tokens"), c("avg_tokens"), c("max_tokens"), c("tokens_lt_20"), c("tokens_20_100"),
-               c("tokens_100_300"), c("tokens_ge_300"))),
-        _lines(header, 2, 1, F.format_string("questions %d, providers %d, strategies %d, calls %d", c("questions"),
-               c("providers"), c("strategies"), c("total_calls"))),
-        _lines(accuracy, 3, 1, F.format_string("%s / %s: %.2f%% of predictions match (%d)", c("provider"), c("strategy"),
-               c("accuracy_pct"), c("matches"))),
-        _lines(agreement, 3, 2, F.format_string("%s: routers agree on %.2f%%", c("provider"), c("agreement_pct"))),
-        _lines(savings, 4, 1, F.format_string("%s / %s: %s tokens (avg %d), saves %s (%.2f%%)", c("provider"), c("strategy"),
-               _number(c("total_tokens")), c("avg_tokens"), _number(c("savings")), c("savings_pct"))),
-        _lines(success, 5, 1, F.format_string("%s / %s: %d/%d (%.2f%%)", c("provider"), c("strategy"), c("succeeded"),
-               c("total"), c("success_rate_pct"))),
+        groups,
+        _lines(
+            quality.first_rows(quality.suspicious_responses(responses), quality.GROUP, "question_idx"),
+            _line(1, 2, F.format_string("  Q%d: %d tokens - %s", c("question_idx"), c("output_tokens"), F.substring("response_preview", 1, 80))),
+            sub=c("sample_no"),
+        ),
+        _lines(
+            quality.run_header(responses),
+            _line(2, 1, F.format_string("questions %d, providers %d, strategies %d, calls %d", c("questions"), c("providers"), c("strategies"), c("total_calls"))),
+        ),
+        _lines(
+            routing.router_accuracy(predictions, responses),
+            _line(3, 1, F.format_string("%s / %s: %.2f%% of predictions match (%d)", c("provider"), c("strategy"), c("accuracy_pct"), c("matches"))),
+        ),
+        _lines(
+            routing.router_agreement(predictions, responses),
+            _line(3, 2, F.format_string("%s: routers agree on %.2f%%", c("provider"), c("agreement_pct"))),
+        ),
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)
 

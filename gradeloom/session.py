@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,3 +50,13 @@ def broadcast_if_closed(df: DataFrame, column: str, domain: list[str] | None) ->
     if domain is None:
         return df
     return F.broadcast(df.where(F.col(column).isin(domain)))
+
+
+def computed_once(df: DataFrame, keep: list[str], *columns: Column) -> DataFrame:
+    """Select ``keep`` plus expensive columns that are evaluated exactly once per row.
+
+    A filter on an ordinary derived column is pushed below its projection, which copies
+    the whole expression into the filter (and nested ones many times over). Columns made
+    by a generator stay where they are; filters on ``keep`` are still pushed to the scan.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*columns))))
