@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gradeloom import fixed_values as fv
 from gradeloom.operators.prepare import prepare_questions
-from gradeloom.session import computed_once
 
 SUBJECT_NAMES = list(fv.SUBJECT_CATEGORY) + ["unlisted_one", "unlisted_two", "unlisted_three", "unlisted_four"]
 N_SUBJECTS = len(SUBJECT_NAMES)
@@ -110,8 +109,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         WHEN 15 THEN NULL
         ELSE concat('\n answer: ', lower(l), ' ') END"""
     ).alias("response")
-    keep = ["question_id", "question", "n_chars", "provider", "strategy", "sid", "k", "template"]
-    return computed_once(shaped, keep, response).selectExpr(
+    return shaped.select("*", response).selectExpr(
         "question_id",
         "question",
         "provider",
