@@ -8,7 +8,6 @@ from gradeloom import fixed_values as fv
 from gradeloom.catalog import data, oracle as o
 from gradeloom.catalog.expressions import _FUNNEL_SUMS, _LINES_CTE, _TOTALS, _batch_lines, _caps_cte
 from gradeloom.catalog.registry import query
-from gradeloom.functions import text as tx
 from gradeloom.operators import facts, merge, prepare, quality, requests, routing, usage
 from gradeloom.plans.report import response_facts
 from gradeloom.sources import readers

@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from gradeloom import fixed_values as fv, schemas
 from gradeloom.catalog import data, oracle as o
-from gradeloom.catalog.aggregates import _COUNTS, _HEADER, _MIX, _SPLIT, _STATS, _SUCCESS, _SUSPICIOUS, _TOTALS, _SAVINGS, _ACCURACY, _AGREEMENT, _split
+from gradeloom.catalog.aggregates import _COUNTS, _HEADER, _MIX, _STATS, _SUCCESS, _SUSPICIOUS, _TOTALS, _SAVINGS, _ACCURACY, _AGREEMENT, _split
 from gradeloom.catalog.expressions import _LINES_CTE, _PROMPT_ROWS, _batch_lines
 from gradeloom.catalog.registry import query
-from gradeloom.functions import messages as ms
 from gradeloom.operators import merge, prepare, quality, requests, routing
 from gradeloom.plans import report
 from gradeloom.session import scratch_path
@@ -62,7 +61,7 @@ _RESPONSE_SQL = "SELECT " + ", ".join(_RESPONSE_COLUMNS) + " FROM responses"
 @query("src_04_results_documents", o.over(_RESPONSE_SQL))
 def _(spark, sf):
     path = scratch_path(spark, "results-documents")
-    writers.write_lines(writers.results_documents(data.responses(spark, sf), fv.PROVIDERS, fv.STRATEGIES), path)
+    writers.write_lines(writers.results_documents(data.responses(spark, sf)), path)
     flat = readers.read_results(spark, path)
     return flat.where(F.col("question_id").isNotNull()).select(*_RESPONSE_COLUMNS)
 
@@ -73,7 +72,7 @@ def _(spark, sf):
     path = scratch_path(spark, "runs")
     r = data.responses(spark, sf)
     for n, strategy in ((2, "baseline"), (10, "simple_neural"), (100, "roberta")):
-        documents = writers.results_documents(merge.select_work(r, strategy=strategy), fv.PROVIDERS, [strategy])
+        documents = writers.results_documents(merge.select_work(r, strategy=strategy))
         writers.write_lines(documents, f"{path}/run_n{n}_results.json")
     chosen = readers.choose_run(spark, path)
     number = int(chosen.rsplit("_n", 1)[1].split("_")[0])

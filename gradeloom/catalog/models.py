@@ -39,7 +39,7 @@ def _(spark, sf):
 @query("ml_01_label_encoding", o.over("SELECT template AS label_name, CAST(dense_rank() OVER (ORDER BY template) - 1 AS DOUBLE) AS label, n FROM (SELECT template, count(*) AS n FROM router_rows GROUP BY template)"))
 def _(spark, sf):
     rows = _rows(spark, sf)
-    encoded = routers._label_stages().fit(rows).transform(rows)
+    encoded = routers._label_indexer().fit(rows).transform(rows)
     return encoded.groupBy("label_name", "label").agg(F.count(F.lit(1)).alias("n"))
 
 

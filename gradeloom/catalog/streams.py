@@ -20,7 +20,7 @@ def _(spark, sf):
     out = scratch_path(spark, "windows")
     run = tp.write_windows(windows, out, scratch_path(spark, "windows-state"))
     run.awaitTermination()
-    return tp.latest_windows(spark, out)
+    return tp.latest_windows(spark, out).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("stm_02_result_ingest", o.over(_LINES_CTE + "SELECT custom_id, question_id, strategy, status_code, response, input_tokens, output_tokens, total_tokens FROM lines"))

@@ -30,19 +30,19 @@ def class_weights(rows: DataFrame, label: str = "template") -> DataFrame:
     )
 
 
-def _label_stages(model: PipelineModel | None = None):
-    return StringIndexer(inputCol="label_name", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="keep" if model else "error")
+def _label_indexer() -> StringIndexer:
+    return StringIndexer(inputCol="label_name", outputCol="label", stringOrderType="alphabetAsc")
 
 
 def _labels(rows: DataFrame, labels: list[str] | None) -> list[str]:
     if labels is not None:
         return sorted(labels)
-    return StringIndexer(inputCol="label_name", outputCol="label", stringOrderType="alphabetAsc").fit(rows).labels
+    return list(_label_indexer().fit(rows).labels)
 
 
 def _fit(rows: DataFrame, classifier, scale: bool, labels: list[str], text: bool = False) -> PipelineModel:
     """Indexer -> features -> classifier -> label name, fitted as one pipeline."""
-    stages = [_label_stages()]
+    stages = [_label_indexer()]
     if text:
         stages += [
             RegexTokenizer(inputCol="question", outputCol="words", pattern=r"\W+"),

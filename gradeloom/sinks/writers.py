@@ -33,23 +33,21 @@ def write_splits(split: DataFrame, path: str, embedding: str | None = "embedding
     meta.write.mode("overwrite").json(f"{path}/metadata")
 
 
-def write_question_documents(questions: DataFrame, path: str, per_document: int = 100) -> None:
-    """Question documents for at most ``per_document`` positions each, one per line."""
-    first = F.floor(F.col("question_id") / per_document) * per_document
+def write_question_documents(questions: DataFrame, path: str) -> None:
+    """Line-delimited question documents, one question each: no gathering, no shuffle."""
     entry = F.struct(
-        "question_id", "question", "subject", "category", "expected_template", "choices", "answer", "original_split", "embedding"
+        "question_id", "question", "subject", "category", "expected_template", "choices", "answer", "original_split"
     )
-    docs = questions.groupBy("split", first.alias("first_question_id")).agg(F.array_sort(F.collect_list(entry)).alias("items"))
-    docs.select(
+    questions.select(
         F.struct(
-            F.size("items").cast("long").alias("total_questions"),
+            F.lit(1).cast("long").alias("total_questions"),
             "split",
             F.lit("stratified_70_10_20").alias("split_strategy"),
-            F.size(F.get(F.col("items.embedding"), F.lit(0))).alias("embedding_dim"),
-            "first_question_id",
+            F.size("embedding").alias("embedding_dim"),
+            F.col("question_id").alias("first_question_id"),
         ).alias("metadata"),
-        F.transform("items", lambda x: x.dropFields("embedding")).alias("questions"),
-        F.col("items.embedding").alias("embeddings"),
+        F.array(entry).alias("questions"),
+        F.array("embedding").alias("embeddings"),
     ).write.mode("overwrite").json(path)
 
 
@@ -66,37 +64,18 @@ def write_results(responses: DataFrame, path: str, num_questions: int, format: s
     )
 
 
-def results_documents(responses: DataFrame, providers: list[str], strategies: list[str], per_document: int = 20) -> DataFrame:
-    """Results documents {provider: {strategy: [row]}}, each for a few questions (one JSON per row).
+def results_documents(responses: DataFrame) -> DataFrame:
+    """Line-delimited results documents {provider: {strategy: [row]}}, one row each.
 
-    A document gathers at most ``per_document`` questions times the closed lists of
-    providers and strategies.
+    However often a question or group occurs, nothing is gathered and nothing is shuffled;
+    the reader explodes documents with one row or with many alike.
     """
     row = F.struct(
         "question_id", "question", "strategy", "template", "provider", "response", "success", "error", "attempts",
         "input_tokens", "output_tokens",
     )
-    shard = F.floor(F.col("question_id") / per_document)
-    gathered = (
-        responses.where(F.col("provider").isin(providers) & F.col("strategy").isin(strategies))
-        .groupBy(shard.alias("shard"))
-        .agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    )
-
-    def of_strategy(provider, strategy):
-        return F.filter("rows", lambda r: (r["provider"] == provider) & (r["strategy"] == strategy))
-
-    nested = F.create_map(
-        *[
-            part
-            for p in providers
-            for part in (
-                F.lit(p),
-                F.create_map(*[x for s in strategies for x in (F.lit(s), of_strategy(p, s))]),
-            )
-        ]
-    )
-    return gathered.select("shard", F.to_json(nested).alias("value"))
+    nested = F.create_map(F.col("provider"), F.create_map(F.col("strategy"), F.array(row)))
+    return responses.select(F.to_json(nested).alias("value"))
 
 
 def write_lines(lines: DataFrame, path: str) -> None:

@@ -1,7 +1,6 @@
 """What the physical plans must and must not contain."""
 
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from gradeloom.catalog import data

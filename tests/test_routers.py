@@ -31,7 +31,7 @@ def test_each_router_learns_separable_labels(rows):
 
 
 def test_alphabetical_labels(rows):
-    assert routers._label_stages().fit(rows).labels == ["executive", "minimal", "standard", "technical", "verbose"]
+    assert routers._label_indexer().fit(rows).labels == ["executive", "minimal", "standard", "technical", "verbose"]
 
 
 def test_reloaded_router_predicts_the_same(rows, tmp_path):
