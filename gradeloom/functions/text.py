@@ -65,11 +65,9 @@ def likely_error(lowered: Column) -> Column:
 
 def token_estimate(text: Column) -> Column:
     """Words times 1.3, rounded down; 0 for missing text."""
-    body = stripped(text)
-    words = F.size(F.split(body, rf"(?U)[{fv.WS_CLASS}]+"))
-    return F.when(F.coalesce(body, F.lit("")) == "", F.lit(0)).otherwise(
-        F.floor(words * F.lit(1.3)).cast("int")
-    )
+    pieces = F.split(F.coalesce(text, F.lit("")), rf"(?U)[{fv.WS_CLASS}]+")
+    words = F.size(F.array_remove(pieces, ""))  # leading and trailing space leave empty pieces
+    return F.floor(words * F.lit(1.3)).cast("int")
 
 
 def token_bucket(tokens: Column) -> Column:
