@@ -59,7 +59,7 @@ def longest_match(trie: dict, host: str, path: str) -> tuple[str, str] | None:
     """(rule, verdict) of the longest rule that fits, or None."""
     best, node = (-1, "", ""), trie
     for label in [*reversed(host.split(".")), None]:
-        best = max(best, *_on_path(node, path), key=lambda found: found[0]) if node is not trie else best
+        best = max([best, *_on_path(node, path)], key=lambda found: found[0])
         node = node["labels"].get(label)
         if node is None:
             break
