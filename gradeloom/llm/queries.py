@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeloom.llm import mixing, sharding, url_trie
+from gradeloom.llm import mixing, sharding, substring, url_trie
 
 URL_RULES = [
     ("block", "net/"),
@@ -34,7 +34,12 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trie.judge_urls(_read(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op5_sharding, op6_mixing, op7_url_filters)}
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document once passages that an earlier one has are removed."""
+    return substring.remove_repeats(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op5_sharding, op6_mixing, op7_url_filters, op9_substring_dedup)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
