@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 
@@ -47,7 +48,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int) -> Ite
         if not batch.num_rows:
             continue
         column = batch.column(batch.schema.get_field_index(text))
-        sizes = np.array([0 if v is None else v for v in pa.compute.binary_length(column).to_pylist()])
+        sizes = np.array([0 if v is None else v for v in pc.binary_length(column).to_pylist()])
         ends = np.cumsum(sizes)
         start = 0
         while start < batch.num_rows:
