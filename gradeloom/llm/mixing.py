@@ -45,14 +45,11 @@ def source_targets(
     budget = F.col("cap_total") / F.lit(most) * F.lit(share)
     left = (budget - F.col("cap_before")) / (F.col("weight_total") - F.col("weight_before"))
     settled = saved(both.withColumn("level", left).withColumn("capped", F.col("_ratio") <= left), "levels")
-    level = settled.where(~F.col("capped")).agg(F.min_by("level", F.struct("_ratio", "source")).alias("level"))
-    return settled.drop("level").join(F.broadcast(level.withColumn("capped", F.lit(False))), "capped", "left").select(
-        "source",
-        "source_size",
-        F.when(F.col("capped"), F.col("cap").cast("double"))
-        .otherwise(F.col("level") * F.col("weight"))
-        .alias("target"),
-    ).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
+    level = settled.where(~F.col("capped")).agg(F.min_by("level", F.struct("_ratio", "source"))).first()[0]
+    target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.lit(level) * F.col("weight"))
+    return settled.select("source", "source_size", target.alias("target")).withColumn(
+        "rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    )
 
 
 def draw(id_column: Column, seed: int) -> Column:
