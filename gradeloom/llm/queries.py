@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeloom.llm import mixing, sharding, substring, url_trie
+from gradeloom.llm import mixing, near_dup, sharding, substring, url_trie
 
 URL_RULES = [
     ("block", "net/"),
@@ -39,7 +39,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_sharding, op6_mixing, op7_url_filters, op9_substring_dedup)}
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of near copies that every document belongs to."""
+    return near_dup.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op5_sharding, op6_mixing, op7_url_filters, op9_substring_dedup, op10_minhash_near_dedup)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
