@@ -153,7 +153,7 @@ def remove_repeats(
     text_column: str = "text",
 ) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text."""
-    buckets = 8 * partition_count(docs)
+    buckets = 2 * partition_count(docs)
     groups = buckets + 1
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("binary").alias("text"))
     windows = rows.mapInArrow(_windows(width, buckets, groups), _PACK)
