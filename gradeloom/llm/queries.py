@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeloom.llm import mixing, near_dup, sharding, substring, url_trie, weak_rules
+from gradeloom.llm import mixing, near_dup, pii, sharding, substring, url_trie, weak_rules
 
 URL_RULES = [
     ("block", "net/"),
@@ -18,6 +18,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.digest(_read(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents the vote of the quality rules keeps."""
     return weak_rules.judge(_read(spark, sf_dir, "documents"))
@@ -49,7 +54,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_sharding, op6_mixing, op7_url_filters, op9_substring_dedup, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op5_sharding, op6_mixing, op7_url_filters, op9_substring_dedup, op10_minhash_near_dedup)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
