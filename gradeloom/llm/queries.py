@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeloom.llm import mixing, near_dup, pii, sharding, substring, url_trie, weak_rules
+from gradeloom.llm import language, mixing, near_dup, pii, sharding, substring, url_trie, weak_rules
 
 URL_RULES = [
     ("block", "net/"),
@@ -44,6 +44,11 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trie.judge_urls(_read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    return language.predict_documents(_read(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document once passages that an earlier one has are removed."""
     return substring.remove_repeats(_read(spark, sf_dir, "documents"))
@@ -54,7 +59,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op5_sharding, op6_mixing, op7_url_filters, op9_substring_dedup, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op5_sharding, op6_mixing, op7_url_filters, op8_language_id, op9_substring_dedup, op10_minhash_near_dedup)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
