@@ -35,15 +35,19 @@ THRESHOLD = (75, 100)
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
-#: Estimates are dropped below this; five standard errors under the threshold.
-LEAST_ESTIMATE = 0.75 - 5 * (0.75 * 0.25 / REGISTERS) ** 0.5
+WIDE = 1024  # registers of the second look at documents whose bucket holds several components
 PAIR_BLOCK = 2048
 BLOCK_BYTES = 3_000_000
 _SLICE = 65_536
 _BASE = 0x9E3779B97F4A7C15
 _RANDOM = np.random.default_rng(20)
-_MULTIPLY = _RANDOM.integers(1, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FLIP = _RANDOM.integers(0, 2**63, REGISTERS, dtype=np.uint64)
+_MULTIPLY = _RANDOM.integers(1, 2**63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FLIP = _RANDOM.integers(0, 2**63, WIDE, dtype=np.uint64)
+
+
+def least_estimate(registers: int) -> float:
+    """Estimates below this are dropped: five standard errors under the threshold."""
+    return 0.75 - 5 * (0.75 * 0.25 / registers) ** 0.5
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -74,9 +78,9 @@ def compress(smallest: np.ndarray) -> np.ndarray:
     return ((np.minimum(zeros, np.uint64(63)) << np.uint64(MANTISSA)) | mantissa).astype(np.uint16)
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
+def signatures(sets: list[np.ndarray], registers: int = REGISTERS) -> np.ndarray:
     """Compressed registers of non-empty sets, one row each."""
-    out = np.empty((len(sets), REGISTERS), np.uint64)
+    out = np.empty((len(sets), registers), np.uint64)
     at = 0
     while at < len(sets):
         stop, size = at, 0
@@ -86,7 +90,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
         flat = np.concatenate(sets[at:stop])
         starts = np.cumsum([0, *(len(s) for s in sets[at : stop - 1])])
         scratch = np.empty_like(flat)
-        for k in range(REGISTERS):
+        for k in range(registers):
             np.bitwise_xor(flat, _FLIP[k], out=scratch)
             np.multiply(scratch, _MULTIPLY[k], out=scratch)
             out[at:stop, k] = np.minimum.reduceat(scratch, starts)
@@ -151,67 +155,85 @@ def _common(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([len(np.intersect1d(x, y, assume_unique=True)) for x, y in pairs], dtype="int64")
 
 
+def _widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block in blocks(batches, "members", BLOCK_BYTES):
+        sets = [np.frombuffer(m, np.uint64) for m in block.column("members").to_pylist()]
+        wide = [row.tobytes() for row in signatures(sets, WIDE)]
+        yield pa.RecordBatch.from_pydict({"node": block.column("node"), "n_shingles": pa.array([len(m) for m in sets], pa.int64()), "wide": pa.array(wide, pa.binary())})
+
+
 def _close_pairs(table: pa.Table) -> pa.Table:
-    """Pairs of one block whose components differ and whose estimate is high enough."""
-    node, component, part, size = (table.column(c).to_numpy() for c in ("node", "component", "part", "n_shingles"))
-    registers = _matrix(table.column("signature").to_pylist())
+    """Pairs of one block whose components differ and whose estimates are high enough.
+
+    Nodes of the block's largest component are not compared among themselves. A pair that meets in several
+    buckets is given by the one of its first band.
+    """
+    node, component, part, size, band = (table.column(c).to_numpy() for c in ("node", "component", "part", "n_shingles", "band"))
+    wide = _matrix(table.column("wide").to_pylist())
+    narrow = wide[:, :REGISTERS]
     within = table.column("low")[0].as_py() == table.column("high")[0].as_py()
-    lows, highs = [], []
-    for i in range(len(node)):
-        others = np.flatnonzero((component != component[i]) & ((node > node[i]) if within else (part > part[i])))
-        if len(others):
-            equal = (registers[others] == registers[i]).mean(axis=1)
-            near = others[estimate(equal, np.full(len(others), size[i]), size[others]) >= LEAST_ESTIMATE]
-            lows.append(np.minimum(node[near], node[i]))
-            highs.append(np.maximum(node[near], node[i]))
-    empty = [np.empty(0, np.int64)]
-    return pa.table({"a": np.concatenate(lows or empty), "b": np.concatenate(highs or empty)})
-
-
-class _Links:
-    """Confirms candidate pairs of classes on their full sets."""
-
-    def __init__(self, docs: DataFrame, nodes: DataFrame):
-        self.docs, self.nodes = docs, nodes
-
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Those pairs (a, b) of nodes whose sets are similar enough."""
-        involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = self.nodes.join(involved, "node").select("node", "set_key", F.col("doc_id").alias("_id"))
-        ids = wanted.select(F.col("_id").alias("doc_id")).distinct()
-        sets = self.docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, set_key binary, members binary")
-        # A repeated id may stand for several texts: the key of the set tells them apart.
-        members = saved(sets.join(wanted, "set_key").where("doc_id = _id").groupBy("node").agg(F.any_value("members").alias("members")), "sets")
-        both = pairs.join(members.withColumnsRenamed({"node": "a", "members": "set_a"}), "a").join(
-            members.withColumnsRenamed({"node": "b", "members": "set_b"}), "b"
-        )
-        size = (F.octet_length("set_a") + F.octet_length("set_b")) / 8
-        counted = both.select("a", "b", size.alias("sizes"), _common("set_a", "set_b").alias("common"))
-        return counted.where(THRESHOLD[1] * F.col("common") >= THRESHOLD[0] * (F.col("sizes") - F.col("common"))).select("a", "b")
+    names, rank = np.unique(component, return_inverse=True)
+    rank = np.argsort(np.argsort(-np.bincount(rank), kind="stable"), kind="stable")[rank]
+    lows, highs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i in np.flatnonzero(rank):
+        other = rank < rank[i] if within else (rank < rank[i]) & (part != part[i])
+        alike = 100 * np.minimum(size, size[i]) >= 75 * np.maximum(size, size[i])
+        others = np.flatnonzero(other & alike)
+        for registers, columns in ((REGISTERS, narrow), (WIDE, wide)):
+            equal = (columns[others] == columns[i]).mean(axis=1)
+            others = others[estimate(equal, np.full(len(others), size[i]), size[others]) >= least_estimate(registers)]
+        bands = (narrow[others] == narrow[i]).reshape(len(others), BANDS, ROWS).all(axis=2)
+        others = others[bands.argmax(axis=1) == band[i]]
+        lows.append(np.minimum(node[others], node[i]))
+        highs.append(np.maximum(node[others], node[i]))
+    return pa.table({"a": np.concatenate(lows), "b": np.concatenate(highs)})
+
+
+def _members(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, members): the full sets of some nodes, from the texts of their smallest ids."""
+    own = nodes.join(wanted, "node").select("node", "set_key", F.col("doc_id").alias("_id"))
+    texts = docs.join(own.select(F.col("_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = texts.mapInArrow(_sets, "doc_id long, set_key binary, members binary")
+    # A repeated id may stand for several texts: the key of the set tells them apart.
+    return sets.join(own, "set_key").where("doc_id = _id").groupBy("node").agg(F.any_value("members").alias("members"))
+
+
+def _confirmed(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of nodes whose full sets are similar enough."""
+    both = pairs.join(members.select(F.col("node").alias("a"), F.col("members").alias("set_a")), "a").join(
+        members.select(F.col("node").alias("b"), F.col("members").alias("set_b")), "b"
+    )
+    sizes = (F.octet_length("set_a") + F.octet_length("set_b")) / 8
+    counted = both.select("a", "b", sizes.alias("sizes"), _common("set_a", "set_b").alias("common"))
+    return counted.where(THRESHOLD[1] * F.col("common") >= THRESHOLD[0] * (F.col("sizes") - F.col("common"))).select("a", "b")
 
 
 def _bucket_keys(signature: Column) -> Column:
+    """(band, bucket) of every band."""
     width = 2 * ROWS
-    return F.array(*[F.xxhash64(F.lit(k), F.substring(signature, k * width + 1, width)) for k in range(BANDS)])
+    return F.array(
+        *[F.struct(F.lit(k).alias("band"), F.xxhash64(F.lit(k), F.substring(signature, k * width + 1, width)).alias("bucket")) for k in range(BANDS)]
+    )
 
 
-def _cross_component(shared: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+def _cross_component(shared: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
     """Candidate pairs within buckets whose members are in different components."""
     labelled = saved(
-        shared.select("bucket", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled"
+        shared.select("band", "bucket", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled"
     )
     mixed = labelled.groupBy("bucket").agg(
         F.min("component").alias("_least"), F.max("component").alias("_most"), F.count(F.lit(1)).alias("_size")
     ).where("_least < _most")
     parts = F.ceil(F.col("_size") / PAIR_BLOCK).cast("int")
-    placed = (
+    placed = saved(
         labelled.join(mixed, "bucket")
         .withColumn("part", F.pmod(F.hash("node"), parts))
         .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .select("bucket", "node", "component", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+        .select("band", "bucket", "node", "component", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")),
+        "blocks",
     )
-    signed = placed.join(nodes.select("node", "n_shingles", "signature"), "node")
-    return signed.groupBy("bucket", "low", "high").applyInArrow(_close_pairs, "a long, b long").distinct()
+    wide = saved(members.join(placed.select("node").distinct(), "node").mapInArrow(_widen, "node long, n_shingles long, wide binary"), "wide")
+    return placed.join(wide, "node").groupBy("bucket", "low", "high").applyInArrow(_close_pairs, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -222,24 +244,22 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("signature").alias("signature")
     )
     nodes = saved(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    keyed = nodes.select("node", F.explode(_bucket_keys(F.col("signature"))).alias("bucket"))
+    keyed = nodes.select("node", F.inline(_bucket_keys(F.col("signature"))))
     crowded = keyed.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     shared = saved(keyed.join(crowded, "bucket"), "buckets")
+    members = saved(_members(rows, nodes, shared.select("node").distinct()), "sets")
 
     stars = shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     signed = nodes.select("node", "n_shingles", "signature")
-    promising = saved(
+    promising = (
         stars.join(signed.withColumnsRenamed({"node": "a", "n_shingles": "n", "signature": "sig_a"}), "a")
         .join(signed.withColumnsRenamed({"node": "b", "n_shingles": "m", "signature": "sig_b"}), "b")
-        .where(_estimated("sig_a", "n", "sig_b", "m") >= LEAST_ESTIMATE)
-        .select("a", "b"),
-        "pairs",
+        .where(_estimated("sig_a", "n", "sig_b", "m") >= least_estimate(REGISTERS))
+        .select("a", "b")
     )
-    links = _Links(rows, nodes)
-    first = saved(connected_components(links.confirmed(promising)), "components")
-    # Pairs that failed with a leader may come up again; they are few and fail again.
-    again = saved(_cross_component(shared, nodes, first), "pairs")
-    merged = connected_components(_between(links.confirmed(again), first))
+    first = saved(connected_components(_confirmed(saved(promising, "pairs"), members)), "components")
+    again = saved(_cross_component(shared, members, first), "pairs")
+    merged = connected_components(_between(_confirmed(again, members), first))
     labels = first.join(merged.select(F.col("node").alias("component"), F.col("component").alias("merged")), "component", "left").select(
         "node", F.coalesce("merged", "component").alias("component")
     ).union(

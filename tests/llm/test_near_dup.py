@@ -98,7 +98,7 @@ def test_estimate_and_recall():
         one, two = near_dup.signatures([np.sort(a), np.sort(b)])
         found += bool((one.reshape(near_dup.BANDS, -1) == two.reshape(near_dup.BANDS, -1)).all(1).any())
         errors.append(near_dup.estimate(np.array([(one == two).mean()]), np.array([len(a)]), np.array([len(b)]))[0] - shared / total)
-    assert found == 300 and abs(np.mean(errors)) < 0.02 and np.max(np.abs(errors)) < 0.75 - near_dup.LEAST_ESTIMATE
+    assert found == 300 and abs(np.mean(errors)) < 0.02 and np.max(np.abs(errors)) < 0.75 - near_dup.least_estimate(128)
     unrelated = near_dup.signatures([np.sort(pool[:3000]), np.sort(pool[5000:8000])])
     assert near_dup.estimate(np.array([(unrelated[0] == unrelated[1]).mean()]), np.array([3000]), np.array([3000]))[0] < 0.03
 
