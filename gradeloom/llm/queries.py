@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeloom.llm import language, mixing, near_dup, pii, sharding, substring, url_trie, weak_rules
+from gradeloom.llm import decontaminate, language, mixing, near_dup, pii, sharding, substring, url_trie, weak_rules
 
 URL_RULES = [
     ("block", "net/"),
@@ -28,6 +28,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_rules.judge(_read(spark, sf_dir, "documents"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain an item of the benchmark, one row per pair."""
+    return decontaminate.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight contiguous shards of nearly equal bytes."""
     return sharding.balanced_shards(_read(spark, sf_dir, "documents"))
@@ -59,7 +64,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op5_sharding, op6_mixing, op7_url_filters, op8_language_id, op9_substring_dedup, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_benchmark_decontamination, op5_sharding, op6_mixing, op7_url_filters, op8_language_id, op9_substring_dedup, op10_minhash_near_dedup)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
