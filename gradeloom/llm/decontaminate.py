@@ -61,11 +61,8 @@ def common_words(a: list, b: list) -> int:
     return len(a) - row.bit_count()
 
 
-@dataclass
-class Passage:
-    item: int  # number within the block
-    words: list[bytes]
-    answer: list[bytes]
+#: Number of the item within its block, words, words of the answer.
+Passage = tuple[int, list[bytes], list[bytes]]
 
 
 @dataclass
@@ -87,7 +84,7 @@ def _passages(item: int, text: bytes | None, answer: bytes | None) -> list[Passa
     else:
         wanted = plain_words(answer)
     starts = range(0, max(1, len(words) - STRIDE), STRIDE) if len(words) > PASSAGE else [0]
-    return [Passage(item, words[s : s + PASSAGE], wanted if s + PASSAGE >= len(words) or len(words) <= PASSAGE else []) for s in starts]
+    return [(item, words[s : s + PASSAGE], wanted if s + PASSAGE >= len(words) else []) for s in starts]
 
 
 def _frequencies(number):
@@ -109,9 +106,9 @@ def _frequencies(number):
     return run
 
 
-def _row(passage: Passage, number: dict[bytes, int], weights: np.ndarray) -> tuple[list[int], list[float]]:
+def _row(words: list[bytes], number: dict[bytes, int], weights: np.ndarray) -> tuple[list[int], list[float]]:
     """Distinct word numbers and TF-IDF weights, of length one."""
-    slots, counts = np.unique([number[w] for w in passage.words], return_counts=True)
+    slots, counts = np.unique([number[w] for w in words], return_counts=True)
     row = np.sqrt(counts) * weights[slots]
     keep = row > 0
     return slots[keep].tolist(), (row[keep] / max(1e-12, np.linalg.norm(row))).tolist()
@@ -119,7 +116,7 @@ def _row(passage: Passage, number: dict[bytes, int], weights: np.ndarray) -> tup
 
 def _index(docs: DataFrame, passages: list[Passage], rank: int) -> Index:
     spark = docs.sparkSession
-    number = {w: k for k, w in enumerate(dict.fromkeys(w for p in passages for w in p.words))}
+    number = {w: k for k, w in enumerate(dict.fromkeys(w for _, words, _ in passages for w in words))}
     counted = docs.select("text").mapInArrow(_frequencies(spark.sparkContext.broadcast(number)), "word int, n long")
     found = {r["word"]: r["n"] for r in counted.groupBy("word").agg(F.sum("n").alias("n")).collect()}  # one row per word of the block
     documents = found.get(-1, 0)
@@ -127,7 +124,7 @@ def _index(docs: DataFrame, passages: list[Passage], rank: int) -> Index:
     weights = np.log((documents + 1) / (frequency + 1)).astype(np.float32)
     if documents >= 1 / COMMON:
         weights[frequency > COMMON * documents] = 0
-    rows = [_row(p, number, weights) for p in passages]
+    rows = [_row(words, number, weights) for _, words, _ in passages]
     frame = spark.createDataFrame(rows, "slots array<int>, weights array<double>").repartition(max(1, len(rows) // 500 + 1))
     space = right_vectors(frame, len(number), min(rank, len(number), len(rows)))
     vectors = np.stack([np.array(w, np.float32) @ space[s] if s else np.zeros(space.shape[1], np.float32) for s, w in rows])
@@ -135,11 +132,11 @@ def _index(docs: DataFrame, passages: list[Passage], rank: int) -> Index:
     return Index(passages, number, weights, space * weights[:, None], vectors / np.maximum(norms, 1e-9))
 
 
-def _judge(passage: Passage, around: list[bytes]) -> tuple[str | None, float]:
-    overlap = common_words(passage.words, around) / len(passage.words)
+def _judge(words: list[bytes], answer: list[bytes], around: list[bytes]) -> tuple[str | None, float]:
+    overlap = common_words(words, around) / len(words)
     if overlap >= VERBATIM:
         return "verbatim", overlap
-    if overlap >= PARAPHRASE and passage.answer and common_words(passage.answer, around) >= ANSWER * len(passage.answer):
+    if overlap >= PARAPHRASE and answer and common_words(answer, around) >= ANSWER * len(answer):
         return "paraphrase", overlap
     return None, overlap
 
@@ -155,7 +152,7 @@ def _windows_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _search(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = sent.value
+        index = Index(**sent.value)
         for block in blocks(batches, "text", BLOCK_BYTES):
             ids = block.column("doc_id").to_pylist()
             texts = [plain_words(t) for t in block.column("text").to_pylist()]
@@ -176,14 +173,14 @@ def _search(sent):
                 sums = np.add.reduceat(index.space[known[flat]], np.cumsum(high_w - low_w) - (high_w - low_w), axis=0)
                 cosines = (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)) @ index.vectors.T
                 for w, p in zip(*np.nonzero(cosines >= LEAST_COSINE)):
-                    passage, window = index.passages[p], part[w]
+                    (item, own, answer), window = index.passages[p], part[w]
                     doc = int(np.searchsorted(np.cumsum(lengths), starts[window], side="right"))
                     begin = int(lengths[:doc].sum())
                     first, last = max(begin, starts[window] - STRIDE), min(begin + lengths[doc], ends[window] + STRIDE)
-                    kind, overlap = _judge(passage, words[first:last])
-                    key = (doc, passage.item)
+                    kind, overlap = _judge(own, answer, words[first:last])
+                    key = (doc, item)
                     if kind and (key not in best or best[key][4] < overlap):
-                        best[key] = (passage.item, int(first - begin), int(last - begin) - 1, float(cosines[w, p]), overlap, kind)
+                        best[key] = (item, int(first - begin), int(last - begin) - 1, float(cosines[w, p]), overlap, kind)
             if best:
                 names = [part.split()[0] for part in _MATCH.split(", ")]
                 columns = dict(zip(names, zip(*best.values())))
@@ -217,7 +214,7 @@ def find_leaks(
         passages = [p for n, r in enumerate(own) for p in _passages(n, r["text"], r["answer"])]
         if not passages:
             continue
-        sent = docs.sparkSession.sparkContext.broadcast(_index(rows, passages, rank))
+        sent = docs.sparkSession.sparkContext.broadcast(vars(_index(rows, passages, rank)))
         matches = rows.mapInArrow(_search(sent), f"doc_id {kinds['doc_id']}, {_MATCH}")
         names = docs.sparkSession.createDataFrame([(n, r["item_id"]) for n, r in enumerate(own)], f"item long, item_id {kinds['item_id']}")
         named = matches.join(F.broadcast(names), "item").drop("item")

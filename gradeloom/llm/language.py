@@ -223,7 +223,7 @@ class _Scorer:
 
 def _label(model, with_words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = model.value
+        field = Field(**model.value)
         scorer = _Scorer(field)
         names = np.array(field.labels, dtype=object)
         for block in blocks(batches, "text", BLOCK_BYTES):
@@ -294,7 +294,7 @@ def identify(
         return rows.select(F.col("doc_id").alias(id_column), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), *extra)
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, lang_pred string, score double" + ", runs array<struct<first: bigint, last: bigint, lang: string>>" * with_words
-    model = docs.sparkSession.sparkContext.broadcast(field)
+    model = docs.sparkSession.sparkContext.broadcast(vars(field))
     return rows.mapInArrow(_label(model, with_words), schema).withColumnRenamed("doc_id", id_column)
 
 
