@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from gradeloom.llm.tokens import blocks
 
@@ -222,12 +223,14 @@ class _Scorer:
 
 
 def _label(model, with_words: bool):
+    """Map task: the input's columns without ``_text``, and the labels of ``_text``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = Field(**model.value)
         scorer = _Scorer(field)
         names = np.array(field.labels, dtype=object)
-        for block in blocks(batches, "text", BLOCK_BYTES):
-            texts = [(t or b"").decode().lower().split() for t in block.column("text").to_pylist()]
+        for block in blocks(batches, "_text", BLOCK_BYTES):
+            texts = [(t or b"").decode().lower().split() for t in block.column("_text").to_pylist()]
             lengths = np.array([len(t) for t in texts])
             words = [w for t in texts for w in t]
             langs, shares, runs = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts)), [[] for _ in texts]
@@ -248,10 +251,12 @@ def _label(model, with_words: bool):
                         own = top[a : a + lengths[k]]
                         cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
                         runs[k] = [{"first": int(x), "last": int(y) - 1, "lang": names[own[x]]} for x, y in zip(cuts, np.r_[cuts[1:], len(own)])]
-            columns = {"doc_id": block.column("doc_id"), "lang_pred": pa.array(langs, pa.string()), "score": pa.array(shares, pa.float64())}
+            columns = dict(zip(block.schema.names, block.columns))
+            del columns["_text"]
+            columns |= {"_language": pa.array(langs, pa.string()), "_score": pa.array(shares, pa.float64())}
             if with_words:
                 kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("lang", pa.string())]))
-                columns["runs"] = pa.array(runs, kind)
+                columns["_runs"] = pa.array(runs, kind)
             yield pa.RecordBatch.from_pydict(columns)
 
     return run
@@ -276,6 +281,24 @@ def sample(docs: DataFrame, per_language: int = SAMPLE, stretch: int = STRETCH)
     return [(r["lang"], r["text"]) for r in limited.collect() if r["text"]]
 
 
+_RUNS = "array<struct<first: bigint, last: bigint, lang: string>>"
+
+
+def label(docs: DataFrame, training: DataFrame, with_words: bool = False, text_column: str = "text") -> DataFrame:
+    """The documents with ``_language``, ``_score`` and, if asked for, ``_runs`` of words (first, last, lang).
+
+    ``training`` has columns doc_id, text, lang and holds the rows that may be learned from.
+    """
+    field = fit(sample(training))
+    if field is None:
+        extra = {"_language": F.lit(UNKNOWN), "_score": F.lit(0.0)}
+        return docs.withColumns(extra | {"_runs": F.expr(f"CAST(array() AS {_RUNS})")} if with_words else extra)
+    added = "_language string, _score double" + f", _runs {_RUNS}" * with_words
+    schema = StructType([*docs.schema.fields, *StructType.fromDDL(added).fields])
+    model = docs.sparkSession.sparkContext.broadcast(vars(field))
+    return docs.withColumn("_text", F.col(text_column).cast("binary")).mapInArrow(_label(model, with_words), schema)
+
+
 def identify(
     docs: DataFrame,
     training: DataFrame,
@@ -283,19 +306,10 @@ def identify(
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
-    """One row per document: id, lang_pred, score and, if asked for, ``runs`` of words (first, last, lang).
-
-    ``training`` has columns doc_id, text, lang and holds the rows that may be learned from.
-    """
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("binary").alias("text"))
-    field = fit(sample(training))
-    if field is None:
-        extra = [F.expr("CAST(array() AS array<struct<first: bigint, last: bigint, lang: string>>)").alias("runs")] * with_words
-        return rows.select(F.col("doc_id").alias(id_column), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), *extra)
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, lang_pred string, score double" + ", runs array<struct<first: bigint, last: bigint, lang: string>>" * with_words
-    model = docs.sparkSession.sparkContext.broadcast(vars(field))
-    return rows.mapInArrow(_label(model, with_words), schema).withColumnRenamed("doc_id", id_column)
+    """One row per document: id, lang_pred, score and, if asked for, ``runs`` of words."""
+    rows = docs.select(F.col(id_column), F.col(text_column).cast("binary").alias("_body"))
+    found = label(rows, training, with_words, "_body")
+    return found.select(id_column, F.col("_language").alias("lang_pred"), F.col("_score").alias("score"), *[F.col("_runs").alias("runs")] * with_words)
 
 
 def held_out(id_column: str = "doc_id"):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeloom.llm import decontaminate, language, mixing, near_dup, pii, sharding, substring, url_trie, weak_rules
+from gradeloom.llm import decontaminate, knn_quality, language, mixing, near_dup, pii, sharding, substring, url_trie, weak_rules
 
 URL_RULES = [
     ("block", "net/"),
@@ -33,6 +33,11 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How likely every document is of good quality, by its labelled neighbours."""
+    return knn_quality.predict(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight contiguous shards of nearly equal bytes."""
     return sharding.balanced_shards(_read(spark, sf_dir, "documents"))
@@ -64,7 +69,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_benchmark_decontamination, op5_sharding, op6_mixing, op7_url_filters, op8_language_id, op9_substring_dedup, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_benchmark_decontamination, op4_quality_classifier, op5_sharding, op6_mixing, op7_url_filters, op8_language_id, op9_substring_dedup, op10_minhash_near_dedup)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
