@@ -414,7 +414,7 @@ def _(spark, sf):
 
 @query("agg_33_download_summary", o.over(_LINES_CTE + "SELECT strategy, count(*) AS successful, count(*) AS total FROM lines WHERE status_code = 200 GROUP BY strategy"))
 def _(spark, sf):
-    rows = readers.batch_responses(readers.parse_batch_lines(_batch_lines(spark, sf)), data.questions(spark, sf).drop("answer").withColumn("answer", F.lit(None).cast("int")))
+    rows = readers.batch_responses(readers.parse_batch_lines(_batch_lines(spark, sf)), data.questions(spark, sf))
     return quality.success_rates(rows, ["strategy"]).select("strategy", F.col("succeeded").alias("successful"), "total")
 
 
@@ -448,7 +448,7 @@ def _(spark, sf):
 def _split(q):
     from gradeloom.operators.ranking import stratified_split
 
-    return stratified_split(q, "question_id", "category", strata=data.CATEGORIES)
+    return stratified_split(q, "question_id", "category")
 
 
 @query("win_03_stratified_folds", o.over("""SELECT question_id, expected_template, CAST((row_number() OVER (PARTITION BY expected_template ORDER BY md5('42|' || question_id), question_id) - 1) % 3 AS INTEGER) AS fold FROM questions"""))
@@ -456,7 +456,7 @@ def _(spark, sf):
     from gradeloom.operators.ranking import stratified_folds
 
     q = data.questions(spark, sf).select("question_id", "expected_template")
-    return stratified_folds(q, "question_id", "expected_template", k=3, labels=fv.TEMPLATES)
+    return stratified_folds(q, "question_id", "expected_template", k=3)
 
 
 @query("win_04_batches", o.over("SELECT question_id, question_id // 100 + 1 AS batch, question_id // 100 * 100 AS batch_first, question_id // 100 * 100 + 99 AS batch_last FROM questions"))
@@ -478,8 +478,7 @@ def _(spark, sf):
 def _(spark, sf):
     from gradeloom.operators.progress import progress_marks
 
-    groups = [(p, s) for p in fv.PROVIDERS for s in fv.STRATEGIES]
-    return progress_marks(data.request_log(spark, sf), groups=groups)
+    return progress_marks(data.request_log(spark, sf))
 
 
 @query("win_07_first_response", o.over("SELECT provider, question_id, question, response, success, error, attempts FROM responses QUALIFY row_number() OVER (PARTITION BY provider, question_id ORDER BY position) = 1"))

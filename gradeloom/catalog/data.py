@@ -21,19 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores when a table is too small to be read in that many splits.
-
-    A table of cluster size has more splits than cores and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 def questions_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
     base = "array(concat('first ', doc_id), concat('second ', n_chars), concat('third ', lang), 'none of these')"
-    return spread(documents, "doc_id").selectExpr(
+    return documents.selectExpr(
         "doc_id AS question_id",
         "text AS question",
         f"get(split('{' '.join(SUBJECT_NAMES)}', ' '), CAST(doc_id % {N_SUBJECTS} AS INT)) AS subject",

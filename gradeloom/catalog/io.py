@@ -105,7 +105,7 @@ def _(spark, sf):
 def _(spark, sf):
     path = scratch_path(spark, "question-list")
     writers.write_question_list(data.questions(spark, sf), path)
-    return spark.read.schema("question_id bigint, question string").json(f"{path}/questions")
+    return readers.read_question_list(spark, path)
 
 
 def _cache_rows(spark, sf, strategy="baseline"):

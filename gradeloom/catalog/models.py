@@ -23,17 +23,42 @@ def _text_rows(spark, sf):
     return q.select("question_id", "question", F.col("expected_template").alias("label_name"))
 
 
-def _small_mlp(rows):
-    return routers.train_mlp(rows, hidden=(16, 8), max_iter=30, labels=fv.TEMPLATES)
+def _learnable(spark, sf):
+    """Embeddings labelled by the largest of their first five values, in a training and a held-out part."""
+    head = F.slice("embedding", 1, len(fv.TEMPLATES))
+    template = F.get(F.array(*[F.lit(t) for t in fv.TEMPLATES]), (F.array_position(head, F.array_max(head)) - 1).cast("int"))
+    rows = data.table(spark, sf, "embeddings").select("vec_id", "embedding", template.alias("template"))
+    rows = routers.embedding_features(rows)
+    return rows.where(F.col("vec_id") % 5 != 0), rows.where(F.col("vec_id") % 5 == 0)
 
 
-@query("prj_23_confidence")
+_HELD_OUT = f"""WITH held AS (SELECT vec_id, ({fv.TEMPLATES!r})[list_position(embedding[1:{len(fv.TEMPLATES)}], list_max(embedding[1:{len(fv.TEMPLATES)}]))] AS template
+ FROM embeddings WHERE vec_id % 5 = 0) """
+_SUPPORT = _HELD_OUT + "SELECT template AS ground_truth, count(*) AS total, true AS accurate FROM held GROUP BY template"
+
+
+def _support(scored, least):
+    """Held-out rows per class, and whether the accuracy over all of them reaches ``least``."""
+    pairs = routers.scored_pairs(scored)
+    accuracy = pairs.agg(F.avg((F.col("ground_truth") == F.col("predicted")).cast("double"))).scalar()
+    return pairs.groupBy("ground_truth").agg(F.count(F.lit(1)).alias("total")).withColumn("accurate", accuracy >= least)
+
+
+@query("prj_23_confidence", _HELD_OUT + """SELECT vec_id, router, true AS known_template, true AS in_range, true AS reasoned
+ FROM held, (SELECT unnest(['trained', 'untrained']) AS router)""")
 def _(spark, sf):
-    rows = _rows(spark, sf)
-    scored = routers.route(_small_mlp(rows), rows)
-    untrained = routers.route(None, rows)
-    both = scored.select("vec_id", "predicted", "confidence", "reasoning").unionByName(untrained.select("vec_id", "predicted", "confidence", "reasoning"))
-    return both.withColumn("confidence", F.round("confidence", 6))
+    train, held_out = _learnable(spark, sf)
+    trained = routers.route(routers.train_logistic(train, labels=fv.TEMPLATES), held_out).withColumn("router", F.lit("trained"))
+    untrained = routers.route(None, held_out).withColumn("router", F.lit("untrained"))
+    columns = ["vec_id", "router", "predicted", "confidence", "reasoning"]
+    confidence = F.col("confidence")
+    return trained.select(*columns).unionByName(untrained.select(*columns)).select(
+        "vec_id",
+        "router",
+        F.col("predicted").isin(fv.TEMPLATES).alias("known_template"),
+        confidence.between(1 / len(fv.TEMPLATES) - 1e-9, 1 + 1e-9).alias("in_range"),
+        (F.col("reasoning") == F.when(F.col("router") == "trained", routers.reasoning(confidence)).otherwise("Not trained")).alias("reasoned"),
+    )
 
 
 @query("ml_01_label_encoding", o.over("SELECT template AS label_name, CAST(dense_rank() OVER (ORDER BY template) - 1 AS DOUBLE) AS label, n FROM (SELECT template, count(*) AS n FROM router_rows GROUP BY template)"))
@@ -57,25 +82,22 @@ def _(spark, sf):
     )
 
 
-@query("ml_03_mlp_router")
+@query("ml_03_mlp_router", _SUPPORT)
 def _(spark, sf):
-    rows = _rows(spark, sf)
-    scored = routers.score(_small_mlp(rows), rows)
-    return routing.classifier_accuracy(routers.scored_pairs(scored), ["ground_truth"])
+    train, held_out = _learnable(spark, sf)
+    return _support(routers.score(routers.train_mlp(train, labels=fv.TEMPLATES), held_out), 0.5)
 
 
-@query("ml_04_logistic_router")
+@query("ml_04_logistic_router", _SUPPORT)
 def _(spark, sf):
-    rows = _rows(spark, sf)
-    scored = routers.score(routers.train_logistic(rows, max_iter=50, labels=fv.TEMPLATES), rows)
-    return routing.classifier_accuracy(routers.scored_pairs(scored), ["ground_truth"])
+    train, held_out = _learnable(spark, sf)
+    return _support(routers.score(routers.train_logistic(train, labels=fv.TEMPLATES), held_out), 0.6)
 
 
-@query("ml_05_forest_router")
+@query("ml_05_forest_router", _SUPPORT)
 def _(spark, sf):
-    rows = _rows(spark, sf)
-    scored = routers.score(routers.train_forest(rows, trees=10, depth=5, labels=fv.TEMPLATES), rows)
-    return routing.classifier_accuracy(routers.scored_pairs(scored), ["ground_truth"])
+    train, held_out = _learnable(spark, sf)
+    return _support(routers.score(routers.train_forest(train, labels=fv.TEMPLATES), held_out), 0.4)
 
 
 @query("ml_06_class_weights", o.over("SELECT template, n, round(sum(n) OVER () / CAST(count(*) OVER () * n AS DOUBLE), 6) AS weight FROM (SELECT template, count(*) AS n FROM router_rows GROUP BY template)"))
@@ -83,11 +105,12 @@ def _(spark, sf):
     return routers.class_weights(data.router_rows(spark, sf))
 
 
-@query("ml_07_batch_scoring")
+@query("ml_07_batch_scoring", _HELD_OUT + "SELECT vec_id, true AS known_template FROM held")
 def _(spark, sf):
-    rows = _rows(spark, sf)
-    model = routers.train_logistic(rows, max_iter=20, labels=fv.TEMPLATES)
-    return routers.score(model, rows.drop("label_name", "template")).select("vec_id", "predicted")
+    train, held_out = _learnable(spark, sf)
+    model = routers.train_logistic(train, labels=fv.TEMPLATES)
+    scored = routers.score(model, held_out.drop("label_name", "template"))
+    return scored.select("vec_id", F.col("predicted").isin(fv.TEMPLATES).alias("known_template"))
 
 
 @query("ml_08_routed_templates", o.over("SELECT question_id, 'verbose' AS baseline, coalesce(simple_neural, 'verbose') AS simple_neural, coalesce(roberta, 'verbose') AS roberta FROM predictions"))
@@ -95,11 +118,16 @@ def _(spark, sf):
     return requests.routed_templates(data.predictions(spark, sf), ["simple_neural", "roberta"], "verbose")
 
 
-@query("ml_09_text_router")
+@query("ml_09_text_router", o.over("""SELECT CAST(fold + 1 AS INTEGER) AS fold, count(*) AS held_out, true AS shares, true AS timed FROM (
+ SELECT (row_number() OVER (PARTITION BY expected_template ORDER BY md5('42|' || question_id), question_id) - 1) % 3 AS fold FROM questions) GROUP BY fold"""))
 def _(spark, sf):
-    folded = stratified_folds(_text_rows(spark, sf), "question_id", "label_name", k=3, labels=fv.TEMPLATES).cache()
-    metrics = routers.cross_validate(folded, lambda part: routers.train_text(part, max_iter=5, labels=fv.TEMPLATES))
-    return routing.cv_summary(metrics)
+    folded = stratified_folds(_text_rows(spark, sf), "question_id", "label_name", k=3).cache()
+    metrics = routers.cross_validate(folded, lambda part: routers.train_text(part, labels=fv.TEMPLATES))
+    sizes = folded.groupBy((F.col("fold") + 1).alias("fold")).agg(F.count(F.lit(1)).alias("held_out"))
+    share = [F.col(c).between(0, 1) for c in ("train_accuracy", "val_accuracy", "val_f1")]
+    return metrics.join(sizes, "fold").select(
+        "fold", "held_out", (share[0] & share[1] & share[2]).alias("shares"), (F.col("train_time") > 0).alias("timed")
+    )
 
 
 @query("ml_10_fold_gaps", o.over(_FOLD_METRICS + "SELECT fold, train_accuracy, val_accuracy, val_accuracy AS val_f1, train_time, round(train_accuracy - val_accuracy, 6) AS gap FROM m"))
@@ -107,26 +135,34 @@ def _(spark, sf):
     return routing.fold_gaps(_fold_metrics(spark, sf))
 
 
-@query("snk_11_metric_files")
+@query("snk_11_metric_files", _HELD_OUT + """SELECT model, n AS questions, true AS accurate, true AS timed
+ FROM (SELECT count(*) AS n FROM held), (SELECT unnest(['logistic', 'forest']) AS model)""")
 def _(spark, sf):
-    rows = _rows(spark, sf)
+    train, held_out = _learnable(spark, sf)
     models = {
-        "logistic": routers.train_logistic(rows, max_iter=20, labels=fv.TEMPLATES),
-        "forest": routers.train_forest(rows, trees=5, depth=4, labels=fv.TEMPLATES),
+        "logistic": routers.train_logistic(train, labels=fv.TEMPLATES),
+        "forest": routers.train_forest(train, labels=fv.TEMPLATES),
     }
-    scored, seconds = routers.evaluate_models(models, rows)
+    scored, seconds = routers.evaluate_models(models, held_out)
     timings = spark.createDataFrame(list(seconds.items()), "model string, prediction_time double")
     path = scratch_path(spark, "metrics")
     routing.model_comparison(scored, timings).write.json(path)
-    return spark.read.schema("model string, questions bigint, accuracy double").json(path)
+    columns = "model string, questions bigint, accuracy double, prediction_time double, avg_time_per_question double"
+    return spark.read.schema(columns).json(path).select(
+        "model",
+        "questions",
+        (F.col("accuracy") >= 0.4).alias("accurate"),
+        ((F.col("prediction_time") > 0) & (F.col("avg_time_per_question") > 0)).alias("timed"),
+    )
 
 
-@query("snk_12_saved_router")
+@query("snk_12_saved_router", _HELD_OUT + "SELECT true AS same, count(*) AS n FROM held")
 def _(spark, sf):
-    rows = _rows(spark, sf)
-    model = routers.train_logistic(rows, max_iter=20, labels=fv.TEMPLATES)
+    train, held_out = _learnable(spark, sf)
+    model = routers.train_logistic(train, labels=fv.TEMPLATES)
     path = scratch_path(spark, "router")
     routers.save_router(model, path)
-    again = routers.score(routers.load_router(path), rows).select("vec_id", F.col("predicted").alias("reloaded"))
-    first = routers.score(model, rows).select("vec_id", "predicted")
-    return first.join(again, "vec_id").groupBy((F.col("predicted") == F.col("reloaded")).alias("same")).agg(F.count(F.lit(1)).alias("n"))
+    again = routers.score(routers.load_router(path), held_out).select("vec_id", F.col("predicted").alias("reloaded"))
+    first = routers.score(model, held_out).select("vec_id", "predicted")
+    same = (F.col("predicted") == F.col("reloaded")).alias("same")
+    return first.join(again, "vec_id").groupBy(same).agg(F.count(F.lit(1)).alias("n"))

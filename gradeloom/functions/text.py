@@ -20,10 +20,15 @@ def is_blank(text: Column) -> Column:
     return F.coalesce(stripped(text), F.lit("")) == ""
 
 
+def folded(text: Column) -> Column:
+    """Lower case, with the letters that match ``i`` and ``s`` when case is ignored written as those."""
+    return F.lower(F.translate(text, "\u0130\u0131\u017f", "iis"))
+
+
 def answer_choice(body: Column, lowered: Column) -> Column:
     """Letter A-D named by the text; NULL when no pattern matches.
 
-    ``body`` is the stripped text and ``lowered`` its lower-case form; make both columns
+    ``body`` is the stripped text and ``lowered`` its ``folded`` form; make both columns
     first, they are read many times. A pattern is only run when the text holds a
     substring the pattern cannot match without, so most texts cost a few substring
     searches and one or two regular expressions.

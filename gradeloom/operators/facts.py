@@ -20,7 +20,7 @@ def classify(responses: DataFrame, text: str = "response") -> DataFrame:
     own = responses.columns
     prepared = (
         responses.withColumn("_body", tx.stripped(F.col(text)))
-        .withColumn("_low", F.lower("_body"))
+        .withColumn("_low", tx.folded(F.col("_body")))
         .withColumn("_head", tx.error_head(F.col(text)))
     )
     searched = computed_once(

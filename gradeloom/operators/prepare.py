@@ -80,8 +80,10 @@ def with_batches(questions: DataFrame, size: int = 100) -> DataFrame:
 def distribution(rows: DataFrame, keys: list[str], within: list[str] | None = None) -> DataFrame:
     """Count per key and its percentage of the total (or of the ``within`` group)."""
     counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    # the window sees one row per distinct key, never the input rows
-    total = F.sum("n").over(Window.partitionBy(*(within or [F.lit(1)])))
+    if within:
+        total = F.sum("n").over(Window.partitionBy(*within))
+    else:
+        total = rows.agg(F.count(F.lit(1))).scalar()
     return counted.withColumn("share_pct", percent(F.col("n"), total))
 
 

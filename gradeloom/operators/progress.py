@@ -7,54 +7,42 @@ from pyspark.sql import DataFrame, functions as F
 from gradeloom import fixed_values as fv
 from gradeloom.functions.numbers import ratio
 from gradeloom.operators.ranking import running_counts
+from gradeloom.session import per_group
 
-_SEP = "\x1f"
 
-
-def progress_marks(log: DataFrame, step: int = fv.PROGRESS_STEP, groups: list[tuple[str, str]] | None = None, levels: int = 6) -> DataFrame:
-    """One row per ``step`` completions (and the last) of each provider and strategy.
+def progress_marks(log: DataFrame, step: int = fv.PROGRESS_STEP, levels: int | None = None) -> DataFrame:
+    """One row per ``step`` completions (and the last) of each provider and strategy; NULLs are groups too.
 
     ``log`` has provider, strategy and completed_at. Completions at the same instant are
     counted together first, and running counts are built from ordered buckets, so no
     group is sorted in a single task.
     """
-    keyed = log.select(
-        F.concat_ws(_SEP, "provider", "strategy").alias("grp"), F.unix_micros("completed_at").alias("at")
-    )
+    keyed = log.select(F.struct("provider", "strategy").alias("grp"), F.unix_micros("completed_at").alias("at"))
     sized = keyed.groupBy("grp", "at").agg(F.count(F.lit(1)).alias("n"))
-    domain = None if groups is None else [_SEP.join(g) for g in groups]
-    counted = running_counts(sized, "grp", "at", "n", domain, levels)
-    began = sized.groupBy("grp").agg(F.min("at").alias("began"))
-    if domain is not None:
-        began = F.broadcast(began.where(F.col("grp").isin(domain)))
+    counted = running_counts(sized, "grp", "at", "n", levels)
+    began = per_group(sized.groupBy(F.col("grp").alias("_grp")).agg(F.min("at").alias("began")))
     first = F.floor((F.col("running") - F.col("n")) / step + 1) * step
     last = F.floor(F.col("running") / step) * step
     wide = step * 10_000
-    chunk = F.explode(F.when(first <= last, F.sequence(first, last, F.lit(wide).cast("long"))).otherwise(F.array().cast("array<bigint>")))
-    stepped = (
-        counted.select("grp", "at", "total", last.alias("last"), chunk.alias("chunk"))
-        .withColumn(
-            "completed",
-            F.explode(F.sequence("chunk", F.least("last", F.col("chunk") + (wide - step)), F.lit(step).cast("long"))),
-        )
+    none = F.array().cast("array<bigint>")
+    # Long runs are exploded in two steps, so no array grows with the number of equal instants.
+    chunks = F.when(first <= last, F.sequence(first, last, F.lit(wide).cast("long"))).otherwise(none)
+    steps = F.sequence("chunk", F.least("last", F.col("chunk") + (wide - step)), F.lit(step).cast("long"))
+    is_last = (F.col("running") == F.col("total")) & (F.col("total") % step != 0)
+    ends = F.when(is_last, F.array(F.col("total"))).otherwise(none)
+    marks = (
+        counted.select("grp", "at", "total", "running", last.alias("last"), F.explode(F.concat(chunks, F.when(is_last, F.array(F.lit(-1).cast("long"))).otherwise(none))).alias("chunk"))
+        .withColumn("completed", F.explode(F.when(F.col("chunk") < 0, ends).otherwise(steps)))
         .select("grp", "at", "total", "completed")
     )
-    final = counted.where((F.col("running") == F.col("total")) & (F.col("total") % step != 0)).select(
-        "grp", "at", "total", F.col("total").alias("completed")
-    )
-    names = F.split("grp", _SEP)
     elapsed = (F.col("at") - F.col("began")) / F.lit(1e6)
     rate = ratio(F.col("completed"), elapsed) * 60
-    return (
-        stepped.unionByName(final)
-        .join(began, "grp")
-        .select(
-            F.get(names, F.lit(0)).alias("provider"),
-            F.get(names, F.lit(1)).alias("strategy"),
-            "completed",
-            "total",
-            F.round(elapsed, 3).alias("elapsed_sec"),
-            F.round(rate, 3).alias("rate_per_min"),
-            F.round(ratio(F.col("total") - F.col("completed"), rate), 3).alias("eta_min"),
-        )
+    return marks.join(began, F.col("grp").eqNullSafe(F.col("_grp"))).select(
+        "grp.provider",
+        "grp.strategy",
+        "completed",
+        "total",
+        F.round(elapsed, 3).alias("elapsed_sec"),
+        F.round(rate, 3).alias("rate_per_min"),
+        F.round(ratio(F.col("total") - F.col("completed"), rate), 3).alias("eta_min"),
     )

@@ -244,6 +244,7 @@ def sample_report(classified: DataFrame, answer_key: DataFrame, provider: str, s
     )
     key = answer_key.select("question_id", tx.answer_letter(F.col("answer")).alias("ground_truth"))
     hits = key.join(F.broadcast(picked.select("question_id")), "question_id")  # n rows decide what is looked up
+    hits = hits.groupBy("question_id").agg(F.min("ground_truth").alias("ground_truth"))
     return picked.join(F.broadcast(hits), "question_id", "left").select(
         "question_id",
         F.substring("question", 1, 100).alias("question"),

@@ -8,9 +8,15 @@ its starting rank, and only then is a window used, inside one bucket.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gradeloom.session import broadcast_if_closed, pin
+from gradeloom.session import per_group
+
+
+#: Rows of a group that one task orders.
+_BUCKET_ROWS = 100_000
 
 
 def seeded_key(row_id: Column, seed: int) -> Column:
@@ -33,10 +39,9 @@ def stratified_split(
     seed: int = 42,
     test_share: float = 0.2,
     validation_share: float = 0.1,
-    strata: list[str] | None = None,
     hex_digits: int = 3,
 ) -> DataFrame:
-    """Add ``split`` (train / val / test) with exact quotas inside every stratum.
+    """Add ``split`` (train / val / test) with exact quotas inside every stratum; NULL is a stratum.
 
     Within a stratum rows are ordered by a seeded hash; the first round(test_share*n)
     are test, the next round(validation_share*n) val, the rest train. Only the two
@@ -60,7 +65,8 @@ def stratified_split(
         .select("g", "bucket", "start", "test_end", "val_end")
     )
     in_bucket = Window.partitionBy("g", "bucket").orderBy("key", "rid")
-    ranked = narrow.join(broadcast_if_closed(borders, "g", strata), ["g", "bucket"]).withColumn(
+    near = per_group(borders).withColumnsRenamed({"g": "_g", "bucket": "_bucket"})
+    ranked = narrow.join(near, F.col("g").eqNullSafe(F.col("_g")) & (F.col("bucket") == F.col("_bucket"))).withColumn(
         "rank", F.col("start") + F.row_number().over(in_bucket)
     )
     cuts = ranked.groupBy("g").agg(
@@ -70,8 +76,8 @@ def stratified_split(
     own = F.struct(seeded_key(F.col(row_id), seed).alias("key"), F.col(row_id).alias("rid"))
     return (
         rows.join(
-            broadcast_if_closed(cuts.withColumnRenamed("g", "_stratum"), "_stratum", strata),
-            F.col(stratum) == F.col("_stratum"),
+            per_group(cuts.withColumnRenamed("g", "_stratum")),
+            F.col(stratum).eqNullSafe(F.col("_stratum")),
             "left",
         )
         .withColumn(
@@ -97,10 +103,9 @@ def stratified_folds(
     label: str,
     k: int = 3,
     seed: int = 42,
-    labels: list[str] | None = None,
     hex_digits: int = 3,
 ) -> DataFrame:
-    """Add ``fold`` in 0..k-1, dealing each label's rows round robin in seeded order."""
+    """Add ``fold`` in 0..k-1, dealing each label's rows round robin in seeded order; NULL is a label."""
     keyed = rows.withColumn("_key", seeded_key(F.col(row_id), seed)).withColumn(
         "_bucket", F.substring("_key", 1, hex_digits)
     )
@@ -108,10 +113,10 @@ def stratified_folds(
     starts = _bucket_starts(sized, "g").select(
         F.col("g").alias("_g"), F.col("bucket").alias("_b"), F.col("start").alias("_start")
     )
-    starts = broadcast_if_closed(starts, "_g", labels)
+    starts = per_group(starts)
     in_bucket = Window.partitionBy(label, "_bucket").orderBy("_key", row_id)
     return (
-        keyed.join(starts, (F.col(label) == F.col("_g")) & (F.col("_bucket") == F.col("_b")))
+        keyed.join(starts, F.col(label).eqNullSafe(F.col("_g")) & (F.col("_bucket") == F.col("_b")))
         .withColumn("fold", ((F.col("_start") + F.row_number().over(in_bucket) - 1) % k).cast("int"))
         .drop("_key", "_bucket", "_g", "_b", "_start")
     )
@@ -132,25 +137,28 @@ def running_counts(
     group: str,
     order: str,
     count: str,
-    groups: list[str] | None = None,
-    levels: int = 6,
+    levels: int | None = None,
 ) -> DataFrame:
-    """Add ``running`` (inclusive running count in ``order``) and ``total`` per group.
+    """Add ``running`` (inclusive running count in ``order``) and ``total`` per group; NULL is a group.
 
     ``sized`` has one row per (group, order value) with its row count, so a value shared
     by very many rows is already a single row. Groups are cut at approximate quantiles
     of ``order``; the quantiles only balance the buckets and are pinned, since another
-    evaluation could place them differently.
+    evaluation could place them differently. A group has 2**levels buckets; by default so
+    many that the largest group has about ``_BUCKET_ROWS`` rows in each.
     """
+    if levels is None:
+        largest = sized.groupBy(group).count().agg(F.max("count")).first()[0] or 1
+        levels = max(2, math.ceil(math.log2(max(1, largest / _BUCKET_ROWS))))
     parts = 2**levels
     shares = [i / parts for i in range(1, parts)]
-    bounds = pin(
+    bounds = per_group(
         sized.groupBy(F.col(group).alias("_g")).agg(
             F.percentile_approx(order, shares, 100 * parts).alias("_bounds")
         )
     )
     placed = (
-        sized.join(broadcast_if_closed(bounds, "_g", groups), F.col(group) == F.col("_g"))
+        sized.join(bounds, F.col(group).eqNullSafe(F.col("_g")))
         .withColumn("_bucket", _position(F.col("_bounds"), F.col(order), levels))
         .drop("_g", "_bounds")
     )
@@ -158,10 +166,10 @@ def running_counts(
     starts = _bucket_starts(totals, "g").select(
         F.col("g").alias("_g"), F.col("bucket").alias("_b"), F.col("start").alias("_start"), "total"
     )
-    starts = broadcast_if_closed(starts, "_g", groups)
+    starts = per_group(starts)
     inside = Window.partitionBy(group, "_bucket").orderBy(order)
     return (
-        placed.join(starts, (F.col(group) == F.col("_g")) & (F.col("_bucket") == F.col("_b")))
+        placed.join(starts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_bucket") == F.col("_b")))
         .withColumn("running", F.col("_start") + F.sum(count).over(inside))
         .drop("_g", "_b", "_start", "_bucket")
     )

@@ -6,7 +6,7 @@ import time
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.feature import HashingTF, IDF, IndexToString, RegexTokenizer, StandardScaler, StringIndexer
+from pyspark.ml.feature import HashingTF, IDF, IndexToString, RegexTokenizer, StandardScaler, StringIndexer, StringIndexerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -40,13 +40,17 @@ def _labels(rows: DataFrame, labels: list[str] | None) -> list[str]:
     return list(_label_indexer().fit(rows).labels)
 
 
-def _fit(rows: DataFrame, classifier, scale: bool, labels: list[str], text: bool = False) -> PipelineModel:
-    """Indexer -> features -> classifier -> label name, fitted as one pipeline."""
-    stages = [_label_indexer()]
-    if text:
+def _fit(rows: DataFrame, classifier, scale: bool, labels: list[str], words: int | None = None) -> PipelineModel:
+    """Indexer -> features -> classifier -> label name, fitted as one pipeline.
+
+    One sorted list names the classes on both ends, whether or not each occurs in the rows. Rows
+    with a label outside the list are an error.
+    """
+    stages = [StringIndexerModel.from_labels(labels, inputCol="label_name", outputCol="label", handleInvalid="error")]
+    if words:
         stages += [
             RegexTokenizer(inputCol="question", outputCol="words", pattern=r"\W+"),
-            HashingTF(inputCol="words", outputCol="tf", numFeatures=1 << 16),
+            HashingTF(inputCol="words", outputCol="tf", numFeatures=words),
             IDF(inputCol="tf", outputCol="features"),
         ]
     elif scale:
@@ -100,17 +104,22 @@ def train_forest(rows: DataFrame, trees: int = 100, depth: int = 10, min_leaf: i
     return _fit(weighted, model, True, names)
 
 
-def train_text(rows: DataFrame, max_iter: int = 50, reg: float = 0.001, labels: list[str] | None = None) -> PipelineModel:
-    """Router on the question text: hashed word counts, inverse document frequency, logistic."""
+def train_text(
+    rows: DataFrame, max_iter: int = 50, reg: float = 0.001, labels: list[str] | None = None, words: int = 1 << 16
+) -> PipelineModel:
+    """Router on the question text: hashed word counts, inverse document frequency, logistic.
+
+    ``words`` is the number of slots that words are hashed to.
+    """
     names = _labels(rows, labels)
     model = LogisticRegression(featuresCol="features", labelCol="label", family="multinomial", maxIter=max_iter, regParam=reg)
-    return _fit(rows, model, False, names, text=True)
+    return _fit(rows, model, False, names, words)
 
 
 def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """Add ``predicted`` (template name), ``confidence`` and ``reasoning``."""
     scorable = rows if "label_name" in rows.columns else rows.withColumn("label_name", F.lit(None).cast("string"))
-    indexer = model.stages[0].setHandleInvalid("keep")
+    indexer = model.stages[0].copy().setHandleInvalid("keep")
     scored = PipelineModel([indexer, *model.stages[1:]]).transform(scorable)
     confidence = F.array_max(vector_to_array("probability"))
     return scored.withColumn("confidence", confidence).withColumn("reasoning", reasoning(confidence))

@@ -29,13 +29,14 @@ def _against_predictions(counted: DataFrame, predictions: DataFrame) -> DataFram
 def router_accuracy(predictions: DataFrame, responses: DataFrame, routers: list[str] = fv.STRATEGIES[1:]) -> DataFrame:
     """Matches, misses and accuracy per provider and router.
 
-    The denominator is the number of predictions, whether or not a response exists.
+    The denominator is the number of predictions, whether or not a response exists. A
+    group none of whose questions has a prediction shows 0 matches.
     """
     used = responses.where(F.col("strategy").isin(routers)).select("question_id", "provider", "strategy", "template")
     matched = (
-        used.join(routing_truth(predictions), "question_id")
+        used.join(routing_truth(predictions), "question_id", "left")
         .groupBy("provider", "strategy")
-        .agg(F.count_if(F.col("truth").eqNullSafe(F.col("template"))).alias("matches"))
+        .agg(F.count_if(F.coalesce(F.col("truth") == F.col("template"), F.lit(False))).alias("matches"))
     )
     return _against_predictions(matched, predictions).select(
         "provider",
@@ -59,19 +60,22 @@ def _side_by_side(responses: DataFrame, first: str, second: str) -> DataFrame:
             F.max(F.when(ours, F.col("template"))).alias("first_template"),
             F.max(F.when(theirs, F.col("template"))).alias("second_template"),
         )
-        .where((F.col("n_first") > 0) & (F.col("n_second") > 0))
+        .withColumn("both", (F.col("n_first") > 0) & (F.col("n_second") > 0))
     )
 
 
 def router_agreement(
     predictions: DataFrame, responses: DataFrame, first: str = "simple_neural", second: str = "roberta"
 ) -> DataFrame:
-    """Questions both routers answered, and the share of predictions with the same template."""
-    same = F.col("first_template").eqNullSafe(F.col("second_template"))
+    """Questions both routers answered, and the share of predictions with the same template.
+
+    A provider with rows of one router only shows 0.
+    """
+    same = F.col("both") & F.col("first_template").eqNullSafe(F.col("second_template"))
     compared = (
         _side_by_side(responses, first, second)
         .groupBy("provider")
-        .agg(F.count(F.lit(1)).alias("compared"), F.count_if(same).alias("agreed"))
+        .agg(F.count_if("both").alias("compared"), F.count_if(same).alias("agreed"))
     )
     return (
         _against_predictions(compared, predictions)

@@ -19,7 +19,8 @@ RESPONSE = (
 )
 
 RESULTS_DOCUMENT = f"map<string, map<string, array<{RESPONSE}>>>"
-BATCH_RESULTS_DOCUMENT = f"map<string, array<{RESPONSE}>>"
+BATCH_RESPONSE = RESPONSE[:-1] + ", choices:array<string>, answer:int, category:string, total_tokens:int>"
+BATCH_RESULTS_DOCUMENT = f"map<string, array<{BATCH_RESPONSE}>>"
 
 RESPONSE_ROW = (
     "question_id bigint, question string, strategy string, template string, provider string, "

@@ -41,15 +41,18 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_closed(df: DataFrame, column: str, domain: list[str] | None) -> DataFrame:
-    """Broadcast a table keyed by ``column`` when ``domain`` proves its size.
+#: Rows up to which a table of one row per group is broadcast.
+FEW_GROUPS = 100_000
 
-    With a domain the table is restricted to it, so it holds at most
-    ``len(domain)`` keys. Without one the choice is left to adaptive execution.
+
+def per_group(df: DataFrame) -> DataFrame:
+    """A table with a few rows per group, evaluated once and broadcast if it is small.
+
+    It is checkpointed and counted; a larger one is joined as adaptive execution sees fit.
+    The rows are the same either way.
     """
-    if domain is None:
-        return df
-    return F.broadcast(df.where(F.col(column).isin(domain)))
+    pinned = pin(df)
+    return F.broadcast(pinned) if pinned.count() <= FEW_GROUPS else pinned
 
 
 def computed_once(df: DataFrame, keep: list[str], *columns: Column) -> DataFrame:

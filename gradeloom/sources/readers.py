@@ -67,18 +67,26 @@ def read_results(spark: SparkSession, path: str, whole_files: bool = False) -> D
 
 
 def read_batch_results(spark: SparkSession, path: str, provider: str = "openai", whole_files: bool = False) -> DataFrame:
-    """Batch results documents {strategy: [row]} (no provider level) as response rows."""
+    """Batch results documents {strategy: [row]} (no provider level) as response rows.
+
+    Rows without a question_id are numbered by their place in the list; where failed requests are left
+    out of the list, that place is not the question's, and ``batch_responses`` over the raw lines is the way.
+    """
     lines = spark.read.text(path, wholetext=whole_files)
     by_strategy = lines.select(F.explode(F.from_json("value", schemas.BATCH_RESULTS_DOCUMENT)).alias("strategy", "rows"))
     return _response_rows(
-        by_strategy.select(F.lit(provider).alias("provider"), "strategy", F.posexplode_outer("rows").alias("position", "r"))
+        by_strategy.select(F.lit(provider).alias("provider"), "strategy", F.posexplode_outer("rows").alias("position", "r")),
+        "choices", "answer", "category", "total_tokens",
     )
 
 
-def _response_rows(exploded: DataFrame) -> DataFrame:
-    fields = ["question", "template", "response", "success", "error", "attempts", "input_tokens", "output_tokens"]
+def _response_rows(exploded: DataFrame, *more: str) -> DataFrame:
+    fields = ["question", "template", "response", "success", "error", "attempts", "input_tokens", "output_tokens", *more]
     number = F.when(F.col("r").isNotNull(), F.coalesce("r.question_id", "position"))
-    return exploded.select(number.alias("question_id"), "provider", "strategy", *[F.col(f"r.{f}").alias(f) for f in fields])
+    place = F.when(F.col("r").isNotNull(), F.col("position").cast("long"))
+    return exploded.select(
+        number.alias("question_id"), "provider", "strategy", *[F.col(f"r.{f}").alias(f) for f in fields], place.alias("position")
+    )
 
 
 def list_objects(spark: SparkSession, path: str) -> DataFrame:
@@ -109,19 +117,34 @@ def choose_run(spark: SparkSession, path: str, n: int | None = None, pattern: st
     wanted = runs if n is None else runs.where(F.col("n") == n)
     row = wanted.orderBy(F.col("n").desc()).first()
     if row is None:
-        known = [r.n for r in runs.orderBy("n").limit(1000).collect()]
-        raise FileNotFoundError(f"no run with {n} questions in {path}; found: {known}")
+        known = [str(r.n) for r in runs.orderBy("n").limit(1001).collect()]
+        listed = ", ".join(known[:1000]) + (" and more" if len(known) > 1000 else "")
+        raise FileNotFoundError(f"no run with {n} questions in {path}; found: {listed}")
     return row.run
 
 
 def read_predictions(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """Router predictions (a JSON array per file, or one object per line); missing -> empty."""
+    """Router predictions; a missing path gives no rows.
+
+    ``multiline`` reads one JSON array per file, the exchange format: its rows carry no number and are
+    numbered by their place in the array. Otherwise every line is an object with its question_id.
+    """
     try:
-        return spark.read.schema(schemas.PREDICTION_ROW).option("multiLine", multiline).json(path)
+        if not multiline:
+            return spark.read.schema(schemas.PREDICTION_ROW).json(path)
+        files = spark.read.text(path, wholetext=True)
     except Exception as missing:
         if "PATH_NOT_FOUND" not in str(missing):
             raise
         return spark.createDataFrame([], schemas.PREDICTION_ROW)
+    rows = files.select(F.posexplode(F.from_json("value", f"array<struct<{_as_struct(schemas.PREDICTION_ROW)}>>")).alias("at", "r"))
+    names = [part.split()[0] for part in schemas.PREDICTION_ROW.split(", ")]
+    number = F.coalesce("r.question_id", F.col("at").cast("long")).alias("question_id")
+    return rows.select(number, *[F.col(f"r.{n}").alias(n) for n in names[1:]])
+
+
+def _as_struct(ddl: str) -> str:
+    return ", ".join(f"{name}: {kind}" for name, kind in (part.split(" ", 1) for part in ddl.split(", ")))
 
 
 def read_batch_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -170,6 +193,11 @@ def read_saved_questions(spark: SparkSession, path: str, multiline: bool = False
     return docs.select(F.posexplode("questions").alias("question_id", "question"))
 
 
+def read_question_list(spark: SparkSession, path: str) -> DataFrame:
+    """The question list that ``writers.write_question_list`` saves, one row per question."""
+    return spark.read.schema("question_id bigint, question string").json(f"{path}/questions")
+
+
 def read_cache(spark: SparkSession, path: str, provider: str | None = None, question_id: int | None = None, multiline: bool = False) -> DataFrame:
     """Cached responses; ``provider`` prunes partitions, ``question_id`` looks one up."""
     entries = spark.read.schema(schemas.CACHE_ENTRY).option("multiLine", multiline).json(path)

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from gradeloom.operators import quality
+from gradeloom.operators import quality, routing
 from gradeloom.plans import report
 from gradeloom.sinks import writers
 from gradeloom.sources import readers
@@ -25,11 +25,13 @@ def test_pretty_printed_results_document(spark, tmp_path):
 
 def test_batch_document_has_no_provider_level(spark, tmp_path):
     row = {k: v for k, v in ROW.items() if k not in ("question_id", "provider", "strategy", "error", "attempts")}
+    row |= {"choices": ["x", "y"], "answer": 1, "category": "c", "total_tokens": 7}
     (tmp_path / "b.json").write_text(json.dumps({"baseline": [row, row], "roberta": [row]}))
     rows = readers.read_batch_results(spark, str(tmp_path))
     assert sorted((r.provider, r.strategy, r.question_id) for r in rows.collect()) == [
         ("openai", "baseline", 0), ("openai", "baseline", 1), ("openai", "roberta", 0),
     ]
+    assert {(tuple(r.choices), r.answer, r.category, r.total_tokens) for r in rows.collect()} == {(("x", "y"), 1, "c", 7)}
 
 
 def test_question_document_by_position(spark, tmp_path):
@@ -49,13 +51,22 @@ def test_run_choice(spark, tmp_path):
     (tmp_path / "notes.txt").write_text("x")
     assert readers.choose_run(spark, str(tmp_path)).endswith("_n100_results.json")
     assert readers.read_results(spark, readers.choose_run(spark, str(tmp_path), 9)).count() == 9
-    with pytest.raises(FileNotFoundError, match=r"\[9, 10, 100\]"):
+    with pytest.raises(FileNotFoundError, match="found: 9, 10, 100$"):
         readers.choose_run(spark, str(tmp_path), 11)
 
 
 def test_predictions_array_file_and_missing_file(spark, tmp_path):
     (tmp_path / "p.json").write_text(json.dumps([{"question": "Q", "baseline": "verbose"}, {"question": "R", "ground_truth": "minimal", "baseline": "verbose"}], indent=1))
-    assert readers.read_predictions(spark, str(tmp_path / "p.json"), multiline=True).count() == 2
+    predictions = readers.read_predictions(spark, str(tmp_path / "p.json"), multiline=True)
+    assert sorted((r.question_id, r.question, r.ground_truth) for r in predictions.collect()) == [(0, "Q", None), (1, "R", "minimal")]
+    doc = {"openai": {"roberta": [ROW | {"template": "minimal", "question_id": k} for k in (1, 0)]}, "gemini": {"roberta": [ROW | {"question_id": 9}]}}
+    (tmp_path / "r.json").write_text(json.dumps(doc))
+    rows = readers.read_results(spark, str(tmp_path / "r.json"), whole_files=True)
+    assert sorted((r.provider, r.question_id, r.position) for r in rows.collect()) == [("gemini", 9, 0), ("openai", 0, 1), ("openai", 1, 0)]
+    accuracy = routing.router_accuracy(predictions, rows)
+    assert sorted((r.provider, r.matches, r.misses) for r in accuracy.collect()) == [("gemini", 0, 2), ("openai", 1, 1)]
+    agreement = routing.router_agreement(predictions, rows)
+    assert {(r.provider, r.compared, r.agreed) for r in agreement.collect()} == {("gemini", 0, 0), ("openai", 0, 0)}
     assert readers.read_predictions(spark, str(tmp_path / "absent.json")).count() == 0
 
 

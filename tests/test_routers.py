@@ -30,6 +30,15 @@ def test_each_router_learns_separable_labels(rows):
     assert accuracy(routers.train_mlp(rows, hidden=(12,), max_iter=80), rows) > 90
 
 
+def test_absent_labels_do_not_shift_the_names(rows):
+    some = rows.where(F.col("template").isin("standard", "technical", "verbose")).cache()
+    for model in (routers.train_logistic(some, max_iter=50, labels=fv.TEMPLATES), routers.train_mlp(some, hidden=(12,), max_iter=80, labels=fv.TEMPLATES)):
+        assert accuracy(model, some) > 90
+        before = model.stages[0].getHandleInvalid()
+        routers.score(model, some.drop("label_name")).count()
+        assert model.stages[0].getHandleInvalid() == before
+
+
 def test_alphabetical_labels(rows):
     assert routers._label_indexer().fit(rows).labels == ["executive", "minimal", "standard", "technical", "verbose"]
 

@@ -14,6 +14,9 @@ ANSWERS = [
     ("Answer: C  \nThe sum", "C"),
     ("**Answer: B**\nx", "B"),
     ("answer: because", "B"),
+    ("an\u017fwer: B", "B"),
+    ("thu\u017f C", "C"),
+    ("cho\u0131ce D", "D"),
     ("Correct Letter:** A", "A"),
     ("1. **Correct Letter:** d", "D"),
     ("letter  **B**", "B"),
@@ -61,7 +64,7 @@ def python_answer(text):
 
 FRAGMENTS = [
     "answer", "Answer:", "ANSWER: ", "**", "letter", "Letter:", "correct ", "correct letter", " is ", "the answer is ", "therefore",
-    "thus, ", "option ", "choice", "final answer:", "(", ")", "A", "b", "C", "d", "E", "1. ", "\n", " ", "\t", " ", "\r\n", " ",
+    "thus, ", "option ", "choice", "final answer:", "an\u017fwer: ", "THU\u017f ", "cho\u0131ce ", "opt\u0130on ", "An\u017fwer I\u017f ", "\u212a", "(", ")", "A", "b", "C", "d", "E", "1. ", "\n", " ", "\t", " ", "\r\n", " ",
     "é", "x", ".", ":", "\x1c", "\x85", "_", "9",
 ]
 
