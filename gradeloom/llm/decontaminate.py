@@ -4,7 +4,8 @@
    its words are counted over all documents.
 2. A distributed randomised singular value decomposition of the passages' TF-IDF rows gives the latent space.
 3. Every window of every document is folded into that space; passages whose cosine reaches
-   ``LEAST_COSINE`` are candidates.
+   ``LEAST_COSINE`` there, and ``LEAST_SHARE`` when the window's words from outside the benchmark count
+   too, are candidates.
 4. The longest common subsequence of a candidate and the words around the window decides: ``VERBATIM`` of the
    passage is a leak; from ``PARAPHRASE`` on it is one if the answer is found there too. The answer is the
    benchmark's ``answer`` column if it has one, else the last sentence of the item.
@@ -33,6 +34,7 @@ from gradeloom.llm.tokens import blocks
 PASSAGE, STRIDE = 64, 32
 RANK = 128
 LEAST_COSINE = 0.35
+LEAST_SHARE = 0.2
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.6, 0.6
 COMMON = 0.1  # words of more than this share of the documents get no weight
 BLOCK_ITEMS = 4000
@@ -165,14 +167,20 @@ def _search(sent):
             starts, ends = _windows_of(lengths)
             low, high = np.searchsorted(weighty, starts), np.searchsorted(weighty, ends)
             some = np.flatnonzero(high > low)
+            # Words that the benchmark does not have weigh as much as its rarest.
+            squares = np.where(known >= 0, index.weights[known], index.weights.max()).astype(float) ** 2
+            summed = np.r_[0.0, np.cumsum(squares)]
+            sizes = np.sqrt(summed[ends] - summed[starts])
             best: dict[tuple[int, int], tuple] = {}
             for at in range(0, len(some), 2000):
                 part = some[at : at + 2000]
                 low_w, high_w = low[part], high[part]
                 flat = np.concatenate([weighty[a:b] for a, b in zip(low_w, high_w)])
                 sums = np.add.reduceat(index.space[known[flat]], np.cumsum(high_w - low_w) - (high_w - low_w), axis=0)
-                cosines = (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)) @ index.vectors.T
-                for w, p in zip(*np.nonzero(cosines >= LEAST_COSINE)):
+                norms = np.linalg.norm(sums, axis=1)
+                cosines = (sums / np.maximum(norms, 1e-9)[:, None]) @ index.vectors.T
+                least = np.maximum(LEAST_COSINE, LEAST_SHARE * sizes[part] / np.maximum(norms, 1e-9))
+                for w, p in zip(*np.nonzero(cosines >= least[:, None])):
                     (item, own, answer), window = index.passages[p], part[w]
                     doc = int(np.searchsorted(np.cumsum(lengths), starts[window], side="right"))
                     begin = int(lengths[:doc].sum())
