@@ -115,8 +115,11 @@ def _(spark, sf):
 @query("jon_11_cost_quality", o.over_classified(_TOTALS + f""", acc AS (SELECT provider, strategy, {o.pct("count(*) FILTER (stage = 'valid' AND correct)", "count(*) FILTER (stage = 'valid' AND extracted IS NOT NULL)")} AS accuracy_pct FROM graded GROUP BY ALL)
 SELECT t.provider, t.strategy, round(total_tokens / CAST(1000000 AS DOUBLE) * price, 6) AS cost, accuracy_pct FROM totals t JOIN prices USING (provider) JOIN acc ON acc.provider = t.provider AND acc.strategy = t.strategy"""))
 def _(spark, sf):
-    accuracy = quality.funnel_rates(quality.funnel(_graded(spark, sf))).withColumnRenamed("correct_pct", "accuracy_pct")
-    return usage.cost_quality(usage.token_totals(data.responses(spark, sf)), usage.output_prices(spark), accuracy)
+    rows = data.responses(spark, sf).withColumn("estimate", usage.estimated_tokens())
+    graded = facts.grade(facts.classify(rows), data.answer_key(spark, sf), [*quality.GROUP, "estimate"])
+    counts = quality.funnel(graded, quality.GROUP, F.coalesce(F.sum("estimate"), F.lit(0)).alias("total_tokens"))
+    accuracy = quality.funnel_rates(counts).withColumnRenamed("correct_pct", "accuracy_pct")
+    return usage.cost_quality(counts, usage.output_prices(spark), accuracy)
 
 
 @query("jon_12_planned_calls", o.over(_caps_cte(fv.LIVE_MAX_TOKENS) + """SELECT q.question_id, p.provider, s.strategy,

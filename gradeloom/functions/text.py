@@ -70,8 +70,8 @@ def likely_error(lowered: Column) -> Column:
 
 def token_estimate(text: Column) -> Column:
     """Words times 1.3, rounded down; 0 for missing text."""
-    pieces = F.split(F.coalesce(text, F.lit("")), rf"(?U)[{fv.WS_CLASS}]+")
-    words = F.size(F.array_remove(pieces, ""))  # leading and trailing space leave empty pieces
+    body = stripped(text)  # else leading and trailing space would leave empty pieces
+    words = F.when(F.coalesce(body, F.lit("")) == "", 0).otherwise(F.size(F.split(body, rf"(?U)[{fv.WS_CLASS}]+")))
     return F.floor(words * F.lit(1.3)).cast("int")
 
 

@@ -129,19 +129,23 @@ def first_rows(rows: DataFrame, keys: list[str], order: str, n: int = 3) -> Data
 
 
 def run_header(responses: DataFrame) -> DataFrame:
-    """Questions, providers, strategies and their product."""
-    return responses.agg(
-        F.count_distinct("question_id").alias("questions"),
-        F.count_distinct("provider").alias("providers"),
-        F.count_distinct("strategy").alias("strategies"),
-    ).withColumn("total_calls", F.col("questions") * F.col("providers") * F.col("strategies"))
+    """Questions, providers, strategies and their product.
+
+    Providers and strategies are counted over the group rows, so the log is not multiplied.
+    """
+    groups = responses.select("provider", "strategy").distinct()
+    return (
+        groups.agg(F.count_distinct("provider").alias("providers"), F.count_distinct("strategy").alias("strategies"))
+        .withColumn("questions", responses.agg(F.count_distinct("question_id")).scalar())
+        .select("questions", "providers", "strategies", (F.col("questions") * F.col("providers") * F.col("strategies")).alias("total_calls"))
+    )
 
 
 _FUNNEL = ["total", "empty", "errors", "valid", "extractable", "non_extractable", "correct", "incorrect"]
 
 
-def funnel(graded: DataFrame, keys: list[str] = GROUP) -> DataFrame:
-    """total -> empty / errors / valid -> extractable -> correct / incorrect per group."""
+def funnel(graded: DataFrame, keys: list[str] = GROUP, *more: Column) -> DataFrame:
+    """total -> empty / errors / valid -> extractable -> correct / incorrect per group, and ``more`` aggregates."""
     valid = F.col("stage") == "valid"
     found = valid & F.col("answer").isNotNull()
     return graded.groupBy(*keys).agg(
@@ -153,6 +157,7 @@ def funnel(graded: DataFrame, keys: list[str] = GROUP) -> DataFrame:
         _n(valid & F.col("answer").isNull()).alias("non_extractable"),
         _n(found & F.col("correct")).alias("correct"),
         _n(found & ~F.col("correct")).alias("incorrect"),
+        *more,
     )
 
 

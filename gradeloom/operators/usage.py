@@ -15,6 +15,12 @@ def answered(responses: DataFrame) -> DataFrame:
     return responses.where(F.col("success") & (F.coalesce("response", F.lit("")) != ""))
 
 
+def estimated_tokens() -> Column:
+    """Estimated tokens of a successful row with a non-empty response, else NULL."""
+    counts = F.col("success") & (F.coalesce("response", F.lit("")) != "")
+    return F.when(counts, token_estimate(F.col("response")))
+
+
 def token_totals(responses: DataFrame, tokens: Column | None = None) -> DataFrame:
     """Total, average and number of counted responses per provider and strategy.
 
@@ -22,8 +28,8 @@ def token_totals(responses: DataFrame, tokens: Column | None = None) -> DataFram
     the reported ``output_tokens``. Groups without a counted response show zeros.
     """
     counts = F.col("success") & (F.coalesce("response", F.lit("")) != "")
-    value = token_estimate(F.col("response")) if tokens is None else F.coalesce(tokens, F.lit(0))
-    slim = responses.select("provider", "strategy", F.when(counts, value).alias("tokens"))
+    value = estimated_tokens() if tokens is None else F.when(counts, F.coalesce(tokens, F.lit(0)))
+    slim = responses.select("provider", "strategy", value.alias("tokens"))
     return (
         slim.groupBy("provider", "strategy")
         .agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens"), F.count("tokens").alias("counted"))
