@@ -15,6 +15,7 @@ held out; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -51,19 +52,25 @@ class _Terms:
     """Slots of whole texts; words seen are remembered while a task runs, up to a number."""
 
     def __init__(self):
-        self.known: dict[bytes, tuple[int, int]] = {}
+        self.known: dict[bytes, int] = {}  # both slots of a word in one number
+        self.shapes: dict[bytes, int] = {}
 
     def __call__(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         """Distinct slots of a text and how often each occurs."""
         words = (text or b"").split()
         if len(self.known) > _KNOWN_WORDS:
             self.known.clear()
+            self.shapes.clear()
         for word in set(words).difference(self.known):
-            self.known[word] = (_slot(b"w" + word.lower()), _slot(b"s" + shape(word)))
-        pairs = np.array([self.known[w] for w in words], np.int64).reshape(-1)
-        counts = np.bincount(pairs, minlength=SLOTS)
+            classes = word.translate(_SHAPE)
+            form = self.shapes.get(classes)
+            if form is None:
+                form = self.shapes[classes] = _slot(b"s" + shape(word))
+            self.known[word] = _slot(b"w" + word.lower()) * SLOTS + form
+        codes = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        counts = np.bincount(codes // SLOTS, minlength=SLOTS) + np.bincount(codes % SLOTS, minlength=SLOTS)
         counts[0] = 1
-        counts[1] = sum(a == b for a, b in zip(words, words[1:]))
+        counts[1] = sum(map(eq, words, words[1:]))
         lines = [line for line in (text or b"").split(b"\n") if line.strip()]
         counts[2] = len(lines) - len(set(lines))
         slots = np.flatnonzero(counts)
