@@ -74,6 +74,26 @@ QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_benchmark_dec
 _WORD = r"[^\x20\x09-\x0D]+"
 
 ORACLES = {
+    "op5_sharding": """
+        WITH entries AS (
+            SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+                lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)) AS entry),
+        cut AS (
+            SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) + 1 AS BIGINT) AS size,
+                list_transform(string_split(regexp_replace(hex(encode(coalesce(text, ''))), '(..)', '\\1 ', 'g'), ' ')[:-2],
+                    lambda h: CAST('0x' || h AS BIGINT)) AS codes
+            FROM documents),
+        sized AS (
+            SELECT doc_id, size, xor(4294967295, list_reduce(list_prepend(4294967295, codes),
+                lambda r, x: xor(r >> 8, entry[(xor(r, x) & 255) + 1]))) AS text_crc32
+            FROM cut, entries),
+        placed AS (
+            SELECT *, row_number() OVER w AS place, sum(size) OVER w - size AS before, sum(size) OVER () AS total FROM sized
+            WINDOW w AS (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING)),
+        shared AS (SELECT *, CAST((2 * before + size) * 8 // (2 * total) AS INTEGER) AS shard FROM placed)
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+            place - min(place) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+        FROM shared""",
     "op6_mixing": rf"""
         WITH sized AS (
             SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORD}')), 0) AS size FROM documents),
