@@ -32,22 +32,9 @@ def strip(x: str) -> str:
     return f"regexp_replace({x}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
 
 
-_PATTERNS = [
-    r"(?im)(?:^|\n)\s*answer:\s*\*{0,2}([A-D])\*{0,2}",
-    r"(?i)(?:correct\s+)?letter\*{0,2}:\*{0,2}\s*([A-D])\*{0,2}",
-    r"(?i)\d+\.\s+\*{0,2}(?:correct\s+)?letter\*{0,2}:\*{0,2}\s*([A-D])",
-    r"(?i)(?:correct\s+)?letter[:\s]+\*{0,2}([A-D])\*{0,2}",
-    r"(?i)\b(?:answer is|correct answer is|therefore,?|thus,?)\s*([A-D])\b",
-    r"(?m)(?:^|\n)\s*(?:\d+\.\s*)?([A-D])\)",
-    r"(?i)(?:final answer|answer):\s*([A-D])",
-    r"\(([A-D])\)",
-    r"(?i)\b(?:option|choice)\s*([A-D])\b",
-]
-
-
 def extract(x: str) -> str:
     """Answer letter of a stripped text."""
-    tries = ", ".join(f"nullif(upper(regexp_extract({x}, {_quote(p)}, 1)), '')" for p in _PATTERNS)
+    tries = ", ".join(f"nullif(upper(regexp_extract({x}, {_quote(p)}, 1)), '')" for p in fv.ANSWER_PATTERNS_SQL)
     return f"coalesce({tries})"
 
 

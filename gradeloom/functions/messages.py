@@ -48,8 +48,8 @@ def provider_label(provider: Column, model: Column) -> Column:
     family = F.when(F.contains(low, F.lit("haiku")), "Haiku").when(F.contains(low, F.lit("sonnet")), "Sonnet").otherwise("Claude")
     cleaned = F.replace(F.replace(model, F.lit("gpt-"), F.lit("GPT-")), F.lit("-"), F.lit(""))
     return (
-        F.when(provider == "openai", F.concat(F.lit("OpenAI-"), cleaned))
-        .when(provider == "claude", F.concat(F.lit("Anthropic-"), family))
-        .when(provider == "gemini", F.concat(F.lit("Google-"), model))
+        F.when(provider == "openai", F.concat(F.lit(fv.PROVIDER_LABEL_PREFIX["openai"]), cleaned))
+        .when(provider == "claude", F.concat(F.lit(fv.PROVIDER_LABEL_PREFIX["claude"]), family))
+        .when(provider == "gemini", F.concat(F.lit(fv.PROVIDER_LABEL_PREFIX["gemini"]), model))
         .otherwise(F.concat(provider, F.lit("-"), model))
     )

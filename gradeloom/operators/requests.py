@@ -111,7 +111,7 @@ def request_lines(calls: DataFrame, mode: str = "batch", model: str = "gpt-4o-mi
         F.lit(0.0).alias("temperature"),
     )
     line = F.struct(
-        identifier.alias("custom_id"), F.lit("POST").alias("method"), F.lit("/v1/chat/completions").alias("url"), body.alias("body")
+        identifier.alias("custom_id"), F.lit(fv.REQUEST_METHOD).alias("method"), F.lit(fv.REQUEST_PATH).alias("url"), body.alias("body")
     )
     return calls.select("provider", "strategy", identifier.alias("custom_id"), F.to_json(line).alias("value"))
 

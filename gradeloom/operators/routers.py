@@ -126,14 +126,14 @@ def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
 
 
 def reasoning(confidence: Column) -> Column:
-    return F.format_string("MLP prediction with %.3f confidence", confidence)
+    return F.format_string(fv.CONFIDENCE_REASONING, confidence)
 
 
 def route(model: PipelineModel | None, rows: DataFrame, untrained: str = fv.BASELINE_TEMPLATE) -> DataFrame:
     """Template, confidence and reasoning per row; an untrained router answers with a constant."""
     if model is None:
         return rows.withColumn("predicted", F.lit(untrained)).withColumn("confidence", F.lit(0.5)).withColumn(
-            "reasoning", F.lit("Not trained")
+            "reasoning", F.lit(fv.UNTRAINED_REASONING)
         )
     return score(model, rows)
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from gradeloom import fixed_values as fv
 from gradeloom.operators.merge import provider_totals, upsert_cache
 from gradeloom.operators.prepare import split_summary
 
@@ -28,7 +29,7 @@ def write_splits(split: DataFrame, path: str, embedding: str | None = "embedding
     meta = split_summary(saved, embedding).select(
         "*",
         F.current_timestamp().cast("string").alias("generated_at"),
-        F.lit("stratified_70_10_20").alias("split_strategy"),
+        F.lit(fv.SPLIT_STRATEGY).alias("split_strategy"),
     )
     meta.write.mode("overwrite").json(f"{path}/metadata")
 
@@ -42,7 +43,7 @@ def write_question_documents(questions: DataFrame, path: str) -> None:
         F.struct(
             F.lit(1).cast("long").alias("total_questions"),
             "split",
-            F.lit("stratified_70_10_20").alias("split_strategy"),
+            F.lit(fv.SPLIT_STRATEGY).alias("split_strategy"),
             F.size("embedding").alias("embedding_dim"),
             F.col("question_id").alias("first_question_id"),
         ).alias("metadata"),

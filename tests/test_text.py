@@ -6,7 +6,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from gradeloom.catalog.oracle import _PATTERNS
+from gradeloom.fixed_values import ANSWER_PATTERNS_SQL as _PATTERNS
 from gradeloom.functions import messages as ms, text as tx
 from gradeloom.operators import facts
 
