@@ -9,7 +9,9 @@ from gradeloom.catalog import data, oracle as o
 from gradeloom.catalog.expressions import _FUNNEL_SUMS, _LINES_CTE, _TOTALS, _batch_lines, _caps_cte
 from gradeloom.catalog.registry import query
 from gradeloom.operators import facts, merge, prepare, quality, requests, routing, usage
+from gradeloom.plans import consolidate
 from gradeloom.plans.report import response_facts
+from gradeloom.session import scratch_path
 from gradeloom.sources import readers
 
 _SUCCESS = """SELECT provider, strategy, count(*) AS total, count(*) FILTER (success) AS succeeded, count(*) FILTER (NOT success) AS failed"""
@@ -310,6 +312,23 @@ def _(spark, sf):
     return merged.select("question_id", "question", F.explode("responses").alias("provider", "r")).select("question_id", "question", "provider", "r.*")
 
 
+@query("snk_14_consolidated", o.over(_FIRSTS + """, totals AS (SELECT count(*) AS total_questions, count(*) FILTER (succeeded = 0) AS all_failed, count(*) FILTER (succeeded > 0 AND failed > 0) AS partial_failures FROM merged)
+SELECT provider, count(*) FILTER (success) AS successful, count(*) FILTER (NOT success) AS failed, any_value(total_questions) AS total_questions, any_value(all_failed) AS all_failed,
+ any_value(partial_failures) AS partial_failures, any_value(total_questions) AS results, any_value(all_failed + partial_failures) AS failures, true AS dated FROM responses, totals GROUP BY provider"""))
+def _(spark, sf):
+    path = scratch_path(spark, "consolidated")
+    consolidate.save_consolidated(consolidate.consolidate(data.responses(spark, sf), fv.PROVIDERS, _outcomes(spark, sf)), path)
+    header = spark.read.schema(
+        "generated_at string, total_questions bigint, all_failed bigint, partial_failures bigint, by_provider map<string, struct<successful: bigint, failed: bigint>>"
+    ).json(f"{path}/statistics")
+    results = spark.read.schema("question_id bigint").json(f"{path}/results").agg(F.count("question_id")).scalar()
+    failures = spark.read.schema("question_id bigint, kind string").json(f"{path}/failures").agg(F.count("question_id")).scalar()
+    return header.select(
+        F.explode("by_provider").alias("provider", "counts"), "total_questions", "all_failed", "partial_failures",
+        results.alias("results"), failures.alias("failures"), (F.col("generated_at") != "").alias("dated"),
+    ).select("provider", "counts.*", "total_questions", "all_failed", "partial_failures", "results", "failures", "dated")
+
+
 @query("agg_22_request_statistics", o.over("""SELECT provider, CAST(sum(attempts) AS BIGINT) AS total_requests, count(*) FILTER (NOT success) AS failures,
  coalesce(round((sum(attempts) - count(*) FILTER (NOT success)) / CAST(nullif(sum(attempts), 0) AS DOUBLE), 6), 0) AS success_rate FROM responses GROUP BY provider"""))
 def _(spark, sf):
