@@ -1,14 +1,16 @@
-"""Benchmark decontamination by latent semantic retrieval and a check of the word order.
+"""Benchmark decontamination by rare words, a check of the word order and latent semantics.
 
 1. The benchmark is cut into passages of at most ``PASSAGE`` words. Document frequencies of
    its words are counted over all documents.
-2. A distributed randomised singular value decomposition of the passages' TF-IDF rows gives the latent space.
-3. Every window of every document is folded into that space; passages whose cosine reaches
-   ``LEAST_COSINE`` there, and ``LEAST_SHARE`` when the window's words from outside the benchmark count
-   too, are candidates.
-4. The longest common subsequence of a candidate and the words around the window decides: ``VERBATIM`` of the
+2. Passages that have enough of their rarest words around a window of a document are candidates. A passage that shares
+   ``PARAPHRASE`` of its words with a text lacks at most the rest, so enough is a bound that no leak can miss, whatever
+   else stands there and however many passages there are.
+3. The longest common subsequence of a candidate and the words around the window decides: ``VERBATIM`` of the
    passage is a leak; from ``PARAPHRASE`` on it is one if the answer is found there too. The answer is the
    benchmark's ``answer`` column if it has one, else the last sentence of the item.
+4. A distributed randomised singular value decomposition of the passages' TF-IDF rows gives a latent space. What is found
+   must also have a cosine of ``LEAST_COSINE`` with the window there, or else stand within ``SPREAD`` times the
+   passage's length: a few frequent words in order, far apart, are no leak.
 
 A benchmark of any size is taken in blocks of ``BLOCK_ITEMS`` items; only one block's vectors are
 broadcast at a time.
@@ -20,6 +22,7 @@ are matched and reported with a null id, but not dropped; other columns are igno
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +37,9 @@ from gradeloom.llm.tokens import blocks
 PASSAGE, STRIDE = 64, 32
 RANK = 128
 LEAST_COSINE = 0.35
-LEAST_SHARE = 0.2
+ASKED = 0.1  # share of a passage's words, its rarest, that a candidate has besides those that a leak may lack
+SPREAD = 2
+CELLS = 4_000_000  # counts of words by place and passage that a task holds at a time
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.6, 0.6
 COMMON = 0.1  # words of more than this share of the documents get no weight
 BLOCK_ITEMS = 4000
@@ -74,6 +79,9 @@ class Index:
     weights: np.ndarray  # inverse document frequency of each
     space: np.ndarray  # words x rank, weighted
     vectors: np.ndarray  # passages x rank, of length one
+    first: np.ndarray  # where the passages of each word begin in ``holders``
+    holders: np.ndarray  # passages that have the word among their rarest, once for each time
+    least: np.ndarray  # of those, how many a leak of each passage has
 
 
 def _passages(item: int, text: bytes | None, answer: bytes | None) -> list[Passage]:
@@ -116,6 +124,26 @@ def _row(words: list[bytes], number: dict[bytes, int], weights: np.ndarray) -> t
     return slots[keep].tolist(), (row[keep] / max(1e-12, np.linalg.norm(row))).tolist()
 
 
+def _least_common(n: int) -> int:
+    """How many of a passage's n words a leak has at least."""
+    return math.ceil(PARAPHRASE * n - 1e-9)
+
+
+def _rarest(passages: list[Passage], number: dict[bytes, int], frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``first``, ``holders`` and ``least`` of an index."""
+    slots, owners, least = [], [], []
+    for p, (_, words, _) in enumerate(passages):
+        common = _least_common(len(words))
+        asked = min(common, math.ceil(ASKED * len(words)))
+        rare = sorted((number[w] for w in words), key=lambda k: (frequency[k], k))[: len(words) - common + asked]
+        slots += rare
+        owners += [p] * len(rare)
+        least.append(asked)
+    order = np.argsort(slots, kind="stable")
+    first = np.r_[0, np.cumsum(np.bincount(slots, minlength=len(number)))]
+    return first, np.array(owners)[order], np.array(least)
+
+
 def _index(docs: DataFrame, passages: list[Passage], rank: int) -> Index:
     spark = docs.sparkSession
     number = {w: k for k, w in enumerate(dict.fromkeys(w for _, words, _ in passages for w in words))}
@@ -131,7 +159,7 @@ def _index(docs: DataFrame, passages: list[Passage], rank: int) -> Index:
     space = right_vectors(frame, len(number), min(rank, len(number), len(rows)))
     vectors = np.stack([np.array(w, np.float32) @ space[s] if s else np.zeros(space.shape[1], np.float32) for s, w in rows])
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-    return Index(passages, number, weights, space * weights[:, None], vectors / np.maximum(norms, 1e-9))
+    return Index(passages, number, weights, space * weights[:, None], vectors / np.maximum(norms, 1e-9), *_rarest(passages, number, frequency))
 
 
 def _judge(words: list[bytes], answer: list[bytes], around: list[bytes]) -> tuple[str | None, float]:
@@ -143,18 +171,53 @@ def _judge(words: list[bytes], answer: list[bytes], around: list[bytes]) -> tupl
     return None, overlap
 
 
-def _windows_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end word, in the flat list of all words, of all windows of all documents."""
-    offsets = np.cumsum(lengths) - lengths
-    n = np.maximum(1, -(-np.maximum(lengths - PASSAGE, 0) // STRIDE) + 1) * (lengths > 0)
-    owner = np.repeat(np.arange(len(lengths)), n)
-    start = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * STRIDE
-    return offsets[owner] + start, offsets[owner] + np.minimum(start + PASSAGE, lengths[owner])
+def _compact(words: list[bytes], around: list[bytes], least: int) -> bool:
+    """Whether ``least`` of the words are found, in order, within ``SPREAD`` times their length."""
+    size = SPREAD * len(words)
+    return any(common_words(words, around[k : k + size]) >= least for k in range(0, max(1, len(around) - len(words)), max(1, len(words) // 2)))
+
+
+def _candidates(index: Index, known: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Document, place in it of the window's first word, and passage, of all windows around which enough rare words stand."""
+    n_passages = len(index.passages)
+    chunks = -(-lengths // STRIDE)
+    first = np.cumsum(chunks) - chunks
+    owner = np.repeat(np.arange(len(lengths)), chunks)
+    total = int(chunks.sum())
+    place = np.arange(len(known)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    degree = np.where(known >= 0, np.diff(index.first)[known], 0)
+    hit = np.flatnonzero(degree)
+    chunk = np.repeat(first, lengths)[hit] + place[hit] // STRIDE
+    known, degree = known[hit], degree[hit]
+    step = max(16, CELLS // n_passages)
+    for at in range(0, total, step):
+        stop = min(total, at + step)
+        low, high = max(0, at - 1), min(total, stop + 2)
+        a, b = np.searchsorted(chunk, (low, high))
+        some = degree[a:b]
+        entry = np.arange(some.sum()) + np.repeat(index.first[known[a:b]] - (np.cumsum(some) - some), some)
+        cells = np.bincount(np.repeat(chunk[a:b] - low, some) * n_passages + index.holders[entry], minlength=(high - low) * n_passages)
+        summed = np.zeros((high - low + 1, n_passages), np.int32)
+        np.cumsum(cells.reshape(-1, n_passages), axis=0, out=summed[1:])
+        here = np.arange(at, stop)
+        doc = owner[here]
+        # A window is two chunks; what is around it, one more on either side.
+        near = summed[np.minimum(here + 3, first[doc] + chunks[doc]) - low] - summed[np.maximum(here - 1, first[doc]) - low]
+        w, p = np.nonzero(near >= index.least)
+        yield doc[w], (here[w] - first[doc[w]]) * STRIDE, p
+
+
+def _cosine(index: Index, known: np.ndarray, p: int) -> float:
+    known = known[known >= 0]
+    row = index.space[known].sum(axis=0)
+    return float(row @ index.vectors[p] / max(1e-9, np.linalg.norm(row)))
 
 
 def _search(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(**sent.value)
+        distinct = [frozenset(index.number[w] for w in own) for _, own, _ in index.passages]
+        lacking = [len(own) - _least_common(len(own)) for _, own, _ in index.passages]
         for block in blocks(batches, "text", BLOCK_BYTES):
             ids = block.column("doc_id").to_pylist()
             texts = [plain_words(t) for t in block.column("text").to_pylist()]
@@ -163,32 +226,24 @@ def _search(sent):
             if not words:
                 continue
             known = np.fromiter((index.number.get(w, -1) for w in words), np.int64, len(words))
-            weighty = np.flatnonzero((known >= 0) & (index.weights[known] > 0))
-            starts, ends = _windows_of(lengths)
-            low, high = np.searchsorted(weighty, starts), np.searchsorted(weighty, ends)
-            some = np.flatnonzero(high > low)
-            # Words that the benchmark does not have weigh as much as its rarest.
-            squares = np.where(known >= 0, index.weights[known], index.weights.max()).astype(float) ** 2
-            summed = np.r_[0.0, np.cumsum(squares)]
-            sizes = np.sqrt(summed[ends] - summed[starts])
+            offsets = (np.cumsum(lengths) - lengths).tolist()
             best: dict[tuple[int, int], tuple] = {}
-            for at in range(0, len(some), 2000):
-                part = some[at : at + 2000]
-                low_w, high_w = low[part], high[part]
-                flat = np.concatenate([weighty[a:b] for a, b in zip(low_w, high_w)])
-                sums = np.add.reduceat(index.space[known[flat]], np.cumsum(high_w - low_w) - (high_w - low_w), axis=0)
-                norms = np.linalg.norm(sums, axis=1)
-                cosines = (sums / np.maximum(norms, 1e-9)[:, None]) @ index.vectors.T
-                least = np.maximum(LEAST_COSINE, LEAST_SHARE * sizes[part] / np.maximum(norms, 1e-9))
-                for w, p in zip(*np.nonzero(cosines >= least[:, None])):
-                    (item, own, answer), window = index.passages[p], part[w]
-                    doc = int(np.searchsorted(np.cumsum(lengths), starts[window], side="right"))
-                    begin = int(lengths[:doc].sum())
-                    first, last = max(begin, starts[window] - STRIDE), min(begin + lengths[doc], ends[window] + STRIDE)
-                    kind, overlap = _judge(own, answer, words[first:last])
+            for found in _candidates(index, known, lengths):
+                last_window = None
+                for doc, start, p in zip(*(x.tolist() for x in found)):
+                    begin = offsets[doc]
+                    first, last = max(0, start - STRIDE), min(len(texts[doc]), start + PASSAGE + STRIDE)
+                    if last_window != (doc, start):
+                        last_window, seen = (doc, start), set(known[begin + first : begin + last].tolist())
+                    if len(distinct[p]) - len(distinct[p] & seen) > lacking[p]:
+                        continue
+                    (item, own, answer), around = index.passages[p], texts[doc][first:last]
+                    kind, overlap = _judge(own, answer, around)
                     key = (doc, item)
                     if kind and (key not in best or best[key][4] < overlap):
-                        best[key] = (item, int(first - begin), int(last - begin) - 1, float(cosines[w, p]), overlap, kind)
+                        cosine = _cosine(index, known[begin + start : begin + min(lengths[doc], start + PASSAGE)], p)
+                        if cosine >= LEAST_COSINE or _compact(own, around, math.ceil((VERBATIM if kind == "verbatim" else PARAPHRASE) * len(own) - 1e-9)):
+                            best[key] = (item, first, last - 1, cosine, overlap, kind)
             if best:
                 names = [part.split()[0] for part in _MATCH.split(", ")]
                 columns = dict(zip(names, zip(*best.values())))

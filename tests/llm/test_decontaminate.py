@@ -80,3 +80,22 @@ def test_empty(spark):
     docs, bench = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
     assert decontaminate.find_leaks(docs, bench).collect() == []
     assert decontaminate.find_leaks(bench.withColumnRenamed("item_id", "doc_id"), bench.limit(0)).collect() == []
+
+
+def planted(seed, n_items, n_docs, lengths=(15, 60)):
+    """Items of frequent and rare words, and documents with one whole item each amid other prose."""
+    rng = random.Random(seed)
+    word = lambda: f"w{int(3000 * rng.random() ** 3)}"
+    items = [(k, " ".join(word() for _ in range(rng.randint(*lengths)))) for k in range(n_items)]
+    prose = lambda n: " ".join(word() if rng.random() < 0.6 else f"x{rng.randrange(20000)}" for _ in range(n))
+    docs = [(d, f"{prose(rng.randrange(20, 120))} {items[d * n_items // n_docs][1]} {prose(rng.randrange(20, 120))}") for d in range(n_docs)]
+    return docs, items, {(d, d * n_items // n_docs) for d in range(n_docs)}
+
+
+@pytest.mark.parametrize("n_items", [1000, 4000])
+def test_whole_items_are_found_whatever_the_size_of_the_benchmark(spark, n_items):
+    docs, items, want = planted(n_items, n_items, 250)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    print("missed", len(want - got), "of", len(want), "more", len(got - want))
+    assert want <= got and len(got - want) <= 2
