@@ -41,7 +41,6 @@ ASKED = 0.1  # share of a passage's words, its rarest, that a candidate has besi
 SPREAD = 2
 CELLS = 4_000_000  # counts of words by place and passage that a task holds at a time
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.6, 0.6
-COMMON = 0.1  # words of more than this share of the documents get no weight
 BLOCK_ITEMS = 4000
 BLOCK_BYTES = 1_500_000
 _SEPARATORS = bytes(range(0x00, 0x30)) + b":;<=>?@[\\]^_`{|}~\x7f"
@@ -120,8 +119,7 @@ def _row(words: list[bytes], number: dict[bytes, int], weights: np.ndarray) -> t
     """Distinct word numbers and TF-IDF weights, of length one."""
     slots, counts = np.unique([number[w] for w in words], return_counts=True)
     row = np.sqrt(counts) * weights[slots]
-    keep = row > 0
-    return slots[keep].tolist(), (row[keep] / max(1e-12, np.linalg.norm(row))).tolist()
+    return slots.tolist(), (row / np.linalg.norm(row)).tolist()
 
 
 def _least_common(n: int) -> int:
@@ -151,13 +149,11 @@ def _index(docs: DataFrame, passages: list[Passage], rank: int) -> Index:
     found = {r["word"]: r["n"] for r in counted.groupBy("word").agg(F.sum("n").alias("n")).collect()}  # one row per word of the block
     documents = found.get(-1, 0)
     frequency = np.array([found.get(k, 0) for k in range(len(number))], float)
-    weights = np.log((documents + 1) / (frequency + 1)).astype(np.float32)
-    if documents >= 1 / COMMON:
-        weights[frequency > COMMON * documents] = 0
+    weights = np.log1p((documents + 1) / (frequency + 1)).astype(np.float32)  # never 0, however frequent a word is
     rows = [_row(words, number, weights) for _, words, _ in passages]
     frame = spark.createDataFrame(rows, "slots array<int>, weights array<double>").repartition(max(1, len(rows) // 500 + 1))
     space = right_vectors(frame, len(number), min(rank, len(number), len(rows)))
-    vectors = np.stack([np.array(w, np.float32) @ space[s] if s else np.zeros(space.shape[1], np.float32) for s, w in rows])
+    vectors = np.stack([np.array(w, np.float32) @ space[s] for s, w in rows])
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     return Index(passages, number, weights, space * weights[:, None], vectors / np.maximum(norms, 1e-9), *_rarest(passages, number, frequency))
 
@@ -240,8 +236,10 @@ def _search(sent):
                     (item, own, answer), around = index.passages[p], texts[doc][first:last]
                     kind, overlap = _judge(own, answer, around)
                     key = (doc, item)
-                    if kind and (key not in best or best[key][4] < overlap):
+                    if kind and (key not in best or best[key][4] <= overlap):
                         cosine = _cosine(index, known[begin + start : begin + min(lengths[doc], start + PASSAGE)], p)
+                        if key in best and (best[key][4], best[key][3]) >= (overlap, cosine):
+                            continue
                         if cosine >= LEAST_COSINE or _compact(own, around, math.ceil((VERBATIM if kind == "verbatim" else PARAPHRASE) * len(own) - 1e-9)):
                             best[key] = (item, first, last - 1, cosine, overlap, kind)
             if best:

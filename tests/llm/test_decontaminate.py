@@ -99,3 +99,18 @@ def test_whole_items_are_found_whatever_the_size_of_the_benchmark(spark, n_items
     got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
     print("missed", len(want - got), "of", len(want), "more", len(got - want))
     assert want <= got and len(got - want) <= 2
+
+
+def test_an_item_in_a_third_of_the_documents(spark):
+    docs, items, want = planted(3, 40, 120)
+    text = dict(items)[5]
+    docs = [(d, f"{t} {text} and more" if d % 3 == 1 else t) for d, t in docs]
+    want |= {(d, 5) for d, _ in docs if d % 3 == 1}
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    print("missed", len(want - set(got)), "of", len(want), "cosine", min(got[k].cosine for k in want & set(got) if k[1] == 5) if want & set(got) else None)
+    assert set(got) == want and all(got[k].cosine > decontaminate.LEAST_COSINE for k in want if k[1] == 5)
+    # Only words that every document has.
+    everywhere = [(d, f"{t} all of these words stand in any one of them") for d, t in docs]
+    frame = spark.createDataFrame(everywhere, "doc_id long, text string")
+    found = decontaminate.find_leaks(frame, spark.createDataFrame([(1, "All of these words stand in any one of them.")], "item_id long, text string")).collect()
+    assert len(found) == len(docs) and all(r.cosine > 0 for r in found)
