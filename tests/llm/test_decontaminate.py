@@ -114,3 +114,13 @@ def test_an_item_in_a_third_of_the_documents(spark):
     frame = spark.createDataFrame(everywhere, "doc_id long, text string")
     found = decontaminate.find_leaks(frame, spark.createDataFrame([(1, "All of these words stand in any one of them.")], "item_id long, text string")).collect()
     assert len(found) == len(docs) and all(r.cosine > 0 for r in found)
+
+
+def test_words_around_a_short_item_do_not_count_against_it(spark):
+    rng = random.Random(4)
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(15))) for k in range(13)] + [(99, "words that no document of the whole table ever has in it")]
+    foreign = lambda n: " ".join(f"x{rng.randrange(10**6)}" for _ in range(n))
+    docs = [(d, f"{foreign(80)} {items[d % 13][1]} {foreign(80)}") for d in range(2600)]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    print("missed", len({(d, d % 13) for d, _ in docs} - got), "of", len(docs))
+    assert got == {(d, d % 13) for d, _ in docs}
