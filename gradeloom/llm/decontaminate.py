@@ -6,8 +6,9 @@
    ``PARAPHRASE`` of its words with a text lacks at most the rest, so enough is a bound that no leak can miss, whatever
    else stands there and however many passages there are.
 3. The longest common subsequence of a candidate and the words around the window decides: ``VERBATIM`` of the
-   passage is a leak; from ``PARAPHRASE`` on it is one if the answer is found there too. The answer is the
-   benchmark's ``answer`` column if it has one, else the last sentence of the item.
+   passage is a leak; from ``PARAPHRASE`` on it is one if the item's answer is found too, there or within ``SPREAD`` times
+   its length anywhere in the document. The answer is the benchmark's ``answer`` column if it has one, else the last
+   sentence of the item.
 4. A distributed randomised singular value decomposition of the passages' TF-IDF rows gives a latent space. What is found
    must also have a cosine of ``LEAST_COSINE`` with the window there, or else stand within ``SPREAD`` times the
    passage's length: a few frequent words in order, far apart, are no leak.
@@ -23,7 +24,7 @@ are matched and reported with a null id, but not dropped; other columns are igno
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -93,7 +94,7 @@ def _passages(item: int, text: bytes | None, answer: bytes | None) -> list[Passa
     else:
         wanted = plain_words(answer)
     starts = range(0, max(1, len(words) - STRIDE), STRIDE) if len(words) > PASSAGE else [0]
-    return [(item, words[s : s + PASSAGE], wanted if s + PASSAGE >= len(words) else []) for s in starts]
+    return [(item, words[s : s + PASSAGE], wanted) for s in starts]
 
 
 def _frequencies(number):
@@ -158,21 +159,22 @@ def _index(docs: DataFrame, passages: list[Passage], rank: int) -> Index:
     return Index(passages, number, weights, space * weights[:, None], vectors / np.maximum(norms, 1e-9), *_rarest(passages, number, frequency))
 
 
-def _judge(words: list[bytes], answer: list[bytes], around: list[bytes]) -> tuple[str | None, float]:
+def _compact(words: list[bytes], around: list[bytes], least: int) -> bool:
+    """Whether ``least`` of the words are found, in order, within ``SPREAD`` times their length."""
+    size = SPREAD * len(words)
+    return any(common_words(words, around[k : k + size]) >= least for k in range(0, max(1, len(around) - len(words)), max(1, len(words) // 2)))
+
+
+def _judge(words: list[bytes], answer: list[bytes], around: list[bytes], elsewhere: Callable[[], bool]) -> tuple[str | None, float]:
+    """``elsewhere`` tells whether the rest of the document has the answer."""
     overlap = common_words(words, around) / len(words)
     if overlap >= VERBATIM:
         return "verbatim", overlap
-    if overlap >= PARAPHRASE and answer and common_words(answer, around) >= ANSWER * len(answer):
+    if overlap >= PARAPHRASE and answer and (common_words(answer, around) >= ANSWER * len(answer) or elsewhere()):
         return "paraphrase", overlap
     return None, overlap
 
 
-def _compact(words: list[bytes], around: list[bytes], least: int) -> bool:
-    """Whether ``least`` of the words are found, in order, within ``SPREAD`` times their length."""
-    size = SPREAD * len(words)
-    return any(common_words(words, around[k : k + size]) >= least for k in range(0, max(1, len(around) - len(words)), max(1, len(words) // 2)))
-
-
 def _candidates(index: Index, known: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Document, place in it of the window's first word, and passage, of all windows around which enough rare words stand."""
     n_passages = len(index.passages)
@@ -224,6 +226,13 @@ def _search(sent):
             known = np.fromiter((index.number.get(w, -1) for w in words), np.int64, len(words))
             offsets = (np.cumsum(lengths) - lengths).tolist()
             best: dict[tuple[int, int], tuple] = {}
+            answered: dict[tuple[int, int], bool] = {}
+
+            def elsewhere(doc: int, item: int, answer: list[bytes]) -> bool:
+                if (doc, item) not in answered:
+                    answered[doc, item] = _compact(answer, texts[doc], math.ceil(ANSWER * len(answer) - 1e-9))
+                return answered[doc, item]
+
             for found in _candidates(index, known, lengths):
                 last_window = None
                 for doc, start, p in zip(*(x.tolist() for x in found)):
@@ -234,7 +243,7 @@ def _search(sent):
                     if len(distinct[p]) - len(distinct[p] & seen) > lacking[p]:
                         continue
                     (item, own, answer), around = index.passages[p], texts[doc][first:last]
-                    kind, overlap = _judge(own, answer, around)
+                    kind, overlap = _judge(own, answer, around, lambda: elsewhere(doc, item, answer))
                     key = (doc, item)
                     if kind and (key not in best or best[key][4] <= overlap):
                         cosine = _cosine(index, known[begin + start : begin + min(lengths[doc], start + PASSAGE)], p)

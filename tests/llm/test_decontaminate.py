@@ -124,3 +124,19 @@ def test_words_around_a_short_item_do_not_count_against_it(spark):
     got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     print("missed", len({(d, d % 13) for d, _ in docs} - got), "of", len(docs))
     assert got == {(d, d % 13) for d, _ in docs}
+
+
+def test_paraphrase_of_any_passage_with_the_answer_anywhere(spark):
+    rng = random.Random(6)
+    prose = lambda n: " ".join(f"x{rng.randrange(5000)}" for _ in range(n))
+    body = [f"q{k}" for k in range(200)]
+    passage = [w if k % 10 < 7 else "changed" for k, w in enumerate(body[:64])]
+    answer = "the answer is forty two"
+    docs = [
+        (1, f"{prose(50)} {' '.join(passage)} {prose(700)} {answer} {prose(40)}"),
+        (2, f"{prose(50)} {' '.join(passage)} {prose(700)}"),
+        (3, f"{answer} {prose(300)} {' '.join(w if k % 10 < 7 else 'changed' for k, w in enumerate(body[64:128]))}"),
+    ]
+    items = spark.createDataFrame([(7, " ".join(body), answer)], "item_id long, text string, answer string")
+    got = {(r.doc_id, r.item_id, r.kind) for r in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert got == {(1, 7, "paraphrase"), (3, 7, "paraphrase")}
