@@ -6,7 +6,8 @@ A document's language is the one with the largest sum of word marginals; its sco
 sum's share of the words with letters.
 
 The field is fitted on a bounded sample: ``SAMPLE`` documents per language, drawn by a hash of their ids, and of each a
-stretch of at most ``STRETCH`` characters at a place chosen by the hash. Everything else covers all rows and
+stretch of at most ``STRETCH`` characters at a place chosen by the hash. Every ``lang`` value that occurs is
+learned, so the model grows with their number. Everything else covers all rows and
 whole texts.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, as is everything when
@@ -30,7 +31,6 @@ UNKNOWN = "und"
 SLOTS = 1 << 16
 SAMPLE = 150
 STRETCH = 1500
-MOST_LANGUAGES = 64
 ROUNDS = 50
 BLOCK_BYTES = 1_000_000
 CHUNK = 32
@@ -286,17 +286,17 @@ def sample(docs: DataFrame, per_language: int = SAMPLE, stretch: int = STRETCH)
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select(
         "doc_id", "lang", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(5)), F.lit(1 << 40)).alias("drawn")
     )
-    frequent = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not frequent:
+    languages = rows.groupBy("lang").count().collect()  # all of them: a language that is left out could never be found
+    if not languages:
         return []
     # About twice as many as needed by the hash alone; only those are ranked.
-    limit = F.element_at(F.create_map(*[F.lit(v) for r in frequent for v in (r["lang"], min(1 << 40, (2 * per_language << 40) // r["count"]))]), F.col("lang"))
+    limit = F.element_at(F.create_map(*[F.lit(v) for r in languages for v in (r["lang"], min(1 << 40, (2 * per_language << 40) // r["count"]))]), F.col("lang"))
     few = rows.where(F.col("drawn") <= limit)
     ranked = few.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("drawn", "doc_id"))).where(F.col("_rank") <= per_language)
-    chosen = F.broadcast(ranked.select("doc_id", "drawn").distinct())  # at most MOST_LANGUAGES * per_language rows
+    chosen = F.broadcast(ranked.select("doc_id", "drawn").distinct())  # at most per_language rows a language
     begin = (F.col("drawn") % F.greatest(F.lit(1), F.length("text") - stretch + 1) + 1).cast("int")
     picked = docs.where("lang IS NOT NULL").join(chosen, "doc_id").select("doc_id", "lang", F.substring("text", begin, F.lit(stretch)).alias("text"))
-    limited = picked.orderBy("doc_id", "lang", "text").limit(MOST_LANGUAGES * per_language)
+    limited = picked.orderBy("doc_id", "lang", "text").limit(len(languages) * per_language)
     return [(r["lang"], r["text"]) for r in limited.collect() if r["text"]]
 
 

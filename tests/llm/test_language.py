@@ -62,3 +62,9 @@ def test_nothing_to_learn_from(spark):
     frame = spark.createDataFrame([(1, "a text", None)], "doc_id long, text string, lang string")
     assert [tuple(r) for r in language.predict_documents(frame).collect()] == [(1, False, "und", 0.0)]
     assert language.predict_documents(frame.limit(0)).collect() == []
+
+
+def test_every_language_is_learned_from(spark):
+    rows = [(k, f"text {k} of its language", f"l{k % 90:02}") for k in range(360)]
+    found = language.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {lang for lang, _ in found} == {f"l{k:02}" for k in range(90)}
