@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeloom.llm import decontaminate, knn_quality, language, mixing, near_dup, pii, sharding, substring, url_trie, weak_rules
+from gradeloom.llm import decontaminate, filter_audit, knn_quality, language, mixing, near_dup, pii, sharding, substring, url_trie, warc, weak_rules
 
 URL_RULES = [
     ("block", "net/"),
@@ -69,7 +69,34 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_benchmark_decontamination, op4_quality_classifier, op5_sharding, op6_mixing, op7_url_filters, op8_language_id, op9_substring_dedup, op10_minhash_near_dedup)}
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every order of five filters keeps, removes and loses, per source."""
+    return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of all pages, written as archives and read back."""
+    found = warc.archive_pages(_read(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_pii,
+        op2_quality_rules,
+        op3_benchmark_decontamination,
+        op4_quality_classifier,
+        op5_sharding,
+        op6_mixing,
+        op7_url_filters,
+        op8_language_id,
+        op9_substring_dedup,
+        op10_minhash_near_dedup,
+        op12_filter_audit,
+        op13_warc,
+    )
+}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -139,4 +166,50 @@ ORACLES = {
         SELECT page_id, host, path, rule,
             CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
         FROM judged""",
+    "op12_filter_audit": rf"""
+        WITH cut AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+                regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words FROM documents),
+        judged AS (
+            SELECT doc_id, part,
+                CASE WHEN len(words) < 200 THEN 'A' ELSE '' END
+                || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+                || CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text) THEN 'C' ELSE '' END
+                || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+                || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS failed
+            FROM cut),
+        marks AS (
+            SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        combined AS (
+            SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+            FROM judged LEFT JOIN marks USING (doc_id) GROUP BY part, failed),
+        letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        orders AS (
+            SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+            WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        steps AS (SELECT filter_order, CAST(unnest(range(1, 6)) AS INTEGER) AS step FROM orders),
+        placed AS (
+            SELECT part, filter_order, step, failed, n, good, toxic, filter_order[step] AS letter,
+                translate(failed, filter_order[:step - 1], '') <> failed AS gone,
+                contains(failed, filter_order[step]) AS fails
+            FROM combined, steps),
+        counted AS (
+            SELECT part, filter_order, step, letter,
+                CAST(coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0) AS BIGINT) AS kept,
+                CAST(coalesce(sum(n) FILTER (NOT gone AND fails), 0) AS BIGINT) AS removed,
+                CAST(coalesce(sum(n) FILTER (gone AND fails), 0) AS BIGINT) AS redundant,
+                CAST(coalesce(sum(n) FILTER (failed = letter), 0) AS BIGINT) AS unique_fails,
+                CAST(coalesce(sum(good) FILTER (NOT gone AND fails), 0) AS BIGINT) AS good_lost,
+                CAST(coalesce(sum(toxic) FILTER (NOT gone AND fails), 0) AS BIGINT) AS toxic_lost
+            FROM placed GROUP BY part, filter_order, step, letter)
+        SELECT * EXCLUDE (letter), CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM counted""",
+    "op13_warc": """
+        WITH paid AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+            FROM pages),
+        led AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM paid)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+            CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id AND first_id IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+        FROM led""",
 }
