@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeloom.llm import decontaminate, filter_audit, knn_quality, language, mixing, near_dup, pii, sharding, substring, url_trie, warc, weak_rules
+from gradeloom.llm import decontaminate, filter_audit, knn_quality, language, mixing, near_dup, pii, sharding, spelling, substring, url_trie, warc, weak_rules
 
 URL_RULES = [
     ("block", "net/"),
@@ -69,6 +69,11 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents with the more frequent spelling that each may be a variant of."""
+    return spelling.variants(_read(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every order of five filters keeps, removes and loses, per source."""
     return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
@@ -93,18 +98,20 @@ QUERIES = {
         op8_language_id,
         op9_substring_dedup,
         op10_minhash_near_dedup,
+        op11_spelling_variants,
         op12_filter_audit,
         op13_warc,
     )
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
+#: The checksum's table of 256 entries, from its polynomial.
+_ENTRIES = """SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+                lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)) AS entry"""
 
 ORACLES = {
-    "op5_sharding": """
-        WITH entries AS (
-            SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
-                lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)) AS entry),
+    "op5_sharding": f"""
+        WITH entries AS ({_ENTRIES}),
         cut AS (
             SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) + 1 AS BIGINT) AS size,
                 list_transform(string_split(regexp_replace(hex(encode(coalesce(text, ''))), '(..)', '\\1 ', 'g'), ' ')[:-2],
@@ -166,6 +173,44 @@ ORACLES = {
         SELECT page_id, host, path, rule,
             CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
         FROM judged""",
+    "op11_spelling_variants": rf"""
+        WITH RECURSIVE entries AS ({_ENTRIES}),
+        runs AS (
+            SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]{{7,}}')),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+        tallied AS (SELECT doc_id, run, count(*) AS times FROM runs GROUP BY ALL),
+        cut AS (
+            SELECT run, times, list_transform(string_split(regexp_replace(
+                hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)), '(..)', '\1 ', 'g'), ' ')[:-2],
+                lambda h: CAST('0x' || h AS BIGINT)) AS codes
+            FROM tallied),
+        drawn AS (
+            SELECT run, times, xor(4294967295, list_reduce(list_prepend(4294967295, codes),
+                lambda r, x: xor(r >> 8, entry[(xor(r, x) & 255) + 1]))) AS h
+            FROM cut, entries),
+        words AS (
+            SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word,
+                CAST(sum(times) AS BIGINT) AS n
+            FROM drawn GROUP BY 1 HAVING length(word) >= 7 AND sum(times) >= 2),
+        places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS spot FROM words),
+        shorter AS (SELECT word, n, spot, substr(word, 1, spot - 1) || substr(word, spot + 1) AS rest FROM places),
+        pairs AS (
+            SELECT a.word, b.word AS other FROM shorter a JOIN shorter b ON a.spot = b.spot AND a.rest = b.rest AND a.word <> b.word
+            UNION SELECT a.word, b.word FROM shorter a JOIN words b ON a.rest = b.word
+            UNION SELECT b.word, a.word FROM shorter a JOIN words b ON a.rest = b.word),
+        ranked AS (
+            SELECT pairs.word, other, n, count(*) OVER (PARTITION BY pairs.word) AS n_near,
+                row_number() OVER (PARTITION BY pairs.word ORDER BY n DESC, encode(other)) AS place
+            FROM pairs JOIN words ON words.word = other),
+        found AS (
+            SELECT words.word, words.n, coalesce(n_near, 0) AS n_near,
+                CASE WHEN ranked.n >= 10 * words.n THEN other END AS form, CASE WHEN ranked.n >= 10 * words.n THEN ranked.n END AS form_n
+            FROM words LEFT JOIN ranked ON words.word = ranked.word AND place = 1),
+        followed(word, root, step) AS (
+            SELECT word, word, 0 FROM found
+            UNION ALL SELECT followed.word, form, step + 1 FROM followed JOIN found ON followed.root = found.word WHERE form IS NOT NULL)
+        SELECT found.word, form, root, n, n_near, form_n FROM found
+        JOIN (SELECT word, arg_max(root, step) AS root FROM followed GROUP BY word) USING (word)""",
     "op12_filter_audit": rf"""
         WITH cut AS (
             SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
