@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from gradeloom.llm import components, near_dup
 
@@ -80,6 +81,42 @@ def test_drop(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in brute(docs) if r[3])
 
 
+def test_rows_are_told_apart_by_id_and_text(spark):
+    copied, clean = " ".join(f"w{k}" for k in range(40)), " ".join(f"v{k}" for k in range(40))
+    rows = [(1, copied, "a"), (2, copied, "b"), (2, clean, "c"), (3, clean + " more", "d"), (4, "alone in the world of words", "e")] + [(7, "said again and again and again", "f")] * 5
+    rows += [(None, copied, "g"), (None, copied, "g"), (8, None, "h"), (8, None, "h")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, `row` string").repartition(4)
+    got = near_dup.drop_near_duplicates(frame)
+    assert got.columns == frame.columns
+    want = [(1, copied, "a"), (2, clean, "c"), (4, "alone in the world of words", "e"), (7, "said again and again and again", "f"), (None, copied, "g"), (None, copied, "g"), (8, None, "h"), (8, None, "h")]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_links_stay_fewer_than_nodes(spark):
+    """Groups of 400 and 1,600 near copies: what a bucket returns grows with its nodes, not with their pairs."""
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(200)]
+    for size in (400, 1600):
+        docs = []
+        for k in range(size):
+            words = list(base)
+            for _ in range(rng.randrange(4, 14)):
+                words[rng.randrange(200)] = f"x{k}_{rng.randrange(9)}"
+            docs.append((k, " ".join(words)))
+        rows = near_dup._rows(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text")
+        nodes = near_dup.describe(rows).selectExpr("doc_id AS node", "set_key", "n_shingles", "signature", "doc_id")
+        keyed = nodes.select("node", F.inline(near_dup._bucket_keys(F.col("signature"))))
+        members = near_dup._members(rows, nodes, nodes.select("node"))
+        alone = nodes.select("node", F.col("node").alias("component"))
+        buckets = keyed.groupBy("bucket").count().where("count > 1").agg(F.sum("count")).first()[0]
+        links = near_dup._cross_component(keyed, nodes, members, alone).persist()
+        assert links.count() < buckets
+        got = {r.node: r.component for r in components.connected_components(links).collect()}
+        want = {i: c for i, _, c, _ in brute(docs[:: size // 400])} if size == 400 else None
+        assert want is None or all(got.get(i, i) == c for i, c in want.items())
+        links.unpersist()
+
+
 def test_empty(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert near_dup.near_duplicates(frame).collect() == [] and near_dup.drop_near_duplicates(frame).collect() == []
@@ -98,7 +135,7 @@ def test_estimate_and_recall():
         one, two = near_dup.signatures([np.sort(a), np.sort(b)])
         found += bool((one.reshape(near_dup.BANDS, -1) == two.reshape(near_dup.BANDS, -1)).all(1).any())
         errors.append(near_dup.estimate(np.array([(one == two).mean()]), np.array([len(a)]), np.array([len(b)]))[0] - shared / total)
-    assert found == 300 and abs(np.mean(errors)) < 0.02 and np.max(np.abs(errors)) < 0.75 - near_dup.least_estimate(128)
+    assert found == 300 and abs(np.mean(errors)) < 0.02 and np.max(np.abs(errors)) < 0.75 - near_dup.LEAST_ESTIMATE
     unrelated = near_dup.signatures([np.sort(pool[:3000]), np.sort(pool[5000:8000])])
     assert near_dup.estimate(np.array([(unrelated[0] == unrelated[1]).mean()]), np.array([3000]), np.array([3000]))[0] < 0.03
 
