@@ -51,7 +51,7 @@ _MATCH = "item long, first_word long, last_word long, cosine double, overlap dou
 
 def plain_words(text: bytes | None) -> list[bytes]:
     """Lower-cased words without ASCII punctuation."""
-    return text.decode().lower().encode().translate(_PLAIN).split() if text else []
+    return text.decode("utf-8", "replace").lower().encode().translate(_PLAIN).split() if text else []
 
 
 def common_words(a: list, b: list) -> int:

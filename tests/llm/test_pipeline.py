@@ -57,6 +57,8 @@ def test_equals_brute_force(spark, small_dir):
     assert sorted((r.doc_id, r["size"], r.text_crc32, r.shard) for r in stages[4]) == shards
     whole = corpus_pipeline.run(spark, small_dir)
     assert sorted((r.doc_id, r["size"], r.text_crc32, r.shard) for r in whole.collect()) == shards
+    assert whole.columns == [*COLUMNS, "size", "text_crc32", "shard", "slot"]
+    assert sorted(tuple(r)[:5] for r in whole.collect()) == sorted(map(tuple, mixed))
 
 
 def test_odd_rows(spark, small_dir):

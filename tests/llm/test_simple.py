@@ -4,6 +4,7 @@ import math
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from gradeloom.llm import mixing, queries, sharding, url_trie
 
@@ -32,10 +33,29 @@ def test_shards(spark, rows):
 
 
 def test_write_shards(spark, tmp_path):
-    rows = [(i, "w " * (i % 50), f"s{i % 5}") for i in range(200)]
-    sharding.write_shards(docs(spark, rows), str(tmp_path / "out"), 4)
-    back = spark.read.parquet(str(tmp_path / "out"))
-    assert sorted(r.doc_id for r in back.collect()) == list(range(200)) and back.select("shard").distinct().count() == 4
+    """Repeated ids and equal rows keep their texts; a caller's own columns are not lost."""
+    rows = [(i % 50, "w " * (i % 40), f"s{i % 5}") for i in range(200)] + [(7, "equal", "s")] * 40 + [(None, None, None)]
+    with pytest.raises(ValueError, match="shard"):
+        sharding.write_shards(docs(spark, rows), str(tmp_path / "no"), 4)
+    sharding.write_shards(docs(spark, rows), str(tmp_path / "out"), 4, shard_column="part_no", slot_column="place")
+    back = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(((r.doc_id, r.text, r.source) for r in back), key=repr) == sorted(rows, key=repr)
+    assert {r.part_no for r in back} == {0, 1, 2, 3} and all(r.shard == 1 for r in back)
+    assert all(sorted(r.place for r in back if r.part_no == k) == list(range(sum(r.part_no == k for r in back))) for k in range(4))
+
+
+@pytest.mark.parametrize("text", ["the very same text", None])
+def test_mix_with_a_hot_id(spark, text):
+    """A third of the rows under one id, equal or not: the sources still come near their targets, in any layout."""
+    rows = [(0, text or f"text number {k} " * 3, f"s{k % 3}") for k in range(3000)] + [(1 + k, "one two three four", f"s{k % 3}") for k in range(6000)]
+    frame = docs(spark, rows)
+    got = mixing.copies(frame)
+    per = got.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    assert all(abs(r.taken - r.target) <= 0.03 * r.target for r in per)
+    of_one = lambda found: sorted((r.source, r["size"], r.copies) for r in found.where("doc_id = 0").collect())
+    assert of_one(got) == of_one(mixing.copies(frame.repartition(5)))
+    mixed = mixing.mix(frame)
+    assert mixed.columns == frame.columns and mixed.count() == got.agg(F.sum("copies")).first()[0]
 
 
 def targets(sizes, weights, share, most):
