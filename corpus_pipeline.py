@@ -2,8 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows of its predecessor; each result is
 written to the shared folder as Parquet and read again. All stages but the last return the columns of
-``documents``. Rows with null or empty texts are rejected by the first stage, which finds no language in them; an
-empty table passes through all stages.
+``documents``; the last adds each row's shard and slot to them, so that what comes out can be written as it is. Rows with null or
+empty texts are rejected by the first stage, which finds no language in them; rows that share an id are told apart by
+their text; an empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ LEAST_LANGUAGE_SCORE = 0.3
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents with a language that most of their words share, and put it in ``lang``."""
     found = language.label(docs, docs.select("doc_id", "text", "lang"))
-    kept = found.where((F.col("_language") != language.UNKNOWN) & (F.col("_score") >= LEAST_LANGUAGE_SCORE))
-    return kept.withColumn("lang", F.col("_language")).select(*docs.columns)
+    kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    return kept.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +40,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Put every row into one of eight contiguous shards of nearly equal bytes."""
-    return sharding.balanced_shards(docs)
+    """Put every row, with its text, into one of eight contiguous shards of nearly equal bytes."""
+    return sharding.sharded(docs).select("row.*", "size", "text_crc32", "shard", "slot")
 
 
 STAGES = [
