@@ -6,7 +6,7 @@ only small aggregated reports become a single nested value.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gradeloom import fixed_values as fv
 from gradeloom.operators.merge import provider_totals, upsert_cache
@@ -79,6 +79,47 @@ def results_documents(responses: DataFrame) -> DataFrame:
     return responses.select(F.to_json(nested).alias("value"))
 
 
+def write_indented_results(responses: DataFrame, path: str, files: int = 1, indent: int = 2) -> None:
+    """Run results as indented documents {provider: {strategy: [row]}}, the exchange format, in ``files`` files.
+
+    A file is a whole document, so one task writes it; rows are dealt to files by question. Several files of
+    one run are what ``readers.read_indented_results`` reads as one.
+    """
+    fields = [
+        "question_id", "question", "strategy", "template", "provider", "response", "success", "error", "attempts",
+        "input_tokens", "output_tokens",
+    ]
+    pad = [" " * (indent * k) for k in range(5)]
+
+    def encoded(name: str) -> Column:
+        """The column's value as JSON."""
+        return F.coalesce(F.regexp_extract(F.to_json(F.struct(F.col(name).alias("v"))), r'(?s)^\{"v":(.*)\}$', 1), F.lit(""))
+
+    lines = [F.concat(F.lit(f'{pad[4]}"{f}": '), F.when(F.col(f).isNull(), "null").otherwise(encoded(f))) for f in fields]
+    body = F.concat(F.lit(f"{pad[3]}{{\n"), F.concat_ws(",\n", *lines), F.lit(f"\n{pad[3]}}}"))
+    keys = ["provider", "strategy", "question_id"]
+    order = Window.partitionBy("_file").orderBy(*keys)
+    pair = F.struct("provider", "strategy")
+    dealt = responses.withColumn("_file", F.pmod(F.xxhash64("question_id"), F.lit(files))).withColumns(
+        {"_before": F.lag(pair).over(order), "_after": F.lead(pair).over(order)}
+    )
+    opens = [F.col("_before").isNull() | ~F.col(f"_before.{name}").eqNullSafe(F.col(name)) for name in ("provider", "strategy")]
+    stays = [F.col("_after").isNotNull() & F.col(f"_after.{name}").eqNullSafe(F.col(name)) for name in ("provider", "strategy")]
+    opening = F.concat(
+        F.when(F.col("_before").isNull(), "{\n").otherwise(""),
+        F.when(opens[0], F.concat(F.lit(pad[1]), encoded("provider"), F.lit(": {\n"))).otherwise(""),
+        F.when(opens[0] | opens[1], F.concat(F.lit(pad[2]), encoded("strategy"), F.lit(": [\n"))).otherwise(""),
+    )
+    ending = (
+        F.when(stays[0] & stays[1], ",")
+        .when(stays[0], f"\n{pad[2]}],")
+        .when(F.col("_after").isNotNull(), f"\n{pad[2]}]\n{pad[1]}}},")
+        .otherwise(f"\n{pad[2]}]\n{pad[1]}}}\n}}")
+    )
+    text = dealt.select("_file", *keys, F.concat(opening, body, ending).alias("value"))
+    text.sortWithinPartitions("_file", *keys).select("_file", "value").write.mode("overwrite").partitionBy("_file").text(path)
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
     """One text line per row of the ``value`` column."""
     lines.select("value").write.mode("overwrite").text(path)

@@ -1,7 +1,8 @@
 """Reading question sets, run results, batch output, caches and listings.
 
-Documents that hold a whole set in one JSON value are import formats: one document is
-one task. Sets written by ``sinks.writers`` are line-delimited or Parquet and split freely.
+Documents that hold a whole set in one JSON value are import formats. Indented results documents are read by
+byte ranges (``sources.documents``); of the other kinds one document is one task. Sets written by
+``sinks.writers`` are line-delimited or Parquet and split freely.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gradeloom import schemas
 from gradeloom.functions.messages import custom_id_question, custom_id_strategy
 from gradeloom.operators.prepare import union_parts
+from gradeloom.sources import documents
 
 RUN_NUMBER = r"_n(\d+)_results\.json"
 
@@ -66,6 +68,17 @@ def read_results(spark: SparkSession, path: str, whole_files: bool = False) -> D
     return _response_rows(by_strategy.select("provider", "strategy", F.posexplode_outer("rows").alias("position", "r")))
 
 
+def read_indented_results(spark: SparkSession, path: str, indent: int = 2) -> DataFrame:
+    """Indented results documents as flat response rows, each file read by as many tasks as its size asks for."""
+    return _response_rows(documents.read_indented(spark, path, schemas.RESPONSE, documents.RESULT_LEVELS, indent))
+
+
+def read_indented_batch_results(spark: SparkSession, path: str, provider: str = "openai", indent: int = 2) -> DataFrame:
+    """Indented batch results documents (no provider level) as response rows, read by ranges."""
+    rows = documents.read_indented(spark, path, schemas.BATCH_RESPONSE, documents.BATCH_LEVELS, indent)
+    return _response_rows(rows.withColumn("provider", F.lit(provider)), "choices", "answer", "category", "total_tokens")
+
+
 def read_batch_results(spark: SparkSession, path: str, provider: str = "openai", whole_files: bool = False) -> DataFrame:
     """Batch results documents {strategy: [row]} (no provider level) as response rows.
 
