@@ -9,7 +9,7 @@ from gradeloom.catalog import data, oracle as o
 from gradeloom.catalog.expressions import _FUNNEL_SUMS, _LINES_CTE, _TOTALS, _batch_lines, _caps_cte
 from gradeloom.catalog.registry import query
 from gradeloom.operators import facts, merge, prepare, quality, requests, routing, usage
-from gradeloom.plans import consolidate
+from gradeloom.plans import consolidate, history
 from gradeloom.plans.report import response_facts
 from gradeloom.session import scratch_path
 from gradeloom.sources import readers
@@ -238,6 +238,30 @@ def _(spark, sf):
     return quality.funnel_rates(quality.funnel(_graded(spark, sf)))
 
 
+_ACROSS = o.over_classified(f""", f AS (SELECT provider, strategy, {_FUNNEL_SUMS} FROM graded GROUP BY ALL), t AS (
+ SELECT provider, strategy, count(*) FILTER (NOT success) AS failed_responses, count(*) FILTER (success AND coalesce(output_tokens, 0) < 20) AS low_token_responses,
+  min(coalesce(output_tokens, 0)) FILTER (success) AS min_tokens, max(coalesce(output_tokens, 0)) FILTER (success) AS max_tokens, round(avg(coalesce(output_tokens, 0)) FILTER (success), 1) AS avg_tokens
+ FROM responses GROUP BY ALL) SELECT f.*, failed_responses, low_token_responses, min_tokens, max_tokens, avg_tokens, true AS median_near FROM f JOIN t USING (provider, strategy)""")
+
+
+@query("agg_11_across_runs", _ACROSS)
+def _(spark, sf):
+    """Three runs' states added up; the median is compared with the tokens' true ranks within the sketch's error."""
+    path = scratch_path(spark, "states")
+    rows = data.responses(spark, sf)
+    for run in range(3):
+        part = rows.where(F.pmod(F.xxhash64("question_id"), F.lit(3)) == run)
+        history.add_run(response_facts(part, data.answer_key(spark, sf), "success", "output_tokens"), path, f"r{run}")
+    found = history.across_runs(spark, path)
+    tokens = rows.where("success").select("provider", "strategy", F.coalesce("output_tokens", F.lit(0)).alias("tokens"))
+    ranked = tokens.join(F.broadcast(found.select("provider", "strategy", "median_tokens")), ["provider", "strategy"]).groupBy("provider", "strategy").agg(
+        F.avg((F.col("tokens") < F.col("median_tokens")).cast("double")).alias("below"), F.avg((F.col("tokens") <= F.col("median_tokens")).cast("double")).alias("upto")
+    )
+    near = (F.col("below") <= 0.5 + history.RANK_ERROR) & (F.col("upto") >= 0.5 - history.RANK_ERROR)
+    columns = ["provider", "strategy", *quality._FUNNEL, "failed_responses", "low_token_responses", "min_tokens", "max_tokens", "avg_tokens"]
+    return found.join(ranked, ["provider", "strategy"]).select(*columns, near.alias("median_near"))
+
+
 @query("agg_12_funnel_overall", o.over_classified(f", f AS (SELECT coalesce(provider, 'ALL') AS provider, coalesce(strategy, 'ALL') AS strategy, {_FUNNEL_SUMS} FROM graded GROUP BY GROUPING SETS ((provider, strategy), ())) SELECT *, {_RATES} FROM f"))
 def _(spark, sf):
     return quality.funnel_rates(quality.funnel_with_overall(_graded(spark, sf)))
@@ -307,8 +331,7 @@ def _(spark, sf):
 
 @query("agg_21_merged_responses", o.over(_FIRSTS + "SELECT m.question_id, m.question, f.provider, f.response, f.success, f.error, f.attempts FROM merged m JOIN firsts f USING (question_id)"))
 def _(spark, sf):
-    firsts = merge.first_response(data.responses(spark, sf), "position")
-    merged = merge.merge_questions(firsts, fv.PROVIDERS)
+    merged = merge.merged_questions(data.responses(spark, sf), fv.PROVIDERS, "position")
     return merged.select("question_id", "question", F.explode("responses").alias("provider", "r")).select("question_id", "question", "provider", "r.*")
 
 
@@ -492,11 +515,14 @@ def _(spark, sf):
     return prepare.distribution(r, ["provider", "strategy", "error"], ["provider", "strategy"])
 
 
-@query("win_06_progress", o.over("""SELECT provider, strategy, completed, total, round(elapsed, 3) AS elapsed_sec, round(coalesce(completed / nullif(elapsed, 0), 0) * 60, 3) AS rate_per_min,
+PROGRESS = o.over("""SELECT provider, strategy, completed, total, round(elapsed, 3) AS elapsed_sec, round(coalesce(completed / nullif(elapsed, 0), 0) * 60, 3) AS rate_per_min,
  round(coalesce((total - completed) / nullif(coalesce(completed / nullif(elapsed, 0), 0) * 60, 0), 0), 3) AS eta_min FROM (
  SELECT provider, strategy, row_number() OVER w AS completed, count(*) OVER (PARTITION BY provider, strategy) AS total,
   (epoch_us(completed_at) - min(epoch_us(completed_at)) OVER (PARTITION BY provider, strategy)) / CAST(1000000 AS DOUBLE) AS elapsed
- FROM request_log WINDOW w AS (PARTITION BY provider, strategy ORDER BY completed_at, event_id)) WHERE completed % 50 = 0 OR completed = total"""))
+ FROM request_log WINDOW w AS (PARTITION BY provider, strategy ORDER BY completed_at, event_id)) WHERE completed % 50 = 0 OR completed = total""")
+
+
+@query("win_06_progress", PROGRESS)
 def _(spark, sf):
     from gradeloom.operators.progress import progress_marks
 

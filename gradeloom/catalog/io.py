@@ -14,6 +14,7 @@ from gradeloom.plans import report
 from gradeloom.session import scratch_path
 from gradeloom.sinks import writers
 from gradeloom.sources import readers
+from gradeloom.stores import response_cache
 
 
 def _embedded_split(spark, sf):
@@ -115,11 +116,28 @@ def _cache_rows(spark, sf, strategy="baseline"):
     )
 
 
+def _filled_cache(spark, sf, *strategies):
+    """A bucketed cache that the answers of some strategies were put into, one strategy after the other."""
+    path = scratch_path(spark, "cache")
+    response_cache.create(spark, path, 16)
+    for strategy in strategies:
+        response_cache.upsert(spark, path, _cache_rows(spark, sf, strategy))
+    return path
+
+
 @query("src_10_response_cache", o.over("SELECT question_id, provider, response, success, attempts FROM responses WHERE strategy = 'baseline' AND provider = 'gemini'"))
 def _(spark, sf):
-    path = scratch_path(spark, "cache")
-    writers.write_cache(_cache_rows(spark, sf), path)
-    return readers.read_cache(spark, path, provider="gemini").select("question_id", "provider", "response", "success", "attempts")
+    path = _filled_cache(spark, sf, "baseline")
+    return response_cache.entries(spark, path).where("provider = 'gemini'").select("question_id", "provider", "response", "success", "attempts")
+
+
+@query("src_10_cache_lookup", o.over("SELECT question_id, provider, response, success, attempts FROM responses WHERE strategy = 'baseline' AND question_id = (SELECT max(question_id) FROM responses) AND provider IN ('gemini', 'openai')"))
+def _(spark, sf):
+    """One question of two providers; each lookup opens one bucket."""
+    path = _filled_cache(spark, sf, "baseline")
+    number = data.questions(spark, sf).agg(F.max("question_id")).first()[0]
+    found = response_cache.lookup(spark, path, "gemini", number).unionByName(response_cache.lookup(spark, path, "openai", number))
+    return found.select("question_id", "provider", "response", "success", "attempts")
 
 
 @query("src_11_provider_files", o.over("SELECT provider, strategy, count(*) AS n, 'claude' AS missing FROM responses WHERE provider <> 'claude' GROUP BY ALL"))
@@ -229,13 +247,13 @@ def _(spark, sf):
     return report.ordered_report(report.report_lines(data.responses(spark, sf), data.predictions(spark, sf)))
 
 
-@query("snk_08_cache_upsert", o.over("""SELECT provider, question_id, arg_max(strategy, ts * 2 + new) AS kept, max(ts) AS ts FROM (
- SELECT provider, question_id, strategy, attempts AS ts, CASE strategy WHEN 'baseline' THEN 0 ELSE 1 END AS new FROM responses WHERE strategy IN ('baseline', 'simple_neural')) GROUP BY ALL"""))
+@query("snk_08_cache_upsert", o.over("""SELECT provider, question_id, response, attempts AS ts FROM responses WHERE strategy IN ('baseline', 'simple_neural')
+ QUALIFY row_number() OVER (PARTITION BY provider, question_id ORDER BY attempts DESC, strategy DESC) = 1"""))
 def _(spark, sf):
-    old = _cache_rows(spark, sf, "baseline").withColumn("kept", F.lit("baseline"))
-    new = _cache_rows(spark, sf, "simple_neural").withColumn("kept", F.lit("simple_neural"))
-    state = merge.upsert_cache(old, new)
-    return state.select("provider", "question_id", "kept", ((F.unix_seconds("timestamp") - 1704067200) / 60).cast("int").alias("ts"))
+    """Two strategies' answers after each other, told apart by their text: the later timestamp stays, on a tie the later write."""
+    path = _filled_cache(spark, sf, "baseline", "simple_neural")
+    state = response_cache.entries(spark, path)
+    return state.select("provider", "question_id", "response", ((F.unix_seconds("timestamp") - 1704067200) / 60).cast("int").alias("ts"))
 
 
 @query("snk_09_provider_results", o.over("SELECT provider, count(*) AS total_questions, count(*) FILTER (success) AS successful, count(*) FILTER (NOT success) AS failed, count(response) AS saved_responses FROM responses GROUP BY provider"))

@@ -1,24 +1,69 @@
 """Merging provider results per question, the response cache, and failure lists.
 
-Rows of one (provider, question) are reduced with ``min_by`` / ``max_by``, which combine
-before the shuffle, so a question with very many copies is no heavier than any other.
+Which row of a (provider, question) counts is decided on narrow rows, with aggregates that combine before the shuffle; texts are
+attached afterwards, once. Copies of very frequent questions are dropped where they are read, so a question with
+very many copies is no heavier than any other.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gradeloom.operators.prepare import lookup_table
+from gradeloom.session import pin
 
 _FIELDS = ["question", "response", "success", "error", "attempts"]
 
 
+#: A question is frequent with more rows than this and more than this share of all rows; so frequent ones are at most 1 / share.
+FREQUENT_ROWS = 1000
+FREQUENT_SHARE = 1e-4
+_KEYS = ["provider", "question_id"]
+
+
+def _matching(right: DataFrame, columns: list[str]) -> tuple[DataFrame, Column]:
+    """``right`` under other names, and the null-safe condition that joins it on ``columns``."""
+    renamed = right.select(*[F.col(c).alias(f"_of_{c}") for c in columns], *[c for c in right.columns if c not in columns])
+    return renamed, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in columns])
+
+
+def _winners(rows: DataFrame) -> DataFrame:
+    """(provider, question_id, position, contents) of the rows that come first, decided without their texts.
+
+    Rows are (provider, question_id, position, contents); of several at the first position the smallest ``contents`` wins.
+    """
+    places = rows.groupBy(*_KEYS, "position").agg(F.min("contents").alias("contents"))
+    best = places.groupBy(*_KEYS).agg(F.min("position").alias("position"))
+    right, same = _matching(best, [*_KEYS, "position"])
+    return places.join(right, same, "left_semi")
+
+
+def _without_copies(rows: DataFrame, winners: DataFrame) -> DataFrame:
+    """``rows`` without those of frequent questions that are not first, dropped where they are read."""
+    counted = pin(rows.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FREQUENT_ROWS))
+    total = rows.count() if not counted.isEmpty() else 0
+    frequent = counted.where(F.col("n") > total * FREQUENT_SHARE).select(*_KEYS)  # at most 1 / FREQUENT_SHARE rows
+    right, same = _matching(frequent, _KEYS)
+    first, at = _matching(winners.join(F.broadcast(right), same, "left_semi"), [*_KEYS, "position", "contents"])
+    kept = rows.join(F.broadcast(right.withColumn("_often", F.lit(True))), same, "left").drop(*right.columns)
+    marked = kept.join(F.broadcast(first.withColumn("_first", F.lit(True))), at, "left").drop(*first.columns)
+    return marked.where(F.col("_often").isNull() | F.col("_first").isNotNull()).drop("_often", "_first")
+
+
+def _placed(responses: DataFrame, position: str) -> DataFrame:
+    """Responses with ``position`` (last where there is none) and a hash of their contents."""
+    place = F.coalesce(F.col(position).cast("long"), F.lit((1 << 63) - 1)).alias("position")
+    return responses.select(*_KEYS, *_FIELDS, place, F.xxhash64(*_FIELDS).alias("contents"))
+
+
 def first_response(responses: DataFrame, position: str) -> DataFrame:
-    """The first row of every (provider, question_id) in ``position`` order."""
-    picked = F.min_by(F.struct(*_FIELDS), position)
-    return responses.groupBy("provider", "question_id").agg(picked.alias("r")).select("provider", "question_id", "r.*")
+    """The first row of every (provider, question_id) in ``position`` order; ties go to the smallest hash of the contents."""
+    rows = _placed(responses, position)
+    winners = _winners(rows)
+    right, same = _matching(winners, [*_KEYS, "position", "contents"])
+    return _without_copies(rows, winners).join(right, same, "left_semi").select(*_KEYS, *_FIELDS).distinct()
 
 
 def question_outcomes(responses: DataFrame, providers: list[str], position: str) -> DataFrame:
@@ -51,26 +96,49 @@ def merge_questions(firsts: DataFrame, providers: list[str]) -> DataFrame:
     ``firsts`` holds at most one row per (provider, question), so the collected list has
     at most ``len(providers)`` entries. The text comes from the first listed provider that has it.
     """
-    rank = F.array_position(F.array(*[F.lit(p) for p in providers]), F.col("provider"))
-    entry = F.struct(
-        rank.alias("rank"),
-        F.col("provider").alias("key"),
-        F.col("question"),
-        F.struct("response", "success", "error", "attempts").alias("value"),
-    )
-    gathered = (
-        firsts.where(F.col("provider").isin(providers))
-        .groupBy("question_id")
-        .agg(F.array_sort(F.collect_list(entry)).alias("e"))
-    )
+    return _one_per_question(firsts.where(F.col("provider").isin(providers)), providers)
+
+
+def merged_questions(responses: DataFrame, providers: list[str], position: str) -> DataFrame:
+    """``merge_questions`` of the first responses, with one shuffle of the texts.
+
+    The winners of a question are gathered as one narrow row, so the texts meet it on the question alone and stay there.
+    """
+    rows = _placed(responses.where(F.col("provider").isin(providers)), position)
+    winners = _winners(rows)
+    wanted = winners.groupBy(F.col("question_id").alias("_of_question_id")).agg(F.collect_list(F.struct("provider", "position", "contents")).alias("_wanted"))
+    here = F.exists("_wanted", lambda w: (w["provider"] == F.col("provider")) & (w["position"] == F.col("position")) & (w["contents"] == F.col("contents")))
+    met = _without_copies(rows, winners).join(wanted, F.col("question_id") == F.col("_of_question_id")).where(here)
+    return _one_per_question(met, providers)
+
+
+def _one_per_question(rows: DataFrame, providers: list[str]) -> DataFrame:
+    entry = F.struct(F.col("provider").alias("key"), F.col("question"), F.struct("response", "success", "error", "attempts").alias("value"))
+    gathered = rows.groupBy("question_id").agg(F.collect_set(entry).alias("e"))  # equal rows of one place count once
+    listed = F.transform(F.array(*[F.lit(p) for p in providers]), lambda p: F.get(F.filter("e", lambda x: x["key"] == p), F.lit(0)))
+    ordered = gathered.select("question_id", F.filter(listed, lambda x: x.isNotNull()).alias("e"))
     texts = F.filter(F.col("e.question"), lambda text: text.isNotNull())
-    return gathered.select(
+    return ordered.select(
         "question_id",
         F.get(texts, F.lit(0)).alias("question"),
         F.map_from_arrays("e.key", "e.value").alias("responses"),
     )
 
 
+def named_rows(stored: DataFrame) -> DataFrame:
+    """Rows of a Parquet table with the file (``_file``) and the place in it (``_at``) that name them."""
+    return stored.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+
+
+def latest_rows(named: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Of named rows the last of every key in ``order``; ties go to the later file and place.
+
+    Winners are found on narrow rows, and the table is joined with their names, which are unique.
+    """
+    best = named.groupBy(*keys).agg(F.max(F.struct(*order, "_file", "_at")).alias("w")).select(F.col("w._file").alias("_file"), F.col("w._at").alias("_at"))
+    return named.join(best, ["_file", "_at"], "left_semi").drop("_file", "_at")
+
+
 def merge_statistics(spined: DataFrame) -> DataFrame:
     """How many questions failed everywhere or on some providers."""
     return spined.agg(

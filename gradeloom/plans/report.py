@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeloom import fixed_values as fv
 from gradeloom.functions.numbers import percent, whole_average
 from gradeloom.functions.text import likely_error, token_estimate
 from gradeloom.operators import facts, quality, routing, usage
+from gradeloom.session import stored
 from gradeloom.sinks import writers
 
 _KEYS = ["section", "provider", "strategy", "ord", "sub", "line"]
@@ -120,14 +120,14 @@ def ordered_report(lines: DataFrame) -> DataFrame:
     return lines.orderBy("section", "provider", "strategy", "ord", "sub")
 
 
-def response_facts(responses: DataFrame, answer_key: DataFrame | None) -> DataFrame:
-    """Classified and graded rows without their text: what the quality measures need."""
-    return facts.grade(facts.classify(responses), answer_key, ["provider", "strategy", "template"])
+def response_facts(responses: DataFrame, answer_key: DataFrame | None, *more: str) -> DataFrame:
+    """Classified and graded rows without their text: what the quality measures need, and ``more`` columns."""
+    return facts.grade(facts.classify(responses), answer_key, ["provider", "strategy", "template", *more])
 
 
 def analyse(responses: DataFrame, predictions: DataFrame, answer_key: DataFrame | None) -> dict[str, DataFrame]:
-    """Every table of the analysis. The graded facts are kept for the tables built on them."""
-    graded = response_facts(responses, answer_key).persist(StorageLevel.DISK_ONLY)
+    """Every table of the analysis. The graded facts are stored once for the tables built on them."""
+    graded = stored(response_facts(responses, answer_key), "facts")
     per_group = quality.funnel_with_overall(graded)
     return {
         "success_rates": quality.success_rates(responses),

@@ -44,7 +44,7 @@ def test_redelivered_files_are_kept_once(spark, tmp_path):
     time.sleep(1)
     (inbox / "a-again.jsonl").write_text("\n".join([line("q1_baseline", "y"), line("q2_simple_neural", "z", 500)]))
     run()
-    stored = spark.read.parquet(out)
+    stored = spark.read.parquet(f"{out}/batches")
     assert stored.count() == 3
     got = sorted((r.custom_id, r.question_id, r.strategy, r.status_code) for r in ingest.current_responses(spark, out).collect())
     assert got == [("q0_baseline", 0, "baseline", 200), ("q1_baseline", 1, "baseline", 200), ("q2_simple_neural", 2, "simple_neural", 500)]
