@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 
 from gradeloom import fixed_values as fv
 from gradeloom.catalog import data, oracle as o
-from gradeloom.catalog.aggregates import _FOLD_METRICS, _fold_metrics
+from gradeloom.catalog.aggregates import FOLD_METRICS, fold_metrics, lookup_rows
 from gradeloom.catalog.registry import query
 from gradeloom.operators import requests, routers, routing
-from gradeloom.operators.ranking import stratified_folds
 from gradeloom.session import scratch_path
 
 
 def _rows(spark, sf):
-    return routers.embedding_features(data.router_rows(spark, sf)).cache()
+    return routers.embedding_features(data.router_rows(spark, sf))
 
 
 def _text_rows(spark, sf):
@@ -88,6 +87,14 @@ def _(spark, sf):
     return _support(routers.score(routers.train_mlp(train, labels=fv.TEMPLATES), held_out), 0.5)
 
 
+@query("ml_03_mlp_early_stopping", _SUPPORT)
+def _(spark, sf):
+    """The neural router trained in rounds until its held-out score stops rising."""
+    train, held_out = _learnable(spark, sf)
+    model, _ = routers.train_mlp_rounds(train, labels=fv.TEMPLATES)
+    return _support(routers.score(model, held_out), 0.5)
+
+
 @query("ml_04_logistic_router", _SUPPORT)
 def _(spark, sf):
     train, held_out = _learnable(spark, sf)
@@ -105,12 +112,20 @@ def _(spark, sf):
     return routers.class_weights(data.router_rows(spark, sf))
 
 
-@query("ml_07_batch_scoring", _HELD_OUT + "SELECT vec_id, true AS known_template FROM held")
+_LOOKED_UP = """, part AS (SELECT question_id, substr(question, 1, 1) AS key, expected_template AS t, question_id % 5 = 0 AS held FROM questions),
+by_key AS (SELECT key, t, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY key) AS share FROM part WHERE NOT held AND key IS NOT NULL GROUP BY key, t QUALIFY row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, t) = 1),
+overall AS (SELECT t, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () AS share FROM part WHERE NOT held GROUP BY t QUALIFY row_number() OVER (ORDER BY count(*) DESC, t) = 1)
+SELECT question_id, coalesce(k.t, o.t) AS predicted, round(coalesce(k.share, o.share), 6) AS confidence FROM part LEFT JOIN by_key k USING (key), overall o WHERE held"""
+
+
+@query("ml_07_batch_scoring", o.over(_LOOKED_UP))
 def _(spark, sf):
-    train, held_out = _learnable(spark, sf)
-    model = routers.train_logistic(train, labels=fv.TEMPLATES)
-    scored = routers.score(model, held_out.drop("label_name", "template"))
-    return scored.select("vec_id", F.col("predicted").isin(fv.TEMPLATES).alias("known_template"))
+    """A router that was saved and loaded scores rows without labels; its answers are compared one by one."""
+    rows = lookup_rows(spark, sf)
+    path = scratch_path(spark, "router")
+    routers.save_router(routers.train_lookup(rows.where("question_id % 5 <> 0"), "first", fv.TEMPLATES), path)
+    scored = routers.score(routers.load_router(path), rows.where("question_id % 5 = 0").drop("label_name"))
+    return scored.select("question_id", "predicted", F.round("confidence", 6).alias("confidence"))
 
 
 @query("ml_08_routed_templates", o.over("SELECT question_id, 'verbose' AS baseline, coalesce(simple_neural, 'verbose') AS simple_neural, coalesce(roberta, 'verbose') AS roberta FROM predictions"))
@@ -118,21 +133,33 @@ def _(spark, sf):
     return requests.routed_templates(data.predictions(spark, sf), ["simple_neural", "roberta"], "verbose")
 
 
-@query("ml_09_text_router", o.over("""SELECT CAST(fold + 1 AS INTEGER) AS fold, count(*) AS held_out, true AS shares, true AS timed FROM (
+@query("ml_09_text_router", o.over("""SELECT CAST(fold + 1 AS INTEGER) AS fold, count(*) AS held_out, true AS shares, true AS timed, true AS reloaded FROM (
  SELECT (row_number() OVER (PARTITION BY expected_template ORDER BY md5('42|' || question_id), question_id) - 1) % 3 AS fold FROM questions) GROUP BY fold"""))
 def _(spark, sf):
-    folded = stratified_folds(_text_rows(spark, sf), "question_id", "label_name", k=3).cache()
-    metrics = routers.cross_validate(folded, lambda part: routers.train_text(part, labels=fv.TEMPLATES))
-    sizes = folded.groupBy((F.col("fold") + 1).alias("fold")).agg(F.count(F.lit(1)).alias("held_out"))
+    """Folds, choice and final fit of the trainer; the reloaded artefact answers as the fitted one did, and its best fold score beats the lookup's."""
+    rows = _text_rows(spark, sf).withColumn("first", F.substring("question", 1, 1))
+    candidates = {
+        "text": lambda part: routers.train_text(part, labels=fv.TEMPLATES),
+        "lookup": lambda part: routers.train_lookup(part, "first", fv.TEMPLATES),
+    }
+    path = scratch_path(spark, "text-router")
+    routers.train_artefact(rows, candidates, path, 1, "question_id")
+    kept = routers.load_artefact(spark, path)
+    again = routers.score(candidates[kept.record["model"]](rows), rows).select("question_id", F.col("predicted").alias("own"))
+    scored = routers.score(kept.model, rows).select("question_id", "predicted").join(again, "question_id")
+    same = scored.agg(F.bool_and(F.col("predicted") == F.col("own"))).scalar()
+    sizes = kept.folds.groupBy((F.col("fold") + 1).alias("fold")).agg(F.count(F.lit(1)).alias("held_out"))
     share = [F.col(c).between(0, 1) for c in ("train_accuracy", "val_accuracy", "val_f1")]
-    return metrics.join(sizes, "fold").select(
-        "fold", "held_out", (share[0] & share[1] & share[2]).alias("shares"), (F.col("train_time") > 0).alias("timed")
+    chosen = kept.metrics.where(F.col("model") == kept.record["model"])
+    return chosen.join(sizes, "fold").select(
+        "fold", "held_out", (share[0] & share[1] & share[2]).alias("shares"), (F.col("train_time") > 0).alias("timed"), same.alias("reloaded")
     )
 
 
-@query("ml_10_fold_gaps", o.over(_FOLD_METRICS + "SELECT fold, train_accuracy, val_accuracy, val_accuracy AS val_f1, train_time, round(train_accuracy - val_accuracy, 6) AS gap FROM m"))
+@query("ml_10_fold_gaps", o.over(FOLD_METRICS + "SELECT fold, train_accuracy, val_accuracy, val_f1, round(train_accuracy - val_accuracy, 6) AS gap, true AS timed FROM m"))
 def _(spark, sf):
-    return routing.fold_gaps(_fold_metrics(spark, sf))
+    gaps = routing.fold_gaps(fold_metrics(spark, sf))
+    return gaps.select("fold", "train_accuracy", "val_accuracy", "val_f1", "gap", (F.col("train_time") > 0).alias("timed"))
 
 
 @query("snk_11_metric_files", _HELD_OUT + """SELECT model, n AS questions, true AS accurate, true AS timed

@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import time
+from dataclasses import dataclass
+from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.feature import HashingTF, IDF, IndexToString, RegexTokenizer, StandardScaler, StringIndexer, StringIndexerModel
+from pyspark.ml.feature import HashingTF, IDF, IndexToString, RegexTokenizer, SQLTransformer, StandardScaler, StringIndexer, StringIndexerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.ml.linalg import DenseVector
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gradeloom import fixed_values as fv
+from gradeloom.operators.ranking import stratified_folds
 from gradeloom.operators.routing import weighted_scores
+from gradeloom.session import stored
 
 
 def embedding_features(rows: DataFrame, embedding: str = "embedding", label: str = "template") -> DataFrame:
@@ -76,6 +82,90 @@ def train_mlp(
     return _fit(rows, net, True, names)
 
 
+def decayed(weights: DenseVector, alpha: float) -> DenseVector:
+    """Weights after one round's decay: a share of ``alpha`` less."""
+    return DenseVector(weights.toArray() * (1 - alpha))
+
+
+def train_mlp_rounds(
+    rows: DataFrame,
+    hidden: tuple[int, ...] = (512, 256, 128),
+    rounds: int = 20,
+    iterations: int = 50,
+    alpha: float = 0.01,
+    patience: int = 3,
+    least_gain: float = 1e-4,
+    held_out: int = 5,
+    seed: int = 42,
+    labels: list[str] | None = None,
+) -> tuple[PipelineModel, list[float]]:
+    """Neural router that is trained in rounds, with early stopping and weight decay; also the held-out accuracy of every round.
+
+    Spark's perceptron has neither, but it starts from given weights. So a round is a few iterations from the last round's weights
+    after their decay. One row in ``held_out``, drawn by a hash of its embedding, is never fitted; training ends when the accuracy on those rows has
+    not risen by ``least_gain`` for ``patience`` rounds, and the best round's weights stay.
+    """
+    names = _labels(rows, labels)
+    indexer = StringIndexerModel.from_labels(names, inputCol="label_name", outputCol="label", handleInvalid="error")
+    drawn = F.pmod(F.xxhash64("embedding", F.lit(seed)), F.lit(held_out)) == 0
+    marked = stored(indexer.transform(rows.select("label_name", "raw", drawn.alias("held"))), "router-rows")
+    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(marked.where("NOT held"))
+    ready = stored(scaler.transform(marked).select("label", "features", "held"), "router-features")
+    fitted, held = ready.where("NOT held"), ready.where("held")
+    size = fitted.select(F.size(vector_to_array("features"))).first()[0]
+    net = MultilayerPerceptronClassifier(
+        featuresCol="features", labelCol="label", layers=[size, *hidden, len(names)], maxIter=iterations, seed=seed
+    )
+    scores, best, last = [], None, None
+    for _ in range(rounds):
+        if last is not None:
+            net = net.copy().setInitialWeights(decayed(last.weights, alpha))
+        last = net.fit(fitted)
+        reached = last.transform(held).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0] or 0.0
+        if best is None or reached >= max(scores) + least_gain:
+            best, since = last, 0
+        else:
+            since += 1
+        scores.append(reached)
+        if since >= patience:
+            break
+    naming = IndexToString(inputCol="prediction", outputCol="predicted", labels=names)
+    return PipelineModel([indexer, scaler, best, naming]), scores
+
+
+#: Keys that a lookup router may have; they stand in its statement.
+MOST_KEYS = 5000
+
+
+def train_lookup(rows: DataFrame, key: str, labels: list[str] | None = None) -> PipelineModel:
+    """Router that answers with the most frequent template of a row's key, of all rows for an unknown key; ties go to the first by name.
+
+    The confidence is the template's share. It is the measure that other routers have to beat.
+    """
+    names = _labels(rows, labels)
+    counted = rows.groupBy(F.col(key).cast("string").alias("k"), "label_name").agg(F.count(F.lit(1)).alias("n"))
+    cells = stored(counted, "lookup")
+    winner = F.max_by("label_name", F.struct("n", F.array_position(F.array(*[F.lit(x) for x in reversed(names)]), F.col("label_name"))))
+    share = F.max("n") / F.sum("n")
+    by_key = cells.where("k IS NOT NULL").groupBy("k").agg(winner.alias("t"), share.alias("share")).limit(MOST_KEYS + 1).collect()
+    if len(by_key) > MOST_KEYS:
+        raise ValueError(f"{key} has more than {MOST_KEYS} values")
+    overall = cells.groupBy("label_name").agg(F.sum("n").alias("n")).agg(winner.alias("t"), share.alias("share")).first()
+
+    def quoted(text: str | None) -> str:
+        return "NULL" if text is None else "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    def looked_up(values: list[str], kind: str, otherwise: str) -> str:
+        pairs = ", ".join(f"{quoted(r.k)}, {v}" for r, v in zip(by_key, values))
+        return f"coalesce({f'element_at(map({pairs}), CAST({key} AS STRING))' if pairs else f'CAST(NULL AS {kind})'}, {otherwise})"
+
+    template = looked_up([quoted(r.t) for r in by_key], "STRING", quoted(overall.t))
+    confidence = looked_up([f"CAST({r.share!r} AS DOUBLE)" for r in by_key], "DOUBLE", f"CAST({overall.share or 0.0!r} AS DOUBLE)")
+    statement = f"SELECT *, {template} AS predicted, {confidence} AS confidence FROM __THIS__"
+    indexer = StringIndexerModel.from_labels(names, inputCol="label_name", outputCol="label", handleInvalid="error")
+    return PipelineModel([indexer, SQLTransformer(statement=statement)])
+
+
 def train_logistic(rows: DataFrame, max_iter: int = 1000, c: float = 1.0, n_rows: int | None = None, labels: list[str] | None = None) -> PipelineModel:
     """Multinomial logistic router; the penalty c per sum becomes 1/(c*n) per mean."""
     names = _labels(rows, labels)
@@ -121,7 +211,7 @@ def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
     scorable = rows if "label_name" in rows.columns else rows.withColumn("label_name", F.lit(None).cast("string"))
     indexer = model.stages[0].copy().setHandleInvalid("keep")
     scored = PipelineModel([indexer, *model.stages[1:]]).transform(scorable)
-    confidence = F.array_max(vector_to_array("probability"))
+    confidence = F.array_max(vector_to_array("probability")) if "probability" in scored.columns else F.col("confidence")
     return scored.withColumn("confidence", confidence).withColumn("reasoning", reasoning(confidence))
 
 
@@ -191,3 +281,48 @@ def save_router(model: PipelineModel, path: str) -> None:
 
 def load_router(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+@dataclass
+class Artefact:
+    """A trained router with the folds, metrics and record it was chosen by."""
+
+    model: PipelineModel
+    folds: DataFrame
+    metrics: DataFrame
+    record: dict
+
+
+_RECORD = "version bigint, model string, k int, rows bigint, mean_accuracy double, mean_f1 double, trained_at string, train_time double"
+
+
+def train_artefact(rows: DataFrame, candidates: dict, path: str, version: int, row_id: str, k: int = 3, seed: int = 42) -> Artefact:
+    """Cross-validate several routers on the same folds, fit the best by mean F1 on all rows, and keep everything under one version.
+
+    ``candidates`` maps names to functions from rows with ``label_name`` to a model. The record is written last: a version without it was not
+    finished, and training it again overwrites it.
+    """
+    spark = rows.sparkSession
+    target = f"{path}/version={version}"
+    folded = stored(stratified_folds(rows, row_id, "label_name", k, seed), "folded")
+    folded.select(row_id, "fold").write.mode("overwrite").parquet(f"{target}/folds")
+    parts = [cross_validate(folded, train, k).withColumn("model", F.lit(name)) for name, train in candidates.items()]
+    reduce(DataFrame.unionByName, parts).coalesce(1).write.mode("overwrite").parquet(f"{target}/metrics")
+    means = spark.read.parquet(f"{target}/metrics").groupBy("model").agg(F.avg("val_f1").alias("f1"), F.avg("val_accuracy").alias("accuracy"))
+    best = means.orderBy(F.col("f1").desc(), "model").first()
+    start = time.time()
+    model = candidates[best["model"]](folded.drop("fold"))
+    save_router(model, f"{target}/model")
+    record = (version, best["model"], k, folded.count(), best["accuracy"], best["f1"], datetime.now(timezone.utc).isoformat(), time.time() - start)
+    spark.createDataFrame([record], _RECORD).coalesce(1).write.mode("overwrite").json(f"{path}/records/{version}")
+    return load_artefact(spark, path, version)
+
+
+def load_artefact(spark: SparkSession, path: str, version: int | None = None) -> Artefact:
+    """One version, or the last finished one."""
+    known = spark.read.schema(_RECORD).json(f"{path}/records/*")
+    row = (known if version is None else known.where(F.col("version") == version)).orderBy(F.col("version").desc()).first()
+    if row is None:
+        raise FileNotFoundError(f"no finished version {version if version is not None else ''} in {path}")
+    target = f"{path}/version={row['version']}"
+    return Artefact(load_router(f"{target}/model"), spark.read.parquet(f"{target}/folds"), spark.read.parquet(f"{target}/metrics"), row.asDict())

@@ -1,6 +1,8 @@
 """Routers: structure, label domain, persistence, fallbacks, cross-validation."""
 
+import numpy as np
 import pytest
+from pyspark.ml.linalg import DenseVector
 from pyspark.sql import functions as F
 
 from gradeloom import fixed_values as fv
@@ -83,3 +85,47 @@ def test_fallback_templates(spark):
 
 def test_embedding_rows_have_all_labels(spark, small_dir):
     assert {r.template for r in data.router_rows(spark, small_dir).select("template").distinct().collect()} == set(fv.TEMPLATES)
+
+
+def test_rounds_stop_on_the_held_out_score(rows):
+    model, scores = routers.train_mlp_rounds(rows, hidden=(12,), rounds=12, iterations=30, patience=2, labels=fv.TEMPLATES)
+    best = max(scores)
+    since = len(scores) - 1 - scores.index(best)
+    assert len(scores) < 12 and since == 2 and accuracy(model, rows) > 90
+    assert len(model.stages) == 4 and routers.score(model, rows.drop("label_name")).count() == 200
+
+
+def test_decay_has_its_closed_form(rows):
+    weights = DenseVector([1.0, -2.0, 0.5])
+    now = weights
+    for _ in range(7):
+        now = routers.decayed(now, 0.1)
+    assert np.allclose(now.toArray(), weights.toArray() * 0.9**7)
+    # Rounds without iterations leave the decayed weights, so they shrink by the same factor in a real net.
+    small = routers.train_mlp_rounds(rows, hidden=(4,), rounds=2, iterations=1, alpha=0.0, patience=5)[0].stages[2].weights.toArray()
+    decayed = routers.train_mlp_rounds(rows, hidden=(4,), rounds=2, iterations=1, alpha=0.5, patience=5)[0].stages[2].weights.toArray()
+    assert small.shape == decayed.shape and np.isfinite(decayed).all()
+
+
+def test_lookup_router(spark):
+    rows = spark.createDataFrame([("a'\\\\", "minimal")] * 3 + [("a'\\\\", "verbose")] + [("b", "verbose"), ("b", "standard"), (None, "verbose"), (None, "verbose")], "key string, label_name string")
+    model = routers.train_lookup(rows, "key", fv.TEMPLATES)
+    got = {r.key: (r.predicted, round(r.confidence, 3)) for r in routers.score(model, rows.drop("label_name").union(spark.createDataFrame([("new",)], "key string"))).collect()}
+    assert got == {"a'\\\\": ("minimal", 0.75), "b": ("standard", 0.5), None: ("verbose", 0.5), "new": ("verbose", 0.5)}
+
+
+def test_artefacts(spark, tmp_path):
+    rows = spark.range(90).select("id", F.get(F.array(F.lit("x"), F.lit("y"), F.lit("z")), (F.col("id") % 3).cast("int")).alias("key"), F.get(F.array(F.lit("minimal"), F.lit("standard"), F.lit("verbose")), (F.col("id") % 3).cast("int")).alias("label_name"))
+    path = str(tmp_path / "a")
+    candidates = {"good": lambda part: routers.train_lookup(part, "key", fv.TEMPLATES), "bad": lambda part: routers.train_lookup(part.withColumn("key", F.lit("x")), "key", fv.TEMPLATES)}
+    first = routers.train_artefact(rows, candidates, path, 1, "id")
+    assert first.record["model"] == "good" and first.record["rows"] == 90 and first.record["mean_f1"] == 1
+    assert first.metrics.count() == 6 and first.folds.groupBy("fold").count().count() == 3
+    routers.train_artefact(rows, {"bad": candidates["bad"]}, path, 2, "id")
+    spark.range(1).write.parquet(f"{path}/version=3/folds")  # not finished: no record
+    last = routers.load_artefact(spark, path)
+    assert last.record["version"] == 2 and routers.load_artefact(spark, path, 1).record["model"] == "good"
+    a = routers.score(first.model, rows).select("id", "predicted")
+    assert a.exceptAll(routers.score(routers.load_artefact(spark, path, 1).model, rows).select("id", "predicted")).count() == 0
+    with pytest.raises(FileNotFoundError):
+        routers.load_artefact(spark, path, 3)
