@@ -1,24 +1,25 @@
-"""Benchmark decontamination by rare words, a check of the word order and latent semantics.
+"""Benchmark decontamination by latent semantic retrieval, and a check of the word order.
 
-1. The benchmark is cut into passages of at most ``PASSAGE`` words. Document frequencies of
+1. The benchmark is cut into passages of at most ``PASSAGE`` words, in tasks; equal items count once. Document frequencies of
    its words are counted over all documents.
-2. Passages that have enough of their rarest words around a window of a document are candidates. A passage that shares
-   ``PARAPHRASE`` of its words with a text lacks at most the rest, so enough is a bound that no leak can miss, whatever
-   else stands there and however many passages there are.
-3. The longest common subsequence of a candidate and the words around the window decides: ``VERBATIM`` of the
+2. A distributed randomised singular value decomposition of the passages' TF-IDF rows gives a latent space for every ``SPACE_PASSAGES``
+   passages, few enough for ``RANK`` directions to hold most of each. The windows of all documents are projected, and those
+   whose cosine with a passage is ``LEAST_COSINE`` or more are its candidates.
+3. A net for what the cosine misses, as in windows full of other prose: passages that have enough of their rarest words around a
+   window. A passage that shares ``PARAPHRASE`` of its words with a text lacks at most the rest, so enough is a bound that no leak
+   can miss. It is also what a candidate of the cosine has to pass first.
+4. The longest common subsequence of a candidate and the words around the window decides: ``VERBATIM`` of the
    passage is a leak; from ``PARAPHRASE`` on it is one if the item's answer is found too, there or within ``SPREAD`` times
    its length anywhere in the document. The answer is the benchmark's ``answer`` column if it has one, else the last
-   sentence of the item.
-4. A distributed randomised singular value decomposition of the passages' TF-IDF rows gives a latent space. What is found
-   must also have a cosine of ``LEAST_COSINE`` with the window there, or else stand within ``SPREAD`` times the
-   passage's length: a few frequent words in order, far apart, are no leak.
+   sentence of the item. What stands in one place, within ``SPREAD`` times the passage's length, needs no cosine; what
+   is spread wider does: a few frequent words in order, far apart, are no leak.
 
-A benchmark of any size is taken in blocks of ``BLOCK_ITEMS`` items; only one block's vectors are
-broadcast at a time.
+A benchmark of any size is taken in blocks of about ``BLOCK_PASSAGES`` passages of whole items (a longer item is a block of its own); one
+block's vectors are broadcast at a time, to two scans of the documents, and released.
 
 Defined results: null or empty texts, of documents or items, match nothing; items without words are
-skipped; repeated documents match alike, repeated items once each; an empty table gives no rows; documents with a null id
-are matched and reported with a null id, but not dropped; other columns are ignored.
+skipped; repeated documents match alike, repeated items once; bytes that are not UTF-8 are read as replacement characters; an
+empty table gives no rows; documents with a null id are matched and reported with a null id, but not dropped; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,13 +27,15 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from gradeloom.llm.common import saved
+from gradeloom.llm.common import prefix_sums, saved
 from gradeloom.llm.latent import right_vectors
+from gradeloom.llm.repeats import hinted
 from gradeloom.llm.tokens import blocks
 
 PASSAGE, STRIDE = 64, 32
@@ -40,13 +43,13 @@ RANK = 128
 LEAST_COSINE = 0.35
 ASKED = 0.1  # share of a passage's words, its rarest, that a candidate has besides those that a leak may lack
 SPREAD = 2
-CELLS = 4_000_000  # counts of words by place and passage that a task holds at a time
+CELLS = 4_000_000  # counts of words, or cosines, by place and passage that a task holds at a time
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.6, 0.6
-BLOCK_ITEMS = 4000
+BLOCK_PASSAGES, SPACE_PASSAGES = 4096, 512
 BLOCK_BYTES = 1_500_000
 _SEPARATORS = bytes(range(0x00, 0x30)) + b":;<=>?@[\\]^_`{|}~\x7f"
 _PLAIN = bytes.maketrans(_SEPARATORS, b" " * len(_SEPARATORS))
-_MATCH = "item long, first_word long, last_word long, cosine double, overlap double, kind string"
+_MATCH = "item long, first_word long, last_word long, cosine double, overlap double, kind string, found_by string"
 
 
 def plain_words(text: bytes | None) -> list[bytes]:
@@ -77,8 +80,7 @@ class Index:
     passages: list[Passage]
     number: dict[bytes, int]  # of the benchmark's words
     weights: np.ndarray  # inverse document frequency of each
-    space: np.ndarray  # words x rank, weighted
-    vectors: np.ndarray  # passages x rank, of length one
+    spaces: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # per part of the passages: its words, words x rank (weighted), passages x rank (of length one)
     first: np.ndarray  # where the passages of each word begin in ``holders``
     holders: np.ndarray  # passages that have the word among their rarest, once for each time
     least: np.ndarray  # of those, how many a leak of each passage has
@@ -97,6 +99,18 @@ def _passages(item: int, text: bytes | None, answer: bytes | None) -> list[Passa
     return [(item, words[s : s + PASSAGE], wanted) for s in starts]
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Map task: the passages of items, words and answer as joined words."""
+    for batch in batches:
+        for item, text, answer in zip(*(batch.column(c).to_pylist() for c in ("item", "text", "answer"))):
+            found = _passages(item, text, answer)
+            if found:
+                wanted = b" ".join(found[0][2])
+                yield pa.RecordBatch.from_pydict(
+                    {"item": pa.array([item] * len(found), pa.int64()), "words": pa.array([b" ".join(w) for _, w, _ in found], pa.binary()), "answer": pa.array([wanted] * len(found), pa.binary())}
+                )
+
+
 def _frequencies(number):
     """Map task: in how many documents each word of the benchmark occurs."""
 
@@ -151,12 +165,20 @@ def _index(docs: DataFrame, passages: list[Passage], rank: int) -> Index:
     documents = found.get(-1, 0)
     frequency = np.array([found.get(k, 0) for k in range(len(number))], float)
     weights = np.log1p((documents + 1) / (frequency + 1)).astype(np.float32)  # never 0, however frequent a word is
+    spaces = [_space(spark, passages[k : k + SPACE_PASSAGES], number, weights, rank) for k in range(0, len(passages), SPACE_PASSAGES)]
+    return Index(passages, number, weights, spaces, *_rarest(passages, number, frequency))
+
+
+def _space(spark, passages: list[Passage], number: dict[bytes, int], weights: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The latent space of some passages: their words, a weighted direction row per word, and the passages in it."""
     rows = [_row(words, number, weights) for _, words, _ in passages]
-    frame = spark.createDataFrame(rows, "slots array<int>, weights array<double>").repartition(max(1, len(rows) // 500 + 1))
-    space = right_vectors(frame, len(number), min(rank, len(number), len(rows)))
+    words = np.unique(np.concatenate([s for s, _ in rows]))
+    rows = [(np.searchsorted(words, s).tolist(), w) for s, w in rows]
+    frame = spark.createDataFrame(rows, "slots array<int>, weights array<double>").repartition(max(1, len(rows) // 128))
+    space = right_vectors(frame, len(words), min(rank, len(words), len(rows)))
     vectors = np.stack([np.array(w, np.float32) @ space[s] for s, w in rows])
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-    return Index(passages, number, weights, space * weights[:, None], vectors / np.maximum(norms, 1e-9), *_rarest(passages, number, frequency))
+    return words, (space * weights[words][:, None]).astype(np.float32), (vectors / np.maximum(norms, 1e-9)).astype(np.float32)
 
 
 def _compact(words: list[bytes], around: list[bytes], least: int) -> bool:
@@ -175,40 +197,95 @@ def _judge(words: list[bytes], answer: list[bytes], around: list[bytes], elsewhe
     return None, overlap
 
 
-def _candidates(index: Index, known: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Document, place in it of the window's first word, and passage, of all windows around which enough rare words stand."""
-    n_passages = len(index.passages)
-    chunks = -(-lengths // STRIDE)
-    first = np.cumsum(chunks) - chunks
-    owner = np.repeat(np.arange(len(lengths)), chunks)
-    total = int(chunks.sum())
-    place = np.arange(len(known)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    degree = np.where(known >= 0, np.diff(index.first)[known], 0)
-    hit = np.flatnonzero(degree)
-    chunk = np.repeat(first, lengths)[hit] + place[hit] // STRIDE
-    known, degree = known[hit], degree[hit]
-    step = max(16, CELLS // n_passages)
-    for at in range(0, total, step):
-        stop = min(total, at + step)
-        low, high = max(0, at - 1), min(total, stop + 2)
-        a, b = np.searchsorted(chunk, (low, high))
-        some = degree[a:b]
-        entry = np.arange(some.sum()) + np.repeat(index.first[known[a:b]] - (np.cumsum(some) - some), some)
-        cells = np.bincount(np.repeat(chunk[a:b] - low, some) * n_passages + index.holders[entry], minlength=(high - low) * n_passages)
-        summed = np.zeros((high - low + 1, n_passages), np.int32)
-        np.cumsum(cells.reshape(-1, n_passages), axis=0, out=summed[1:])
-        here = np.arange(at, stop)
-        doc = owner[here]
-        # A window is two chunks; what is around it, one more on either side.
-        near = summed[np.minimum(here + 3, first[doc] + chunks[doc]) - low] - summed[np.maximum(here - 1, first[doc]) - low]
-        w, p = np.nonzero(near >= index.least)
-        yield doc[w], (here[w] - first[doc[w]]) * STRIDE, p
+class _Windows:
+    """The windows of some documents: chunks of ``STRIDE`` words, of which a window has two and what is around it one more on either side."""
+
+    def __init__(self, index: Index, known: np.ndarray, lengths: np.ndarray):
+        self.index, self.known = index, known
+        self.chunks = -(-lengths // STRIDE)
+        self.first = np.cumsum(self.chunks) - self.chunks
+        self.owner = np.repeat(np.arange(len(lengths)), self.chunks)
+        place = np.arange(len(known)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        self.chunk = np.repeat(self.first, lengths) + place // STRIDE
+        self.starts = np.flatnonzero(place % STRIDE == 0)
+
+    def __len__(self) -> int:
+        return len(self.owner)
+
+    def cosines(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Per space: number of its first passage, first window, and the cosines of a run of windows with its passages."""
+        begin = 0
+        last = self.first[self.owner] + self.chunks[self.owner] - 1
+        following = np.minimum(np.arange(len(self)) + 1, last)
+        for words, space, vectors in self.index.spaces:
+            own = np.full(len(self.index.number) + 1, len(words))
+            own[words] = np.arange(len(words))
+            rows = np.vstack([space, np.zeros((1, space.shape[1]), np.float32)])[own[self.known]]
+            sums = np.add.reduceat(rows, self.starts, axis=0)
+            windows = sums + np.where((following > np.arange(len(self)))[:, None], sums[following], 0)
+            windows /= np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-9)
+            step = max(16, CELLS // len(vectors))
+            for at in range(0, len(self), step):
+                yield begin, at, windows[at : at + step] @ vectors.T
+            begin += len(vectors)
+
+    def near_by_meaning(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows, passages and cosines of all pairs from ``LEAST_COSINE`` on."""
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))]
+        for begin, at, cosines in self.cosines():
+            w, p = np.nonzero(cosines >= LEAST_COSINE)
+            found.append((w + at, p + begin, cosines[w, p]))
+        return tuple(np.concatenate(part) for part in zip(*found))
+
+    def near_by_words(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Windows and passages of all pairs with enough rare words around the window."""
+        index, n_passages, total = self.index, len(self.index.passages), len(self)
+        degree = np.where(self.known >= 0, np.diff(index.first)[self.known], 0)
+        hit = np.flatnonzero(degree)
+        chunk, known, degree = self.chunk[hit], self.known[hit], degree[hit]
+        step = max(16, CELLS // n_passages)
+        for at in range(0, total, step):
+            stop = min(total, at + step)
+            low, high = max(0, at - 1), min(total, stop + 2)
+            a, b = np.searchsorted(chunk, (low, high))
+            some = degree[a:b]
+            entry = np.arange(some.sum()) + np.repeat(index.first[known[a:b]] - (np.cumsum(some) - some), some)
+            cells = np.bincount(np.repeat(chunk[a:b] - low, some) * n_passages + index.holders[entry], minlength=(high - low) * n_passages)
+            summed = np.zeros((high - low + 1, n_passages), np.int32)
+            np.cumsum(cells.reshape(-1, n_passages), axis=0, out=summed[1:])
+            here = np.arange(at, stop)
+            doc = self.owner[here]
+            near = summed[np.minimum(here + 3, self.first[doc] + self.chunks[doc]) - low] - summed[np.maximum(here - 1, self.first[doc]) - low]
+            w, p = np.nonzero(near >= index.least)
+            yield here[w], p
+
+    def candidates(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Document, place of the window's first word, passage, cosine, and whether the cosine search found the pair, in the order of the windows.
+
+        Pairs of the cosine search that cannot be a leak by the rare words are gone; pairs by the rare words alone are the net.
+        """
+        n_passages = len(self.index.passages)
+        w, p, cosine = self.near_by_meaning()
+        meant = w * n_passages + p
+        order = np.argsort(meant, kind="stable")
+        meant, cosine = meant[order], cosine[order]
+        parts = [w * n_passages + p for w, p in self.near_by_words()]
+        pairs = np.concatenate([np.empty(0, np.int64), *parts])
+        at = np.searchsorted(meant, pairs)
+        by_meaning = meant[np.minimum(at, max(0, len(meant) - 1))] == pairs if len(meant) else np.zeros(len(pairs), bool)
+        values = np.full(len(pairs), np.nan)
+        values[by_meaning] = cosine[at[by_meaning]]
+        w, p = np.divmod(pairs, n_passages)
+        doc = self.owner[w]
+        return doc, (w - self.first[doc]) * STRIDE, p, values, by_meaning
 
 
 def _cosine(index: Index, known: np.ndarray, p: int) -> float:
-    known = known[known >= 0]
-    row = index.space[known].sum(axis=0)
-    return float(row @ index.vectors[p] / max(1e-9, np.linalg.norm(row)))
+    """Cosine of a passage with a window that the search has not kept one for."""
+    words, space, vectors = index.spaces[p // SPACE_PASSAGES]
+    at = np.searchsorted(words, known)
+    row = space[at[(at < len(words)) & (words[np.minimum(at, len(words) - 1)] == known)]].sum(axis=0)
+    return float(row @ vectors[p % SPACE_PASSAGES] / max(1e-9, np.linalg.norm(row)))
 
 
 def _search(sent):
@@ -217,7 +294,6 @@ def _search(sent):
         distinct = [frozenset(index.number[w] for w in own) for _, own, _ in index.passages]
         lacking = [len(own) - _least_common(len(own)) for _, own, _ in index.passages]
         for block in blocks(batches, "text", BLOCK_BYTES):
-            ids = block.column("doc_id").to_pylist()
             texts = [plain_words(t) for t in block.column("text").to_pylist()]
             lengths = np.array([len(t) for t in texts])
             words = [w for t in texts for w in t]
@@ -233,32 +309,63 @@ def _search(sent):
                     answered[doc, item] = _compact(answer, texts[doc], math.ceil(ANSWER * len(answer) - 1e-9))
                 return answered[doc, item]
 
-            for found in _candidates(index, known, lengths):
-                last_window = None
-                for doc, start, p in zip(*(x.tolist() for x in found)):
-                    begin = offsets[doc]
-                    first, last = max(0, start - STRIDE), min(len(texts[doc]), start + PASSAGE + STRIDE)
-                    if last_window != (doc, start):
-                        last_window, seen = (doc, start), set(known[begin + first : begin + last].tolist())
-                    if len(distinct[p]) - len(distinct[p] & seen) > lacking[p]:
-                        continue
-                    (item, own, answer), around = index.passages[p], texts[doc][first:last]
-                    kind, overlap = _judge(own, answer, around, lambda: elsewhere(doc, item, answer))
-                    key = (doc, item)
-                    if kind and (key not in best or best[key][4] <= overlap):
+            last_window = None
+            for doc, start, p, cosine, by_meaning in zip(*(x.tolist() for x in _Windows(index, known, lengths).candidates())):
+                begin = offsets[doc]
+                first, last = max(0, start - STRIDE), min(len(texts[doc]), start + PASSAGE + STRIDE)
+                if last_window != (doc, start):
+                    last_window, seen = (doc, start), set(known[begin + first : begin + last].tolist())
+                if len(distinct[p]) - len(distinct[p] & seen) > lacking[p]:
+                    continue
+                (item, own, answer), around = index.passages[p], texts[doc][first:last]
+                kind, overlap = _judge(own, answer, around, lambda: elsewhere(doc, item, answer))
+                key = (doc, item)
+                if kind and (key not in best or best[key][4] <= overlap):
+                    if not by_meaning:
                         cosine = _cosine(index, known[begin + start : begin + min(lengths[doc], start + PASSAGE)], p)
-                        if key in best and (best[key][4], best[key][3]) >= (overlap, cosine):
-                            continue
-                        if cosine >= LEAST_COSINE or _compact(own, around, math.ceil((VERBATIM if kind == "verbatim" else PARAPHRASE) * len(own) - 1e-9)):
-                            best[key] = (item, first, last - 1, cosine, overlap, kind)
+                    if key in best and (best[key][4], best[key][3]) >= (overlap, cosine):
+                        continue
+                    if by_meaning or _compact(own, around, math.ceil((VERBATIM if kind == "verbatim" else PARAPHRASE) * len(own) - 1e-9)):
+                        best[key] = (item, first, last - 1, cosine, overlap, kind, "cosine" if by_meaning else "words")
             if best:
                 names = [part.split()[0] for part in _MATCH.split(", ")]
                 columns = dict(zip(names, zip(*best.values())))
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([ids[d] for d, _ in best], block.schema.field("doc_id").type), **{k: list(v) for k, v in columns.items()}})
+                own = {c: block.column(c).take(pa.array([d for d, _ in best])) for c in ("doc_id", "text_key")}
+                yield pa.RecordBatch.from_pydict({**own, **{k: list(v) for k, v in columns.items()}})
 
     return run
 
 
+def _text_key(text: Column) -> Column:
+    """Tells texts of one id apart."""
+    return F.xxhash64(text, F.octet_length(text))
+
+
+def _matches(rows: DataFrame, benchmark: DataFrame, rank: int, item_column: str) -> DataFrame:
+    """Matches of rows (doc_id, text, text_key) with the items, one per row and item."""
+    spark = rows.sparkSession
+    answer = F.col("answer").cast("binary") if "answer" in benchmark.columns else F.lit(None).cast("binary")
+    items = benchmark.where(F.col("text").isNotNull()).select(F.col(item_column).alias("item_id"), F.col("text").cast("binary").alias("text"), answer.alias("answer"))
+    numbered = saved(items.distinct().withColumn("item", F.monotonically_increasing_id()), "benchmark")
+    passages = saved(numbered.select("item", "text", "answer").mapInArrow(_cut, "item long, words binary, answer binary"), "passages")
+    sizes = passages.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    blocked = saved(
+        prefix_sums(sizes, ["item"], "n").select("item", F.floor(F.col("before") / BLOCK_PASSAGES).alias("block")), "item-blocks"
+    )
+    kinds = dict([*rows.dtypes, *items.dtypes])
+    found = []
+    for block in range((blocked.agg(F.max("block")).first()[0] or 0) + 1 if not blocked.isEmpty() else 0):
+        chosen = blocked.where(F.col("block") == block).select("item")
+        own = passages.join(F.broadcast(chosen), "item").orderBy("item").collect()  # about BLOCK_PASSAGES rows
+        answers = {r["item"]: bytes(r["answer"]).split(b" ") if r["answer"] else [] for r in own}
+        sent = spark.sparkContext.broadcast(vars(_index(rows, [(r["item"], bytes(r["words"]).split(b" "), answers[r["item"]]) for r in own], rank)))
+        found.append(saved(rows.mapInArrow(_search(sent), f"doc_id {kinds['doc_id']}, text_key long, {_MATCH}"), "matches"))
+        sent.unpersist()
+    if not found:
+        return spark.createDataFrame([], f"doc_id {kinds['doc_id']}, text_key long, {_MATCH}, item_id {kinds['item_id']}")
+    return reduce(DataFrame.unionAll, found).join(numbered.select("item", "item_id"), "item")
+
+
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -267,34 +374,24 @@ def find_leaks(
     text_column: str = "text",
     item_column: str = "item_id",
 ) -> DataFrame:
-    """One row per document and item that it contains: ids, words of the document looked at, cosine, overlap, kind."""
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("binary").alias("text"))
-    answer = F.col("answer").cast("binary") if "answer" in benchmark.columns else F.lit(None).cast("binary")
-    items = saved(
-        benchmark.where(F.col("text").isNotNull())
-        .select(F.col(item_column).alias("item_id"), F.col("text").cast("binary").alias("text"), answer.alias("answer"))
-        .withColumn("_part", F.pmod(F.xxhash64("item_id", "text"), F.lit(1 << 20))),
-        "benchmark",
-    )
-    n_blocks = -(-items.count() // BLOCK_ITEMS)
-    kinds = {c: t for c, t in [*rows.dtypes, *items.dtypes]}
-    found = None
-    for k in range(n_blocks):
-        own = items.where(F.col("_part") % n_blocks == k).drop("_part").collect()
-        passages = [p for n, r in enumerate(own) for p in _passages(n, r["text"], r["answer"])]
-        if not passages:
-            continue
-        sent = docs.sparkSession.sparkContext.broadcast(vars(_index(rows, passages, rank)))
-        matches = rows.mapInArrow(_search(sent), f"doc_id {kinds['doc_id']}, {_MATCH}")
-        names = docs.sparkSession.createDataFrame([(n, r["item_id"]) for n, r in enumerate(own)], f"item long, item_id {kinds['item_id']}")
-        named = matches.join(F.broadcast(names), "item").drop("item")
-        found = named if found is None else found.union(named)
-    if found is None:
-        found = docs.sparkSession.createDataFrame([], f"doc_id {kinds['doc_id']}, first_word long, last_word long, cosine double, overlap double, kind string, item_id {kinds['item_id']}")
-    return found.select(F.col("doc_id").alias(id_column), F.col("item_id").alias(item_column), "first_word", "last_word", "cosine", "overlap", "kind")
-
-
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
-    """The documents without those that contain benchmark items; all columns stay."""
-    gone = saved(find_leaks(docs, benchmark, id_column=id_column, **options).select(id_column).distinct(), "leaks")
-    return docs.join(gone, id_column, "left_anti").select(*docs.columns)
+    """One row per document and item that it contains: ids, words of the document looked at, cosine, overlap, kind, and which search found it."""
+    found = _matches(_rows(docs, id_column, text_column), benchmark, rank, item_column)
+    columns = ["first_word", "last_word", "cosine", "overlap", "kind", "found_by"]
+    return found.select(F.col("doc_id").alias(id_column), F.col("item_id").alias(item_column), *columns)
+
+
+def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    text = F.col(text_column).cast("binary")
+    return docs.select(F.col(id_column).alias("doc_id"), text.alias("text"), _text_key(text).alias("text_key"))
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id") -> DataFrame:
+    """The documents without those that contain benchmark items, told apart by id and text; all columns stay."""
+    found = _matches(_rows(docs, id_column, text_column), benchmark, rank, item_column)
+    gone = saved(found.where("doc_id IS NOT NULL").select("doc_id", "text_key").distinct(), "leaks")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    keyed = packed.select("row", F.col(f"row.`{id_column}`").alias("doc_id"), _text_key(F.col(f"row.`{text_column}`").cast("binary")).alias("text_key"))
+    pair = F.xxhash64("doc_id", "text_key").alias("pair")
+    marked = hinted(keyed.withColumn("pair", pair), "pair", gone.select(pair))
+    stay = marked.where("_maybe").join(gone, ["doc_id", "text_key"], "left_anti").select("row")
+    return marked.where("NOT _maybe").select("row").unionByName(stay).select("row.*")
