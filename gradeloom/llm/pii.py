@@ -1,14 +1,15 @@
 """Personal data in whole texts: fixed base patterns plus spans found by weak supervision.
 
 Candidates are the matches of the base patterns, valid or not, and of looser forms (spelled-out
-addresses, national phone numbers, long ip addresses). Three labelers vote on each: the
+addresses, national phone numbers, long or spaced ip addresses). Three labelers vote on each: the
 validity of the form, a gazetteer (domain endings, issuer and area prefixes, reserved nets) and the words before
-it. Expectation-maximisation over the counts of vote patterns estimates the labelers' reliabilities;
-its posteriors train a logistic span classifier on votes, kind and form. Valid base matches always stay, other
-candidates are added where the classifier is sure and no base span overlaps.
+it. Expectation-maximisation over the counts of vote patterns estimates the labelers' reliabilities. Its posteriors are the
+targets of a logistic span classifier with features of its own, none of which a labeler votes by: hashed shapes, affixes and lengths of the
+span and the words to its left and right. So it also judges spans that the labelers say little about. Valid base matches always
+stay, other candidates are added where the classifier is sure, no base span overlaps and the labelers do not hold them for false.
 
-Everything that touches rows is a DataFrame expression. Only counts of vote patterns come
-to the driver: at most 4 kinds x 27 votes x 2 forms.
+Everything that touches rows is a DataFrame expression. Only counts of vote patterns (at most 4 kinds x 27 votes x 2 forms) and
+one sum per feature slot and round come to the driver.
 
 Defined results: a null or empty text has no spans; repeated rows are treated alike; an empty table
 gives no rows; other columns are ignored. Offsets count code points, ends are exclusive.
@@ -33,8 +34,8 @@ BASE = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 LOOSE = {
-    "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)) ?[a-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)|\.) ?[a-z0-9-]{1,63}){1,8}",
-    "ip": r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:.])",
+    "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}(?: ?(?:\[at\]|\(at\)) ?[a-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)|\.) ?[a-z0-9-]{1,63}){1,8}| at [a-z0-9-]{1,63}(?: dot [a-z0-9-]{1,63}){1,8})",
+    "ip": r"(?<![0-9A-Fa-f:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9]{1,3}(?: ?\. ?[0-9]{1,3}){2} ?\. [0-9]{1,3})(?![0-9A-Fa-f:.])",
     "phone": r"(?<![0-9+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
 }
 GATES = {
@@ -42,8 +43,8 @@ GATES = {
     ("base", "ip"): "dotted",
     ("base", "card"): "digits",
     ("base", "phone"): "contains(text, '+') AND digits",
-    ("loose", "email"): "contains(lower(text), '[at]') OR contains(lower(text), '(at)')",
-    ("loose", "ip"): "contains(text, ':') AND digits",
+    ("loose", "email"): "contains(lower(text), '[at]') OR contains(lower(text), '(at)') OR contains(lower(text), ' dot ')",
+    ("loose", "ip"): "digits AND (contains(text, ':') OR contains(text, '. '))",
     ("loose", "phone"): "digits",
 }
 # Fixed values of the gazetteer labeler and the context labeler.
@@ -58,7 +59,10 @@ CUES = {
 }
 DENIALS = r"\b(version|release|order|invoice|isbn|serial|part|ref|item|section|chapter|build)\b"
 SURE = 0.9
+#: Slots of the span classifier's hashed features, and rounds of its training.
+SLOTS, ROUNDS = 4096, 12
 _BLOCK = 256
+_VOTES = ["kind", "form", "by_form", "by_gazetteer", "by_context"]
 
 
 def _quoted(pattern: str) -> str:
@@ -74,7 +78,7 @@ def _starts(df: DataFrame, names: list[str]) -> DataFrame:
     keep = ["doc_id"]
     steps = [
         F.expr(f"""transform({n}_found, (m, i) -> struct(length(m) AS size, length({n}_pieces[i]) AS gap, m AS match,
-            lower(right({n}_pieces[i], 40)) AS left))""").alias(n)
+            lower(right({n}_pieces[i], 40)) AS left, lower(left({n}_pieces[i + 1], 40)) AS right))""").alias(n)
         for n in names
     ]
     df = computed_once(df, keep, *steps)
@@ -91,8 +95,8 @@ def _starts(df: DataFrame, names: list[str]) -> DataFrame:
     df = computed_once(df, keep + names, *offsets)
     before = "{n}_offsets[i div 256] + aggregate(slice({n}, (i div 256) * 256 + 1, i % 256), 0L, (a, y) -> a + y.size + y.gap) + x.gap"
     spans = [
-        F.expr(f"""transform(transform({n}, (x, i) -> struct({before.format(n=n)} AS start, x.size AS size, x.match AS match, x.left AS left)),
-            x -> struct(x.start AS start, x.start + x.size AS end, x.match AS match, x.left AS left))""").alias(n)
+        F.expr(f"""transform(transform({n}, (x, i) -> struct({before.format(n=n)} AS start, x.size AS size, x.match AS match, x.left AS left, x.right AS right)),
+            x -> struct(x.start AS start, x.start + x.size AS end, x.match AS match, x.left AS left, x.right AS right))""").alias(n)
         for n in names
     ]
     return computed_once(df, keep, *spans)
@@ -119,13 +123,33 @@ _GAZETTEER = {
 }
 
 
+def _own_features(kind: str) -> str:
+    """SQL of the feature slots of a span ``x``: its shape, affixes and length, and the words around it."""
+    shape = "regexp_replace(regexp_replace(lower(x.match), '[0-9]', '0'), '[a-z]', 'a')"
+    values = {
+        "shape": shape,
+        "runs": rf"regexp_replace({shape}, r'(.)\1+', '$1')",
+        "length": "least(x.end - x.start, 40)",
+        **{f"head {k}": f"lower(left(x.match, {k}))" for k in (1, 2, 3)},
+        **{f"tail {k}": f"lower(right(x.match, {k}))" for k in (1, 2, 3)},
+        "left": r"regexp_extract(x.left, r'([^\s]+)\s*$', 1)",
+        "left 2": r"regexp_extract(x.left, r'([^\s]+)\s+[^\s]+\s*$', 1)",
+        "touches left": "right(x.left, 1)",
+        "right": r"regexp_extract(x.right, r'^\s*([^\s]+)', 1)",
+        "touches right": "left(x.right, 1)",
+        "all": "''",
+    }
+    slots = [f"CAST(pmod(xxhash64('{kind}', '{name}', CAST({value} AS STRING)), {SLOTS}) AS INT)" for name, value in values.items()]
+    return f"array({', '.join(slots)})"
+
+
 def _judged(name: str, form: str, kind: str) -> str:
     """SQL of an array of candidates with their votes."""
     valid = _VALID[kind] if form == "base" else "false"
     form_vote = f"CASE WHEN {valid} THEN 1 ELSE -1 END" if form == "base" else "0"
     context = _vote(f"rlike(x.left, {_quoted(CUES[kind])})", f"rlike(x.left, {_quoted(DENIALS)})")
     return f"""transform({name}, x -> struct(x.start AS start, x.end AS end, {valid} AS valid, '{kind}' AS kind, '{form}' AS form,
-        {form_vote} AS by_form, {_GAZETTEER[kind]} AS by_gazetteer, {context} AS by_context))"""
+        {form_vote} AS by_form, {_GAZETTEER[kind]} AS by_gazetteer, {context} AS by_context, {_own_features(kind)} AS slots))"""
 
 
 def candidates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -179,51 +203,49 @@ def fit_labelers(counts: dict[tuple, int], rounds: int = 100) -> tuple[dict[tupl
     return posterior, tables
 
 
-def _features(pattern: tuple) -> list[tuple]:
-    kind, form, *votes = pattern
-    return [("bias",), ("kind", kind), ("form", form), *((k, v) for k, v in enumerate(votes))]
+def _truth(posterior: dict[tuple, float], name: str) -> str:
+    """SQL of the posterior of the struct ``name``, by its votes."""
+    votes = f"concat_ws('/', {', '.join(f'{name}.{v}' for v in _VOTES)})"
+    cases = "".join(f" WHEN '{'/'.join(map(str, p))}' THEN CAST({q!r} AS DOUBLE)" for p, q in posterior.items())
+    return f"CASE {votes}{cases} ELSE CAST(0 AS DOUBLE) END" if cases else "CAST(0 AS DOUBLE)"
 
 
-def train_classifier(counts: dict[tuple, int], posterior: dict[tuple, float], rounds: int = 400) -> dict[tuple, float]:
-    """Logistic regression of the posteriors on votes, kind and form: weight per feature."""
-    weights: dict[tuple, float] = {f: 0.0 for p in counts for f in _features(p)}
-    squares = dict.fromkeys(weights, 1e-6)
-    total = sum(counts.values()) or 1
-    for _ in range(rounds):
-        slopes = {f: 0.001 * w for f, w in weights.items()}
-        for pattern, n in counts.items():
-            odds = sum(weights[f] for f in _features(pattern))
-            error = 1 / (1 + math.exp(-odds)) - posterior[pattern]
-            for f in _features(pattern):
-                slopes[f] += math.sqrt(n / total) * error
-        for f, slope in slopes.items():
-            squares[f] += slope * slope
-            weights[f] -= 0.5 * slope / math.sqrt(squares[f])
-    return weights
+def _odds(weights: list[float], name: str) -> str:
+    """SQL of the classifier's log odds of the struct ``name``."""
+    table = "array(" + ", ".join(f"CAST({w!r} AS DOUBLE)" for w in weights) + ")"
+    return f"aggregate({name}.slots, CAST(0 AS DOUBLE), (a, k) -> a + {table}[k])"
 
 
-def _odds(weights: dict[tuple, float], name: str) -> str:
-    """SQL of the classifier's log odds of the struct ``name``."""
-    parts = [f"CAST({weights.get(('bias',), 0.0)!r} AS DOUBLE)"]
-    columns = [("kind", "kind"), ("form", "form"), (0, "by_form"), (1, "by_gazetteer"), (2, "by_context")]
-    for feature, column in columns:
-        cases = "".join(f" WHEN {f[1]!r} THEN CAST({w!r} AS DOUBLE)" for f, w in weights.items() if len(f) == 2 and f[0] == feature)
-        parts.append(f"CASE {name}.{column}{cases} ELSE CAST(0 AS DOUBLE) END" if cases else "CAST(0 AS DOUBLE)")
-    return " + ".join(parts)
+def train_classifier(spans: DataFrame, posterior: dict[tuple, float], rounds: int = ROUNDS) -> list[float]:
+    """Logistic regression of the posteriors on the spans' own features: a weight per slot.
+
+    ``spans`` has one struct ``x`` a row. Equal spans are counted first; every round is one aggregate over the slots.
+    """
+    targets = saved(spans.select("x.slots", F.expr(_truth(posterior, "x")).alias("truth")).groupBy("slots", "truth").agg(F.count(F.lit(1)).alias("n")), "targets")
+    weights, squares = [0.0] * SLOTS, [1e-3] * SLOTS
+    for _ in range(rounds):
+        odds = F.aggregate("slots", F.lit(0.0), lambda a, k: a + F.get(F.lit(weights), k))
+        error = (1 / (1 + F.exp(-odds)) - F.col("truth")) * F.col("n")
+        slopes = targets.select(F.explode("slots").alias("slot"), error.alias("error"), "n").groupBy("slot").agg(F.sum("error").alias("error"), F.sum("n").alias("n"))
+        for slot, error, n in slopes.collect():  # at most SLOTS rows
+            slope = error / math.sqrt(n) + 0.01 * weights[slot]
+            squares[slot] += slope * slope
+            weights[slot] -= 0.5 * slope / math.sqrt(squares[slot])
+    return weights
 
 
 def find_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per document: id, ``base`` and ``added`` spans as arrays of (kind, start, end), ordered by kind and start."""
     found = saved(candidates(docs, id_column, text_column), "candidates")
-    votes = ["kind", "form", "by_form", "by_gazetteer", "by_context"]
-    seen = found.select(F.explode(F.concat("base", "others")).alias("x")).groupBy(*[F.col(f"x.{v}").alias(v) for v in votes]).count()
+    spans = found.select(F.explode(F.concat("base", "others")).alias("x"))
+    seen = spans.groupBy(*[F.col(f"x.{v}").alias(v) for v in _VOTES]).count()
     counts = {tuple(r)[:5]: r["count"] for r in seen.collect()}  # bounded by the number of patterns
     posterior, _ = fit_labelers(counts)
-    weights = train_classifier(counts, posterior)
+    weights = train_classifier(spans, posterior)
     sure = math.log(SURE / (1 - SURE))
     order = f"array_position(array{KINDS!r}, x.kind)"
     ordered = "transform(array_sort(transform({spans}, x -> struct(" + order + " AS k, x.start AS start, x.end AS end, x.kind AS kind))), x -> struct(x.kind AS kind, x.start AS start, x.end AS end))"
-    added = f"filter(others, x -> {_odds(weights, 'x')} >= {sure!r} AND NOT exists(base, y -> y.start < x.end AND x.start < y.end))"
+    added = f"filter(others, x -> {_odds(weights, 'x')} >= {sure!r} AND {_truth(posterior, 'x')} >= 0.5 AND NOT exists(base, y -> y.start < x.end AND x.start < y.end))"
     return found.select(
         F.col("doc_id").alias(id_column),
         F.expr(ordered.format(spans="base")).alias("base"),
@@ -233,7 +255,7 @@ def find_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
 
 def digest(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per document: the base counts, the base spans' checksum, and all spans as text."""
+    """Per document: the base counts, the base spans' checksum, all spans as text, and how many spans of each kind were added."""
     found = find_spans(docs, id_column, text_column)
     joined = "array_join(transform({spans}, x -> concat(x.kind, ':', x.start, ':', x.end)), ',')"
     counts = [F.expr(f"CAST(size(filter(base, x -> x.kind = '{k}')) AS BIGINT)").alias(f"n_{k}") for k in KINDS]
@@ -242,4 +264,5 @@ def digest(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         *counts,
         F.sha2(F.expr(joined.format(spans="base")), 256).alias("base_sha256"),
         F.expr(joined.format(spans="spans")).alias("spans"),
+        *[F.expr(f"CAST(size(filter(added, x -> x.kind = '{k}')) AS BIGINT)").alias(f"n_added_{k}") for k in KINDS],
     )

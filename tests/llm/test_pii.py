@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from gradeloom.llm import pii
 
 PATTERNS = {
@@ -78,9 +80,30 @@ def test_reliabilities():
     posterior, tables = pii.fit_labelers(counts)
     assert posterior["email", "base", 1, 1, 0] > 0.95 and posterior["card", "base", -1, -1, 0] < 0.1
     assert tables[0][1][0] > 0.8
-    weights = pii.train_classifier(counts, posterior)
-    odds = lambda p: sum(weights[f] for f in pii._features(p))
-    assert odds(("email", "base", 1, 1, 1)) > 1 and odds(("card", "base", -1, -1, 0)) < -1
+
+
+def test_the_classifier_goes_by_features_of_its_own(spark):
+    """Spans with the same votes are told apart by what stands around them."""
+    votes = {"kind": "phone", "form": "base", "by_form": -1, "by_gazetteer": 0, "by_context": 0}
+    good = ("phone", "base", 1, 1, 1)
+    rows = [(*good, [1, 2, 3])] * 300 + [(*votes.values(), [4, 5, 3])] * 300 + [(*votes.values(), [1, 2, 3])] * 5
+    names = ", ".join(f"{k} {'int' if k.startswith('by') else 'string'}" for k in votes)
+    frame = spark.createDataFrame(rows, names + ", slots array<int>")
+    spans = frame.select(F.struct(*frame.columns).alias("x"))
+    weights = pii.train_classifier(spans, {good: 0.99, tuple(votes.values()): 0.02})
+    odds = lambda slots: sum(weights[k] for k in slots)
+    assert odds([1, 2, 3]) > 2 and odds([4, 5, 3]) < -2
+    (same,) = spans.where("x.by_form = 1").limit(1).select(F.expr(pii._odds(weights, "x")).alias("o")).collect()
+    assert abs(same.o - odds([1, 2, 3])) < 1e-9
+
+
+def test_spelled_out_and_spaced_forms(spark):
+    sure = [(k, f"mail p{k}@mail.example.com from ip 8.8.{k}.4 please") for k in range(100)]
+    loose = [(200 + k, f"please mail joe{k} at example dot com from ip 8. 8. {k}. 4 now") for k in range(40)]
+    plain = [(300 + k, f"we met at noon. {k} people came at 8 . It was version 1. 2. 3. of it") for k in range(20)]
+    got = {r.doc_id: r for r in pii.digest(spark.createDataFrame(sure + loose + plain, "doc_id long, text string")).collect()}
+    assert all(got[i].n_added_email == 1 and got[i].n_added_ip == 1 and got[i].n_email == 0 for i, _ in loose)
+    assert all(got[i].spans == "" for i, _ in plain)
 
 
 def test_empty(spark):
