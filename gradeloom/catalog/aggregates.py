@@ -24,10 +24,12 @@ def _graded(spark, sf):
 # ---- joins -------------------------------------------------------------------------------
 
 
-@query("jon_01_questions_embeddings", o.over("SELECT question_id, category, len(embedding) AS dims, CAST(embedding[1] AS DOUBLE) AS first_value FROM questions JOIN embeddings ON vec_id = question_id"))
+@query("jon_01_questions_embeddings", o.over("SELECT question_id, category, len(embedding) AS dims, unnest(range(0, len(embedding))) AS dimension, CAST(unnest(embedding) AS DOUBLE) AS value FROM questions JOIN embeddings ON vec_id = question_id"))
 def _(spark, sf):
     joined = prepare.with_embeddings(data.questions(spark, sf), data.question_embeddings(spark, sf))
-    return joined.select("question_id", "category", F.size("embedding").alias("dims"), F.col("embedding")[0].cast("double").alias("first_value"))
+    return joined.select("question_id", "category", F.size("embedding").alias("dims"), F.posexplode("embedding").alias("dimension", "value")).select(
+        "question_id", "category", "dims", F.col("dimension").cast("long").alias("dimension"), F.col("value").cast("double").alias("value")
+    )
 
 
 @query("jon_02_predictions_responses", o.over("""SELECT r.question_id, r.provider, r.strategy, coalesce(p.ground_truth, p.baseline, 'standard') AS truth, r.template,

@@ -170,11 +170,14 @@ def _(spark, sf):
 # ---- sinks -------------------------------------------------------------------------------
 
 
-@query("snk_01_splits", o.over(_EMBEDDED_SPLIT + "SELECT split, count(*) AS total_questions, max(len(embedding)) AS embedding_dim, 'stratified_70_10_20' AS split_strategy FROM split GROUP BY split"))
+@query("snk_01_splits", o.over(_EMBEDDED_SPLIT + """SELECT question_id, split, count(*) OVER (PARTITION BY split) AS total_questions, max(len(embedding)) OVER (PARTITION BY split) AS embedding_dim,
+ 'stratified_70_10_20' AS split_strategy, CAST(list_max(embedding) AS DOUBLE) AS largest_value FROM split"""))
 def _(spark, sf):
     path = scratch_path(spark, "splits")
     writers.write_splits(_embedded_split(spark, sf), path)
-    return spark.read.schema("split string, total_questions bigint, embedding_dim int, split_strategy string").json(f"{path}/metadata")
+    header = spark.read.schema("split string, total_questions bigint, embedding_dim int, split_strategy string").json(f"{path}/metadata")
+    saved = readers.read_questions(spark, f"{path}/questions").select("question_id", "split", F.array_max("embedding").cast("double").alias("largest_value"))
+    return saved.join(F.broadcast(header), "split")  # three splits
 
 
 @query("snk_02_run_results", o.over("SELECT provider, strategy, question_id, response, output_tokens, (SELECT count(*) FROM questions) AS num_questions FROM responses"))
@@ -274,10 +277,9 @@ def _(spark, sf):
     return spark.read.parquet(path).select("provider", "strategy", "question_id", "response", "total_tokens")
 
 
-@query("snk_13_question_list", o.over("SELECT count(*) AS total_questions, count(*) AS saved FROM questions"))
+@query("snk_13_question_list", o.over("SELECT question_id, question, count(*) OVER () AS total_questions FROM questions"))
 def _(spark, sf):
     path = scratch_path(spark, "question-list")
     writers.write_question_list(data.questions(spark, sf), path)
     header = spark.read.schema("total_questions bigint, timestamp string").json(f"{path}/header")
-    saved = spark.read.schema("question_id bigint, question string").json(f"{path}/questions")
-    return header.select("total_questions", saved.agg(F.count("question_id")).scalar().alias("saved"))
+    return readers.read_question_list(spark, path).withColumn("total_questions", header.select("total_questions").scalar())
