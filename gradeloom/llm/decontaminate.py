@@ -3,8 +3,8 @@
 1. The benchmark is cut into passages of at most ``PASSAGE`` words, in tasks; equal items count once. Document frequencies of
    its words are counted over all documents.
 2. A distributed randomised singular value decomposition of the passages' TF-IDF rows gives a latent space for every ``SPACE_PASSAGES``
-   passages, few enough for ``RANK`` directions to hold most of each. The windows of all documents are projected, and those
-   whose cosine with a passage is ``LEAST_COSINE`` or more are its candidates.
+   passages, few enough for ``RANK`` directions to hold most of each. The windows of all documents are projected, but for those in which
+   no passage can be a leak by the bound of 3., and those whose cosine with a passage is ``LEAST_COSINE`` or more are its candidates.
 3. A net for what the cosine misses, as in windows full of other prose: passages that have enough of their rarest words around a
    window. A passage that shares ``PARAPHRASE`` of its words with a text lacks at most the rest, so enough is a bound that no leak
    can miss. It is also what a candidate of the cosine has to pass first.
@@ -207,34 +207,41 @@ class _Windows:
         self.owner = np.repeat(np.arange(len(lengths)), self.chunks)
         place = np.arange(len(known)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         self.chunk = np.repeat(self.first, lengths) + place // STRIDE
-        self.starts = np.flatnonzero(place % STRIDE == 0)
 
     def __len__(self) -> int:
         return len(self.owner)
 
-    def cosines(self) -> Iterator[tuple[int, int, np.ndarray]]:
-        """Per space: number of its first passage, first window, and the cosines of a run of windows with its passages."""
+    def cosines(self, windows: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Per space: number of its first passage, a run of the windows, and their cosines with its passages."""
         begin = 0
-        last = self.first[self.owner] + self.chunks[self.owner] - 1
-        following = np.minimum(np.arange(len(self)) + 1, last)
+        following = np.minimum(windows + 1, (self.first + self.chunks)[self.owner[windows]] - 1)
+        chunks = np.unique(np.r_[windows, following])
+        number = np.full(len(self), -1)
+        number[chunks] = np.arange(len(chunks))
+        here = np.flatnonzero((number[self.chunk] >= 0) & (self.known >= 0))
+        chunk, known = number[self.chunk[here]], self.known[here]
         for words, space, vectors in self.index.spaces:
-            own = np.full(len(self.index.number) + 1, len(words))
+            own = np.full(len(self.index.number), -1)
             own[words] = np.arange(len(words))
-            rows = np.vstack([space, np.zeros((1, space.shape[1]), np.float32)])[own[self.known]]
-            sums = np.add.reduceat(rows, self.starts, axis=0)
-            windows = sums + np.where((following > np.arange(len(self)))[:, None], sums[following], 0)
-            windows /= np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-9)
+            slot = own[known]
+            some = slot >= 0
+            starts = np.flatnonzero(np.diff(chunk[some], prepend=-1))
+            sums = np.zeros((len(chunks), space.shape[1]), np.float32)
+            if len(starts):
+                sums[chunk[some][starts]] = np.add.reduceat(space[slot[some]], starts, axis=0)
+            rows = sums[number[windows]] + np.where((following > windows)[:, None], sums[number[following]], 0)
+            rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
             step = max(16, CELLS // len(vectors))
-            for at in range(0, len(self), step):
-                yield begin, at, windows[at : at + step] @ vectors.T
+            for at in range(0, len(windows), step):
+                yield begin, windows[at : at + step], rows[at : at + step] @ vectors.T
             begin += len(vectors)
 
-    def near_by_meaning(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Windows, passages and cosines of all pairs from ``LEAST_COSINE`` on."""
+    def near_by_meaning(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows, passages and cosines of all pairs of some windows from ``LEAST_COSINE`` on."""
         found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))]
-        for begin, at, cosines in self.cosines():
+        for begin, own, cosines in self.cosines(windows) if len(windows) else ():
             w, p = np.nonzero(cosines >= LEAST_COSINE)
-            found.append((w + at, p + begin, cosines[w, p]))
+            found.append((own[w], p + begin, cosines[w, p]))
         return tuple(np.concatenate(part) for part in zip(*found))
 
     def near_by_words(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -262,15 +269,16 @@ class _Windows:
     def candidates(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Document, place of the window's first word, passage, cosine, and whether the cosine search found the pair, in the order of the windows.
 
-        Pairs of the cosine search that cannot be a leak by the rare words are gone; pairs by the rare words alone are the net.
+        The cosine search leaves out windows in which the rare words rule out every passage, and pairs that they rule out;
+        pairs by the rare words alone are the net.
         """
         n_passages = len(self.index.passages)
-        w, p, cosine = self.near_by_meaning()
+        parts = [w * n_passages + p for w, p in self.near_by_words()]
+        pairs = np.concatenate([np.empty(0, np.int64), *parts])
+        w, p, cosine = self.near_by_meaning(np.unique(pairs // n_passages))
         meant = w * n_passages + p
         order = np.argsort(meant, kind="stable")
         meant, cosine = meant[order], cosine[order]
-        parts = [w * n_passages + p for w, p in self.near_by_words()]
-        pairs = np.concatenate([np.empty(0, np.int64), *parts])
         at = np.searchsorted(meant, pairs)
         by_meaning = meant[np.minimum(at, max(0, len(meant) - 1))] == pairs if len(meant) else np.zeros(len(pairs), bool)
         values = np.full(len(pairs), np.nan)
