@@ -74,7 +74,7 @@ def _(spark, sf):
     r = data.responses(spark, sf)
     for n, strategy in ((2, "baseline"), (10, "simple_neural"), (100, "roberta")):
         documents = writers.results_documents(merge.select_work(r, strategy=strategy))
-        writers.write_lines(documents, f"{path}/run_n{n}_results.json")
+        writers.write_lines(documents, f"{path}/run_n{n}_results.json", "gzip")
     chosen = readers.choose_run(spark, path)
     number = int(chosen.rsplit("_n", 1)[1].split("_")[0])
     rates = quality.success_rates(readers.read_results(spark, chosen))

@@ -120,9 +120,9 @@ def write_indented_results(responses: DataFrame, path: str, files: int = 1, inde
     text.sortWithinPartitions("_file", *keys).select("_file", "value").write.mode("overwrite").partitionBy("_file").text(path)
 
 
-def write_lines(lines: DataFrame, path: str) -> None:
+def write_lines(lines: DataFrame, path: str, compression: str = "none") -> None:
     """One text line per row of the ``value`` column."""
-    lines.select("value").write.mode("overwrite").text(path)
+    lines.select("value").write.mode("overwrite").text(path, compression=compression)
 
 
 def write_predictions(predictions: DataFrame, counts: DataFrame, path: str) -> None:
