@@ -145,7 +145,7 @@ def _(spark, sf):
     path = scratch_path(spark, "provider-files")
     r = data.responses(spark, sf).drop("position")
     for provider in ("openai", "gemini"):
-        merge.select_work(r, provider=provider).write.json(f"{path}/{provider}")
+        merge.select_work(r, provider=provider).write.json(f"{path}/{provider}", compression="gzip")
     merged, missing = readers.read_provider_results(spark, {p: f"{path}/{p}" for p in fv.PROVIDERS})
     return merged.groupBy("provider", "strategy").agg(F.count(F.lit(1)).alias("n")).withColumn("missing", F.lit(",".join(missing)))
 
