@@ -6,7 +6,10 @@ only small aggregated reports become a single nested value.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gradeloom import fixed_values as fv
 from gradeloom.operators.merge import provider_totals, upsert_cache
@@ -22,6 +25,26 @@ def rebalanced(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.hint("rebalance", *[F.col(c) for c in columns])
 
 
+#: Files that a task keeps open at once, and the bytes of a Parquet row group while it does.
+OPEN_FILES = 64
+ROW_GROUP = 32 << 20
+
+
+@contextmanager
+def unsorted_writes(spark: SparkSession) -> Iterator[None]:
+    """Writes of few partitions that neither shuffle nor sort the rows: a task keeps one file per partition open.
+
+    Beyond ``OPEN_FILES`` partitions a task sorts the rest of its rows, as it would otherwise do with all.
+    """
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(OPEN_FILES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def write_splits(split: DataFrame, path: str, embedding: str | None = "embedding") -> None:
     """Questions partitioned by split, and one metadata row per split."""
     rebalanced(split, "split").write.mode("overwrite").partitionBy("split").parquet(f"{path}/questions")
@@ -158,10 +181,14 @@ def write_cache(incoming: DataFrame, path: str, current: DataFrame | None = None
 
 
 def write_provider_results(responses: DataFrame, path: str) -> None:
-    """Per provider a header row (totals) and the response rows, in two folders."""
+    """Per provider a header row (totals) and the response rows, in two folders.
+
+    Rows are written compressed where they are read, one file per task and provider.
+    """
     header = provider_totals(responses).withColumn("timestamp", F.current_timestamp().cast("string"))
     header.write.mode("overwrite").partitionBy("provider").json(f"{path}/header")
-    rebalanced(responses, "provider").write.mode("overwrite").partitionBy("provider").json(f"{path}/responses")
+    with unsorted_writes(responses.sparkSession):
+        responses.write.mode("overwrite").partitionBy("provider").json(f"{path}/responses", compression="gzip")
 
 
 def write_question_list(questions: DataFrame, path: str) -> None:
