@@ -76,16 +76,21 @@ def write_question_documents(questions: DataFrame, path: str) -> None:
 
 
 def write_results(responses: DataFrame, path: str, num_questions: int, format: str = "parquet") -> None:
-    """Run results below num_questions= / provider= / strategy=; reruns replace only their partitions."""
-    (
-        rebalanced(responses, "provider", "strategy")
-        .withColumn("num_questions", F.lit(num_questions))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("num_questions", "provider", "strategy")
-        .format(format)
-        .save(path)
-    )
+    """Run results below num_questions= / provider= / strategy=; reruns replace only their partitions.
+
+    The groups are few, and texts are written where they are read: one file per task and group.
+    """
+    with unsorted_writes(responses.sparkSession):
+        (
+            responses.withColumn("num_questions", F.lit(num_questions))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .option("compression", "zstd" if format == "parquet" else "gzip")
+            .option("parquet.block.size", ROW_GROUP)
+            .partitionBy("num_questions", "provider", "strategy")
+            .format(format)
+            .save(path)
+        )
 
 
 def results_documents(responses: DataFrame) -> DataFrame:

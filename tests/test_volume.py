@@ -23,7 +23,7 @@ def left_behind(spark, tmp_path, small_dir, monkeypatch):
 
 
 #: Nine responses a question hold its text about 13 times.
-@pytest.mark.parametrize("name, most", [("src_05_largest_run", 4), ("src_11_provider_files", 4), ("snk_09_provider_results", 4)])
+@pytest.mark.parametrize("name, most", [("src_05_largest_run", 4), ("src_11_provider_files", 4), ("snk_09_provider_results", 4), ("snk_02_run_results", 6)])
 def test_texts_are_written_compressed(left_behind, name, most):
     share = left_behind(name)
     assert 0.1 < share < most
