@@ -62,7 +62,7 @@ _RESPONSE_SQL = "SELECT " + ", ".join(_RESPONSE_COLUMNS) + " FROM responses"
 @query("src_04_results_documents", o.over(_RESPONSE_SQL))
 def _(spark, sf):
     path = scratch_path(spark, "results-documents")
-    writers.write_indented_results(data.responses(spark, sf), path, files=4)
+    writers.write_indented_results(data.responses(spark, sf), path, files=4, compression="gzip")
     flat = readers.read_indented_results(spark, path)
     return flat.where(F.col("question_id").isNotNull()).select(*_RESPONSE_COLUMNS)
 

@@ -107,12 +107,19 @@ def results_documents(responses: DataFrame) -> DataFrame:
     return responses.select(F.to_json(nested).alias("value"))
 
 
-def write_indented_results(responses: DataFrame, path: str, files: int = 1, indent: int = 2) -> None:
-    """Run results as indented documents {provider: {strategy: [row]}}, the exchange format, in ``files`` files.
+#: Characters of text that one indented document holds, about: one task sorts and writes it.
+DOCUMENT_CHARS = 128 << 20
+
+
+def write_indented_results(responses: DataFrame, path: str, files: int = 1, indent: int = 2, compression: str = "none") -> None:
+    """Run results as indented documents {provider: {strategy: [row]}}, the exchange format, in at least ``files`` files.
 
     A file is a whole document, so one task writes it; rows are dealt to files by question. Several files of
-    one run are what ``readers.read_indented_results`` reads as one.
+    one run are what ``readers.read_indented_results`` reads as one. A run of more than ``files`` times ``DOCUMENT_CHARS``
+    characters gets more files, so no task sorts more than that; compressed files are then as good as plain ones to read.
     """
+    chars = sum(F.coalesce(F.sum(F.length(name)), F.lit(0)) for name in ("question", "response"))
+    files = max(files, -(-responses.agg(chars).first()[0] // DOCUMENT_CHARS)) if files > 1 else files
     fields = [
         "question_id", "question", "strategy", "template", "provider", "response", "success", "error", "attempts",
         "input_tokens", "output_tokens",
@@ -128,7 +135,10 @@ def write_indented_results(responses: DataFrame, path: str, files: int = 1, inde
     keys = ["provider", "strategy", "question_id"]
     order = Window.partitionBy("_file").orderBy(*keys)
     pair = F.struct("provider", "strategy")
-    dealt = responses.withColumn("_file", F.pmod(F.xxhash64("question_id"), F.lit(files))).withColumns(
+    placed = responses.withColumn("_file", F.pmod(F.xxhash64("question_id"), F.lit(files)))
+    if files > 1:
+        placed = placed.repartition(files, "_file")
+    dealt = placed.withColumns(
         {"_before": F.lag(pair).over(order), "_after": F.lead(pair).over(order)}
     )
     opens = [F.col("_before").isNull() | ~F.col(f"_before.{name}").eqNullSafe(F.col(name)) for name in ("provider", "strategy")]
@@ -145,7 +155,7 @@ def write_indented_results(responses: DataFrame, path: str, files: int = 1, inde
         .otherwise(f"\n{pad[2]}]\n{pad[1]}}}\n}}")
     )
     text = dealt.select("_file", *keys, F.concat(opening, body, ending).alias("value"))
-    text.sortWithinPartitions("_file", *keys).select("_file", "value").write.mode("overwrite").partitionBy("_file").text(path)
+    text.sortWithinPartitions("_file", *keys).select("_file", "value").write.mode("overwrite").partitionBy("_file").text(path, compression=compression)
 
 
 def write_lines(lines: DataFrame, path: str, compression: str = "none") -> None:

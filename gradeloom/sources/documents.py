@@ -43,9 +43,10 @@ def _events(tail: Column, levels: int, indent: int) -> Column:
 
 
 def read_ranges(spark: SparkSession, path: str, row_schema: str, levels: tuple[str, ...], indent: int = 2) -> DataFrame:
-    """(file, block, place, r, events) of every row of the documents, parsed and stored once.
+    """(file, block, place, r, events) of every row of the documents, cut out and stored once.
 
     ``place`` numbers the rows of a range without gaps. Documents in another layout are one row each, with ``other`` set to their text.
+    A row's text is stored as it stands, in one column, where values that repeat each other compress; it is parsed as it is read back.
     """
     margin = "\n" + " " * (indent * (len(levels) + 1))
     text = spark.read.option("lineSep", margin + "{").text(path).select(
@@ -62,14 +63,14 @@ def read_ranges(spark: SparkSession, path: str, row_schema: str, levels: tuple[s
         "file",
         "block",
         "place",
-        F.when(closed, F.from_json(F.concat(F.lit("{"), body, F.lit("}")), row_schema)).alias("r"),
+        F.when(closed, body).alias("body"),
         closed.alias("is_row"),
         F.when(known, _events(tail, len(levels), indent)).otherwise(F.array()).alias("events"),
         F.when(~known & (F.trim("value") != ""), F.col("value")).alias("other"),
     )
     target = scratch_path(spark, "ranges")
-    rows.write.parquet(target)
-    return spark.read.parquet(target)
+    rows.write.parquet(target, compression="zstd")
+    return spark.read.parquet(target).withColumn("r", F.from_json(F.concat(F.lit("{"), "body", F.lit("}")), row_schema)).drop("body")
 
 
 def _groups(rows: DataFrame, levels: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:

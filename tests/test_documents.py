@@ -96,3 +96,14 @@ def test_written_documents(spark, tmp_path, make_responses):
     want = sorted((r.provider, r.strategy, r.question_id, r.response, r.success) for r in rows.collect())
     got = readers.read_indented_results(spark, str(tmp_path / "out"))
     assert sorted(((r.provider, r.strategy, r.question_id, r.response, r.success) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_long_runs_get_more_documents(spark, tmp_path, make_responses, monkeypatch):
+    from gradeloom.sinks import writers
+
+    monkeypatch.setattr(writers, "DOCUMENT_CHARS", 1000)
+    rows = make_responses(*[{"question_id": k, "response": "x" * 100} for k in range(80)])
+    writers.write_indented_results(rows, str(tmp_path / "out"), files=2, compression="gzip")
+    assert 6 <= len(list((tmp_path / "out").rglob("*.txt.gz"))) <= 9
+    got = readers.read_indented_results(spark, str(tmp_path / "out"))
+    assert sorted((r.question_id, r.response) for r in got.collect()) == [(k, "x" * 100) for k in range(80)]
