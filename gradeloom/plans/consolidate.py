@@ -22,13 +22,13 @@ def consolidate(responses: DataFrame, providers: list[str], spine: DataFrame, po
     statistics = merge.merge_statistics(spine).select(
         F.current_timestamp().cast("string").alias("generated_at"), "*", per_provider.scalar().alias("by_provider")
     )
-    merged = merge.merge_questions(merge.first_response(responses, position), providers)
+    merged = merge.merged_questions(responses, providers, position)
     results = spine.select("question_id").join(merged, "question_id", "left")
     return {"results": results, "failures": merge.failure_rows(spine), "statistics": statistics}
 
 
 def save_consolidated(tables: dict[str, DataFrame], path: str) -> None:
-    """Write the tables as JSON lines, one folder each; failures are split by kind."""
-    tables["results"].write.mode("overwrite").json(f"{path}/results")
+    """Write the tables as JSON lines, one folder each; the results, which hold the texts, are compressed. Failures are split by kind."""
+    tables["results"].write.mode("overwrite").json(f"{path}/results", compression="gzip")
     tables["failures"].hint("rebalance", "kind").write.mode("overwrite").partitionBy("kind").json(f"{path}/failures")
     tables["statistics"].write.mode("overwrite").json(f"{path}/statistics")
