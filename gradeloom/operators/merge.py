@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gradeloom.operators.prepare import lookup_table
-from gradeloom.session import pin
+from gradeloom.session import per_group, pin, stored
 
 _FIELDS = ["question", "response", "success", "error", "attempts"]
 
@@ -30,14 +30,39 @@ def _matching(right: DataFrame, columns: list[str]) -> tuple[DataFrame, Column]:
 
 
 def _winners(rows: DataFrame) -> DataFrame:
-    """(provider, question_id, position, contents) of the rows that come first, decided without their texts.
+    """(provider, question_id, position, contents) of the rows that come first, decided without their texts and stored.
 
     Rows are (provider, question_id, position, contents); of several at the first position the smallest ``contents`` wins.
+    ``sharing`` is the number of rows at that position.
     """
-    places = rows.groupBy(*_KEYS, "position").agg(F.min("contents").alias("contents"))
+    places = rows.groupBy(*_KEYS, "position").agg(F.min("contents").alias("contents"), F.count(F.lit(1)).alias("sharing"))
     best = places.groupBy(*_KEYS).agg(F.min("position").alias("position"))
     right, same = _matching(best, [*_KEYS, "position"])
-    return places.join(right, same, "left_semi")
+    return stored(places.join(right, same, "left_semi"), "first-rows")
+
+
+#: Largest bitmap of first rows, in bits (32 MB), and bits of one of its rows.
+MOST_BITS = 1 << 28
+SLOT_BITS = 1 << 15
+
+
+def _likely_first(rows: DataFrame, winners: DataFrame) -> DataFrame:
+    """Rows that may be winners, told where they are read by a broadcast bitmap: all winners, and few others.
+
+    The bitmap has 16 bits a winner up to ``MOST_BITS``; with more winners than that it lets more rows through.
+    """
+    wanted = max(SLOT_BITS, 16 * winners.count())
+    bits = min(MOST_BITS, 1 << (wanted - 1).bit_length())
+    place = F.pmod(F.xxhash64(*_KEYS, "position", "contents"), F.lit(bits))
+    within = (place % SLOT_BITS).cast("int")
+    bitmaps = (
+        winners.select(F.floor(place / SLOT_BITS).alias("_slot"), within.cast("long").alias("_at"))
+        .groupBy("_slot")
+        .agg(F.bitmap_construct_agg("_at").alias("_bitmap"))
+    )
+    found = rows.join(F.broadcast(pin(bitmaps)), F.floor(place / SLOT_BITS) == F.col("_slot"))
+    byte = F.conv(F.hex(F.substring("_bitmap", F.floor(within / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return found.where(F.getbit(byte, (within % 8).cast("int")) == 1).drop("_slot", "_bitmap")
 
 
 def _without_copies(rows: DataFrame, winners: DataFrame) -> DataFrame:
@@ -63,7 +88,8 @@ def first_response(responses: DataFrame, position: str) -> DataFrame:
     rows = _placed(responses, position)
     winners = _winners(rows)
     right, same = _matching(winners, [*_KEYS, "position", "contents"])
-    return _without_copies(rows, winners).join(right, same, "left_semi").select(*_KEYS, *_FIELDS).distinct()
+    firsts = _without_copies(_likely_first(rows, winners), winners).join(right, same, "left_semi").select(*_KEYS, *_FIELDS)
+    return firsts if winners.where("sharing > 1").isEmpty() else firsts.distinct()
 
 
 def question_outcomes(responses: DataFrame, providers: list[str], position: str) -> DataFrame:
@@ -108,7 +134,7 @@ def merged_questions(responses: DataFrame, providers: list[str], position: str)
     winners = _winners(rows)
     wanted = winners.groupBy(F.col("question_id").alias("_of_question_id")).agg(F.collect_list(F.struct("provider", "position", "contents")).alias("_wanted"))
     here = F.exists("_wanted", lambda w: (w["provider"] == F.col("provider")) & (w["position"] == F.col("position")) & (w["contents"] == F.col("contents")))
-    met = _without_copies(rows, winners).join(wanted, F.col("question_id") == F.col("_of_question_id")).where(here)
+    met = _without_copies(_likely_first(rows, winners), winners).join(wanted, F.col("question_id") == F.col("_of_question_id")).where(here)
     return _one_per_question(met, providers)
 
 
@@ -133,10 +159,12 @@ def named_rows(stored: DataFrame) -> DataFrame:
 def latest_rows(named: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Of named rows the last of every key in ``order``; ties go to the later file and place.
 
-    Winners are found on narrow rows, and the table is joined with their names, which are unique.
+    Winners are found on narrow rows. What is left out is named by file and place; where that is little, as it mostly is, the
+    table is not shuffled.
     """
     best = named.groupBy(*keys).agg(F.max(F.struct(*order, "_file", "_at")).alias("w")).select(F.col("w._file").alias("_file"), F.col("w._at").alias("_at"))
-    return named.join(best, ["_file", "_at"], "left_semi").drop("_file", "_at")
+    older = per_group(named.select("_file", "_at").join(best, ["_file", "_at"], "left_anti"))
+    return named.join(older, ["_file", "_at"], "left_anti").drop("_file", "_at")
 
 
 def merge_statistics(spined: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 import __spark_entry__ as contract
 from gradeloom import session
 from gradeloom.catalog import data
+from gradeloom.operators import merge
 
 
 @pytest.fixture
@@ -23,7 +24,44 @@ def left_behind(spark, tmp_path, small_dir, monkeypatch):
 
 
 #: Nine responses a question hold its text about 13 times.
-@pytest.mark.parametrize("name, most", [("src_05_largest_run", 4), ("src_11_provider_files", 4), ("snk_09_provider_results", 4), ("snk_02_run_results", 6), ("src_04_results_documents", 8)])
+@pytest.mark.parametrize("name, most", [("src_05_largest_run", 4), ("src_11_provider_files", 4), ("snk_09_provider_results", 4), ("snk_02_run_results", 6), ("src_04_results_documents", 8), ("snk_14_consolidated", 1), ("stm_02_result_ingest", 2)])
 def test_texts_are_written_compressed(left_behind, name, most):
     share = left_behind(name)
     assert 0.1 < share < most
+
+
+def text_shuffles(df):
+    """Shuffles of the plan that carry the responses."""
+    nodes, found = [df._jdf.queryExecution().executedPlan()], 0
+    while nodes:
+        node = nodes.pop()
+        children = node.children()
+        nodes += [children.apply(k) for k in range(children.size())]
+        found += node.nodeName() == "Exchange" and "response#" in node.output().mkString(",")
+    return found
+
+
+@pytest.fixture
+def plain_joins(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_only_rows_that_come_first_are_shuffled(spark, plain_joins, make_responses):
+    rows = make_responses(*[{"question_id": k % 500, "response": f"r{k}", "position": k} for k in range(3000)])
+    placed = merge._placed(rows, "position")
+    winners = merge._winners(placed)
+    likely = merge._likely_first(placed, winners)
+    assert likely.join(winners, ["provider", "question_id", "position", "contents"]).count() == 500 and likely.count() < 700
+    assert text_shuffles(merge.first_response(rows, "position")) == 1
+
+
+def test_stored_lines_are_not_shuffled(spark, plain_joins, tmp_path):
+    schema = "custom_id string, response string, arrived timestamp, batch_id long"
+    spark.createDataFrame([(f"q{k % 50}", f"r{k}", None, k) for k in range(60)], schema).write.parquet(str(tmp_path / "s"))
+    kept = merge.latest_rows(merge.named_rows(spark.read.parquet(str(tmp_path / "s"))), ["custom_id"], ["batch_id"])
+    assert text_shuffles(kept) == 0
+    assert {r.response for r in kept.collect()} == {f"r{k}" for k in range(10, 60)}
