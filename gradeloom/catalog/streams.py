@@ -43,7 +43,7 @@ def _(spark, sf):
     """Every file is delivered twice; each custom id is kept once, and read from the generation that the batches were folded into."""
     inbox, out = scratch_path(spark, "inbox"), scratch_path(spark, "ingested")
     for _delivery in range(2):
-        _batch_lines(spark, sf).write.mode("append").json(inbox)
+        _batch_lines(spark, sf).write.mode("append").json(inbox, compression="gzip")
     run = ingest.store_stream(ingest.result_stream(spark, inbox), out, scratch_path(spark, "ingest-state"))
     run.awaitTermination()
     ingest.compact(spark, out)

@@ -29,7 +29,7 @@ def store_stream(results: DataFrame, path: str, checkpoint: str):
     """Start ingestion: each micro-batch is written to its own folder (replays overwrite it)."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batches/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/batches/batch_id={batch_id}", compression="zstd")
 
     return (
         results.writeStream.outputMode("append")
@@ -106,7 +106,7 @@ def compact(spark: SparkSession, path: str) -> int | None:
     if latest is None or (before and upto == before[1]):
         return None
     number = generation + 1
-    latest.write.mode("overwrite").parquet(f"{path}/generations/generation={number}")
+    latest.write.mode("overwrite").parquet(f"{path}/generations/generation={number}", compression="zstd")
     named = spark.createDataFrame([(number, upto)], _MANIFEST)
     named.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
     return number
