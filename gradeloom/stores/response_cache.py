@@ -3,7 +3,7 @@
 Entries lie below provider= / bucket=, the bucket being a hash of the question number. Files are sorted by question number, with a
 Bloom filter on it, so a lookup reads one folder and in it at most the row groups that can hold the number. A merge reads
 and rewrites only the buckets that new entries fall into. It chooses winners on narrow rows, so texts that lose are neither
-sorted nor moved.
+sorted nor moved, and those that win are sorted within the tasks that read them, not shuffled.
 
 The number of buckets is fixed when a cache is made and is found again in its folder.
 """
@@ -13,8 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gradeloom.session import per_group, scratch_path
+from gradeloom.sources.readers import list_objects
 
 BUCKETS = 64
+#: Stored bytes that one task of a merge sorts and writes, about.
+TASK_BYTES = 32 << 20
+#: Names of rows up to which they are broadcast, so that the texts they name stay where they are.
+FEW_NAMES = 1 << 20
 KEYS = ["provider", "question_id"]
 _FIELDS = ["question_id", "question", "timestamp", "response", "success", "error", "attempts"]
 
@@ -23,19 +28,27 @@ def bucket_of(question_id: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(question_id), F.lit(buckets)).cast("int")
 
 
-def _write(entries: DataFrame, path: str) -> None:
-    """Replace the buckets that occur in ``entries``; each is sorted and written by few tasks."""
-    placed = entries.hint("rebalance", F.col("provider"), F.col("bucket")).sortWithinPartitions("provider", "bucket", "question_id")
+def _write(entries: DataFrame, path: str, tasks: int) -> None:
+    """Replace the buckets that occur in ``entries``; each task sorts what it reads and writes one file a bucket.
+
+    Spark's writer completes all new files in a folder of its own before it replaces the first bucket.
+    """
+    placed = entries.coalesce(tasks).sortWithinPartitions("provider", "bucket", "question_id")
     (
         placed.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .option("compression", "zstd")
         .option("parquet.bloom.filter.enabled#question_id", "true")
-        .option("parquet.bloom.filter.adaptive.enabled#question_id", "true")
+        .option("parquet.bloom.filter.adaptive.enabled", "true")
         .partitionBy("provider", "bucket")
         .parquet(f"{path}/entries")
     )
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    return list_objects(spark, path).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+
+
 def create(spark: SparkSession, path: str, buckets: int = BUCKETS) -> None:
     """An empty cache: only its number of buckets."""
     spark.range(1).select(F.lit(buckets).alias("buckets")).coalesce(1).write.mode("errorifexists").parquet(f"{path}/layout")
@@ -68,14 +81,14 @@ def upsert(spark: SparkSession, path: str, incoming: DataFrame, buckets: int | N
     """Put entries into the cache: the last timestamp of a key wins, on equal timestamps the incoming row.
 
     Of incoming rows that agree in key and timestamp, one is taken by a hash of what they say, so replaying the same rows
-    leaves the same cache. Buckets without a new winner keep their files. The merged buckets are complete in a
-    scratch folder before any file of the cache is replaced, so a merge that failed is repeated by calling it again.
+    leaves the same cache. Buckets without a new winner keep their files. The merged buckets are complete before any file
+    of the cache is replaced, so a merge that failed is repeated by calling it again.
     """
     buckets = buckets or bucket_count(spark, path)
     staged = scratch_path(spark, "incoming")
     contents = F.xxhash64("question", "response", "success", "error", "attempts").alias("_contents")
     numbered = incoming.select("provider", *_FIELDS, bucket_of(F.col("question_id"), buckets).alias("bucket"), contents, F.monotonically_increasing_id().alias("_row"))
-    numbered.write.parquet(staged)
+    numbered.write.parquet(staged, compression="zstd")
     new = spark.read.parquet(staged)
 
     place = ["provider", "bucket"]
@@ -91,10 +104,14 @@ def upsert(spark: SparkSession, path: str, incoming: DataFrame, buckets: int | N
 
     changed = per_group(winners.select(*place).distinct())
     columns = [*_FIELDS, *place]
-    stay = old.join(changed, place, "left_semi").join(winners, [*place, "question_id"], "left_anti").select(*columns)
-    come = new.join(winners.select("_row"), "_row", "left_semi").select(*columns)
-    merged_path = scratch_path(spark, "merged")
-    stay.unionByName(come).write.parquet(merged_path)
-    merged = spark.read.parquet(merged_path)
-    if not merged.isEmpty():
-        _write(merged, path)
+    replaced = old.join(changed, place, "left_semi")
+    names = [*place, "question_id"]
+    staying = per_group(replaced.select(*names).join(winners, names, "left_anti"), FEW_NAMES)
+    few = staying.count() <= FEW_NAMES
+    stay = (replaced.join(staying, names, "left_semi") if few else replaced.join(winners, names, "left_anti")).select(*columns)
+    lost = per_group(new.select("_row").join(winners, "_row", "left_anti"), FEW_NAMES)
+    come = new.join(lost, "_row", "left_anti").select(*columns)
+    if winners.isEmpty():
+        return
+    bytes_in = sum(stored_bytes(spark, p) for p in ([staged] if few else [staged, f"{path}/entries"]))
+    _write(stay.unionByName(come), path, max(1, -(-bytes_in // TASK_BYTES)))
