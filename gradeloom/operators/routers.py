@@ -46,6 +46,30 @@ def _labels(rows: DataFrame, labels: list[str] | None) -> list[str]:
     return list(_label_indexer().fit(rows).labels)
 
 
+#: Slots that the words of a question are hashed to.
+WORD_SLOTS = 1 << 16
+
+
+#: Megabytes of counts that are multiplied at once; every block costs one pass over slots times classes.
+TEXT_BLOCK_MB = 16.0
+
+
+def _word_counters(words: int) -> list:
+    """Stages from the text to its hashed word counts; the column's name tells the number of slots."""
+    return [
+        RegexTokenizer(inputCol="question", outputCol="words", pattern=r"\W+"),
+        HashingTF(inputCol="words", outputCol=f"tf_{words}", numFeatures=words),
+    ]
+
+
+def counted_words(rows: DataFrame, words: int = WORD_SLOTS) -> DataFrame:
+    """Rows with the hashed word counts of their question.
+
+    Store them without the text, and every training and scoring of a text router reads the counts instead of cutting the text again.
+    """
+    return PipelineModel(_word_counters(words)).transform(rows).drop("words")
+
+
 def _fit(rows: DataFrame, classifier, scale: bool, labels: list[str], words: int | None = None) -> PipelineModel:
     """Indexer -> features -> classifier -> label name, fitted as one pipeline.
 
@@ -53,16 +77,19 @@ def _fit(rows: DataFrame, classifier, scale: bool, labels: list[str], words: int
     with a label outside the list are an error.
     """
     stages = [StringIndexerModel.from_labels(labels, inputCol="label_name", outputCol="label", handleInvalid="error")]
+    counters = _word_counters(words) if words else []
     if words:
-        stages += [
-            RegexTokenizer(inputCol="question", outputCol="words", pattern=r"\W+"),
-            HashingTF(inputCol="words", outputCol="tf", numFeatures=words),
-            IDF(inputCol="tf", outputCol="features"),
-        ]
+        counts = counters[-1].getOutputCol()
+        if counts not in rows.columns:
+            rows = stored(counted_words(rows, words).select("label_name", counts), "word-counts")
+        # every iteration sends one gradient a task, so there are as many tasks as cores, whatever the number of files
+        rows = rows.select("label_name", counts).coalesce(rows.sparkSession.sparkContext.defaultParallelism)
+        stages += [IDF(inputCol=counts, outputCol="features")]
     elif scale:
         stages += [StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)]
     stages += [classifier, IndexToString(inputCol="prediction", outputCol="predicted", labels=labels)]
-    return Pipeline(stages=stages).fit(rows)
+    fitted = Pipeline(stages=stages).fit(rows)
+    return PipelineModel([fitted.stages[0], *counters, *fitted.stages[1:]]) if words else fitted
 
 
 def train_mlp(
@@ -195,22 +222,26 @@ def train_forest(rows: DataFrame, trees: int = 100, depth: int = 10, min_leaf: i
 
 
 def train_text(
-    rows: DataFrame, max_iter: int = 50, reg: float = 0.001, labels: list[str] | None = None, words: int = 1 << 16
+    rows: DataFrame, max_iter: int = 50, reg: float = 0.001, labels: list[str] | None = None, words: int = WORD_SLOTS
 ) -> PipelineModel:
     """Router on the question text: hashed word counts, inverse document frequency, logistic.
 
-    ``words`` is the number of slots that words are hashed to.
+    ``words`` is the number of slots that words are hashed to. The text is read once; rows of ``counted_words`` need none.
     """
     names = _labels(rows, labels)
-    model = LogisticRegression(featuresCol="features", labelCol="label", family="multinomial", maxIter=max_iter, regParam=reg)
+    model = LogisticRegression(
+        featuresCol="features", labelCol="label", family="multinomial", maxIter=max_iter, regParam=reg, maxBlockSizeInMB=TEXT_BLOCK_MB
+    )
     return _fit(rows, model, False, names, words)
 
 
 def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """Add ``predicted`` (template name), ``confidence`` and ``reasoning``."""
+    """Add ``predicted`` (template name), ``confidence`` and ``reasoning``; rows of ``counted_words`` are not counted again."""
     scorable = rows if "label_name" in rows.columns else rows.withColumn("label_name", F.lit(None).cast("string"))
     indexer = model.stages[0].copy().setHandleInvalid("keep")
-    scored = PipelineModel([indexer, *model.stages[1:]]).transform(scorable)
+    counters = [s for s in model.stages if isinstance(s, (RegexTokenizer, HashingTF))]
+    done = counters if counters and counters[-1].getOutputCol() in rows.columns else []
+    scored = PipelineModel([indexer, *[s for s in model.stages[1:] if s not in done]]).transform(scorable)
     confidence = F.array_max(vector_to_array("probability")) if "probability" in scored.columns else F.col("confidence")
     return scored.withColumn("confidence", confidence).withColumn("reasoning", reasoning(confidence))
 

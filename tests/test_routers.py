@@ -77,6 +77,26 @@ def test_text_router_cross_validation(spark):
     assert summary.cv_mean_accuracy > 0.95 and summary.total_time > 0
 
 
+def test_words_are_counted_once(spark):
+    words = F.get(F.array(F.lit("sum of numbers"), F.lit("the old king"), F.lit("market price")), (F.col("id") % 3).cast("int"))
+    names = F.get(F.array(F.lit("minimal"), F.lit("standard"), F.lit("executive")), (F.col("id") % 3).cast("int"))
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(text):
+        seen.add(1)
+        return text
+
+    rows = spark.range(90).select("id", F.concat(words, F.lit(" item"), F.col("id")).alias("question"), names.alias("label_name"))
+    model = routers.train_text(rows.withColumn("question", read.asNondeterministic()("question")), max_iter=10, labels=fv.TEMPLATES)
+    assert seen.value == 90  # each text is cut once, not once for every pass of the training
+    counted = routers.counted_words(rows).drop("question").cache()
+    again = routers.train_text(counted, max_iter=10, labels=fv.TEMPLATES)
+    a = routers.score(model, rows).select("id", "predicted", F.round("confidence", 9))
+    b = routers.score(again, counted).select("id", "predicted", F.round("confidence", 9))
+    assert a.exceptAll(b).count() == 0 and b.count() == 90
+
+
 def test_fallback_templates(spark):
     df = spark.createDataFrame([(1, "minimal", None), (2, None, "technical")], "question_id bigint, simple_neural string, roberta string")
     live = requests.routed_templates(df, ["simple_neural", "roberta"], "standard").orderBy("question_id").collect()
