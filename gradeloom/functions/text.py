@@ -11,8 +11,13 @@ from gradeloom import fixed_values as fv
 
 
 def stripped(text: Column) -> Column:
-    """Text without leading and trailing whitespace (all Unicode spaces)."""
-    return F.btrim(text, F.lit(fv.WHITESPACE))
+    """Text without leading and trailing whitespace (all Unicode spaces).
+
+    Trimming by a set of characters lays out every character of the text, so it is left to texts that start or end with one of them.
+    """
+    spaces = F.lit(fv.WHITESPACE)
+    at_the_ends = F.contains(spaces, F.substring(text, 1, 1)) | F.contains(spaces, F.substring(text, -1, 1))
+    return F.when(at_the_ends, F.btrim(text, spaces)).otherwise(text)
 
 
 def is_blank(text: Column) -> Column:
@@ -21,8 +26,12 @@ def is_blank(text: Column) -> Column:
 
 
 def folded(text: Column) -> Column:
-    """Lower case, with the letters that match ``i`` and ``s`` when case is ignored written as those."""
-    return F.lower(F.translate(text, "\u0130\u0131\u017f", "iis"))
+    """Lower case, with the letters that match ``i`` and ``s`` when case is ignored written as those.
+
+    Replacing looks up every character, so only texts that hold one of the three are replaced.
+    """
+    lookalikes = "\u0130\u0131\u017f"
+    return F.lower(F.when(_any_of(text, list(lookalikes)), F.translate(text, lookalikes, "iis")).otherwise(text))
 
 
 def answer_choice(body: Column, lowered: Column) -> Column:

@@ -6,6 +6,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from gradeloom import fixed_values as fv
 from gradeloom.fixed_values import ANSWER_PATTERNS_SQL as _PATTERNS
 from gradeloom.functions import messages as ms, text as tx
 from gradeloom.operators import facts
@@ -136,3 +137,12 @@ def test_provider_label(spark):
     cases = [("openai", "gpt-4o-mini", "OpenAI-GPT4omini"), ("claude", "claude-3-Haiku-x", "Anthropic-Haiku"), ("claude", "big-sonnet", "Anthropic-Sonnet"), ("claude", "other", "Anthropic-Claude"), ("gemini", "g-2", "Google-g-2")]
     df = spark.createDataFrame(cases, "p string, m string, x string")
     assert df.where(ms.provider_label(F.col("p"), F.col("m")) != F.col("x")).count() == 0
+
+
+def test_only_texts_with_the_letters_are_trimmed_and_replaced(spark):
+    texts = ["", " ", "plain", " a", "a\u3000", "\x1ca b\x1f", "\u0130\u0131\u017fX", "A\u017f ", "\u2003", "\U0001f600 ", "\u00c4 x", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = (F.btrim("t", F.lit(fv.WHITESPACE)), F.lower(F.translate("t", "\u0130\u0131\u017f", "iis")))
+    got = df.select(tx.stripped(F.col("t")).eqNullSafe(plain[0]).alias("a"), tx.folded(F.col("t")).eqNullSafe(plain[1]).alias("b")).collect()
+    assert all(r.a and r.b for r in got)
+    assert "CASE WHEN" in str(tx.stripped(F.col("t"))) and "CASE WHEN" in str(tx.folded(F.col("t")))
