@@ -11,7 +11,7 @@ from gradeloom.catalog.registry import query
 from gradeloom.operators import facts, merge, prepare, quality, requests, routers, routing, usage
 from gradeloom.plans import consolidate, history
 from gradeloom.plans.report import response_facts
-from gradeloom.session import scratch_path
+from gradeloom.session import pin, scratch_path
 from gradeloom.sources import readers
 
 _SUCCESS = """SELECT provider, strategy, count(*) AS total, count(*) FILTER (success) AS succeeded, count(*) FILTER (NOT success) AS failed"""
@@ -121,7 +121,7 @@ SELECT t.provider, t.strategy, round(total_tokens / CAST(1000000 AS DOUBLE) * pr
 def _(spark, sf):
     rows = data.responses(spark, sf).withColumn("estimate", usage.estimated_tokens())
     graded = facts.grade(facts.classify(rows), data.answer_key(spark, sf), [*quality.GROUP, "estimate"])
-    counts = quality.funnel(graded, quality.GROUP, F.coalesce(F.sum("estimate"), F.lit(0)).alias("total_tokens"))
+    counts = pin(quality.funnel(graded, quality.GROUP, F.coalesce(F.sum("estimate"), F.lit(0)).alias("total_tokens")))
     accuracy = quality.funnel_rates(counts).withColumnRenamed("correct_pct", "accuracy_pct")
     return usage.cost_quality(counts, usage.output_prices(spark), accuracy)
 

@@ -94,3 +94,8 @@ NO_CROSS = [n for n in contract.queries() if n.startswith(("agg_", "jon_", "win_
 def test_no_cross_joins(spark, small_dir, name):
     text = plan(contract.queries()[name](spark, small_dir))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_cost_quality_reads_the_texts_once(spark, small_dir):
+    result = contract.queries()["jon_11_cost_quality"](spark, small_dir)
+    assert result.inputFiles() == [] and result.count() == 9  # cost and accuracy come from the same counted rows
