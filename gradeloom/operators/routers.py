@@ -106,7 +106,12 @@ def train_mlp(
     net = MultilayerPerceptronClassifier(
         featuresCol="features", labelCol="label", layers=[size, *hidden, len(names)], maxIter=max_iter, seed=seed
     )
-    return _fit(rows, net, True, names)
+    return _fit(_a_part_per_core(rows.select("label_name", "raw")), net, True, names)
+
+
+def _a_part_per_core(rows: DataFrame) -> DataFrame:
+    """Rows in equal parts, one a core: every iteration waits for the last task, whatever files the rows come from."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
 
 
 def decayed(weights: DenseVector, alpha: float) -> DenseVector:
@@ -137,7 +142,7 @@ def train_mlp_rounds(
     drawn = F.pmod(F.xxhash64("embedding", F.lit(seed)), F.lit(held_out)) == 0
     marked = stored(indexer.transform(rows.select("label_name", "raw", drawn.alias("held"))), "router-rows")
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(marked.where("NOT held"))
-    ready = stored(scaler.transform(marked).select("label", "features", "held"), "router-features")
+    ready = stored(_a_part_per_core(scaler.transform(marked).select("label", "features", "held")), "router-features")
     fitted, held = ready.where("NOT held"), ready.where("held")
     size = fitted.select(F.size(vector_to_array("features"))).first()[0]
     net = MultilayerPerceptronClassifier(

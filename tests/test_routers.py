@@ -115,6 +115,21 @@ def test_rounds_stop_on_the_held_out_score(rows):
     assert len(model.stages) == 4 and routers.score(model, rows.drop("label_name")).count() == 200
 
 
+def test_perceptrons_iterate_over_one_part_per_core(rows, monkeypatch):
+    parts, cores = [], rows.sparkSession.sparkContext.defaultParallelism
+    fit = routers.MultilayerPerceptronClassifier.fit
+
+    def counted(net, data):
+        parts.append(data.rdd.getNumPartitions())
+        return fit(net, data)
+
+    monkeypatch.setattr(routers.MultilayerPerceptronClassifier, "fit", counted)
+    few = rows.coalesce(2)
+    routers.train_mlp(few, hidden=(4,), max_iter=2, labels=fv.TEMPLATES)
+    routers.train_mlp_rounds(few, hidden=(4,), rounds=1, iterations=2, labels=fv.TEMPLATES)
+    assert parts == [cores, cores]
+
+
 def test_decay_has_its_closed_form(rows):
     weights = DenseVector([1.0, -2.0, 0.5])
     now = weights
