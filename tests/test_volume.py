@@ -65,3 +65,15 @@ def test_stored_lines_are_not_shuffled(spark, plain_joins, tmp_path):
     kept = merge.latest_rows(merge.named_rows(spark.read.parquet(str(tmp_path / "s"))), ["custom_id"], ["batch_id"])
     assert text_shuffles(kept) == 0
     assert {r.response for r in kept.collect()} == {f"r{k}" for k in range(10, 60)}
+
+
+@pytest.mark.parametrize("name", ["src_10_response_cache"])
+def test_cached_texts_are_not_shuffled(spark, plain_joins, tmp_path, small_dir, monkeypatch, name):
+    """Of all plans that write, and of the result's, none moves a response."""
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    kind, found = type(spark.range(0)), []
+    write = kind.write
+    monkeypatch.setattr(kind, "write", property(lambda df: found.append(text_shuffles(df)) or write.fget(df)))
+    result = contract.queries()[name](spark, small_dir)
+    assert result.count() > 0
+    assert len(found) > 3 and not any(found) and not text_shuffles(result)
