@@ -67,7 +67,7 @@ def test_stored_lines_are_not_shuffled(spark, plain_joins, tmp_path):
     assert {r.response for r in kept.collect()} == {f"r{k}" for k in range(10, 60)}
 
 
-@pytest.mark.parametrize("name", ["src_10_response_cache"])
+@pytest.mark.parametrize("name", ["src_10_response_cache", "src_10_cache_lookup"])
 def test_cached_texts_are_not_shuffled(spark, plain_joins, tmp_path, small_dir, monkeypatch, name):
     """Of all plans that write, and of the result's, none moves a response."""
     monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
