@@ -99,6 +99,16 @@ def test_a_lookup_reads_one_bucket(spark, tmp_path):
     assert cache.lookup(spark, path, "b", 10_000).collect() == [] and cache.lookup(spark, path, "zz", 77).collect() == []
 
 
+def test_bloom_filters_fit_small_files(spark, tmp_path):
+    path = str(tmp_path / "c")
+    cache.create(spark, path, 4)
+    cache.upsert(spark, path, frame(spark, [row(3 * k, "a", 0, f"t{k}") for k in range(400)]).repartition(4))
+    written = files(f"{path}/entries")
+    assert written and max(os.path.getsize(f) for f in written) < 20_000
+    for number, want in ((0, ["t0"]), (600, ["t200"]), (1197, ["t399"]), (601, []), (1200, [])):
+        assert [r.response for r in cache.lookup(spark, path, "a", number).collect()] == want
+
+
 def test_a_cache_is_made_once(spark, tmp_path):
     path = str(tmp_path / "c")
     cache.create(spark, path, 4)
