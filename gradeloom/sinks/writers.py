@@ -28,6 +28,8 @@ def rebalanced(rows: DataFrame, *columns: str) -> DataFrame:
 #: Files that a task keeps open at once, and the bytes of a Parquet row group while it does.
 OPEN_FILES = 64
 ROW_GROUP = 32 << 20
+#: Texts of run results: pages are compressed on their own, so they hold as much as the codec's window at that level can use.
+TEXTS = {"compression": "zstd", "parquet.compression.codec.zstd.level": "10", "parquet.page.size": str(16 << 20)}
 
 
 @contextmanager
@@ -85,8 +87,8 @@ def write_results(responses: DataFrame, path: str, num_questions: int, format: s
             responses.withColumn("num_questions", F.lit(num_questions))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .option("compression", "zstd" if format == "parquet" else "gzip")
             .option("parquet.block.size", ROW_GROUP)
+            .options(**(TEXTS if format == "parquet" else {"compression": "gzip"}))
             .partitionBy("num_questions", "provider", "strategy")
             .format(format)
             .save(path)

@@ -8,6 +8,7 @@ import __spark_entry__ as contract
 from gradeloom import session
 from gradeloom.catalog import data
 from gradeloom.operators import merge
+from gradeloom.sinks import writers
 
 
 @pytest.fixture
@@ -83,3 +84,14 @@ def test_cached_texts_are_not_shuffled(spark, plain_joins, tmp_path, small_dir,
     result = contract.queries()[name](spark, small_dir)
     assert result.count() > 0
     assert len(found) > 3 and not any(found) and not text_shuffles(result)
+
+
+def test_run_results_take_less_than_their_codec_alone(spark, tmp_path, small_dir):
+    """Their texts are compressed beyond zstd's own level and over more than a megabyte at once."""
+    rows = data.responses(spark, small_dir).coalesce(1)
+    writers.write_results(rows, str(tmp_path / "run"), 1)
+    rows.write.partitionBy("provider", "strategy").parquet(str(tmp_path / "plain"), compression="zstd")
+    size = {k: sum(f.stat().st_size for f in (tmp_path / k).rglob("*.parquet")) for k in ("run", "plain")}
+    assert size["run"] < 0.96 * size["plain"]
+    saved = spark.read.parquet(str(tmp_path / "run")).select("question_id", "provider", "strategy", "question", "response")
+    assert saved.exceptAll(rows.select(*saved.columns)).count() == 0 and saved.count() == rows.count()
