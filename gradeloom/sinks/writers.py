@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from gradeloom import fixed_values as fv
 from gradeloom.operators.merge import provider_totals, upsert_cache
 from gradeloom.operators.prepare import split_summary
+from gradeloom.session import FEW_GROUPS, pin, scratch_path
 
 
 def rebalanced(rows: DataFrame, *columns: str) -> DataFrame:
@@ -28,8 +29,9 @@ def rebalanced(rows: DataFrame, *columns: str) -> DataFrame:
 #: Files that a task keeps open at once, and the bytes of a Parquet row group while it does.
 OPEN_FILES = 64
 ROW_GROUP = 32 << 20
-#: Texts of run results: pages are compressed on their own, so they hold as much as the codec's window at that level can use.
-TEXTS = {"compression": "zstd", "parquet.compression.codec.zstd.level": "10", "parquet.page.size": str(16 << 20)}
+#: Pages are compressed on their own, so they hold as much as the codec's window can use; texts that are kept, at a higher level.
+PAGES = {"compression": "zstd", "parquet.page.size": str(16 << 20)}
+TEXTS = PAGES | {"parquet.compression.codec.zstd.level": "10"}
 
 
 @contextmanager
@@ -110,54 +112,95 @@ def results_documents(responses: DataFrame) -> DataFrame:
 
 
 #: Characters of text that one indented document holds, about: one task sorts and writes it.
-DOCUMENT_CHARS = 128 << 20
+DOCUMENT_CHARS = 16 << 20
+#: Level of compressed documents: half the time of the default one, which leaves 2 % less.
+GZIP_LEVEL = "FIVE"
+
+
+@contextmanager
+def whole_files(spark: SparkSession) -> Iterator[None]:
+    """Reads that cut no file: every task gets one file, whatever its size."""
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    before = [spark.conf.get(name) for name in names]
+    for name in names:
+        spark.conf.set(name, str(1 << 50))
+    try:
+        yield
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
 
 
 def write_indented_results(responses: DataFrame, path: str, files: int = 1, indent: int = 2, compression: str = "none") -> None:
     """Run results as indented documents {provider: {strategy: [row]}}, the exchange format, in at least ``files`` files.
 
-    A file is a whole document, so one task writes it; rows are dealt to files by question. Several files of
-    one run are what ``readers.read_indented_results`` reads as one. A run of more than ``files`` times ``DOCUMENT_CHARS``
-    characters gets more files, so no task sorts more than that; compressed files are then as good as plain ones to read.
+    A file is a whole document, so one task writes it. Several files of one run are what ``readers.read_indented_results``
+    reads as one. A run of more than ``files`` times ``DOCUMENT_CHARS`` characters gets more files, so no task sorts much more than that;
+    compressed files are then as good as plain ones to read.
+
+    Texts are not shuffled. Each task stores its rows, encoded, in files that hold one document each; the rows that open and end a
+    document's groups are found on the narrow columns, and each stored file is then sorted and written by the task that reads it.
     """
-    chars = sum(F.coalesce(F.sum(F.length(name)), F.lit(0)) for name in ("question", "response"))
-    files = max(files, -(-responses.agg(chars).first()[0] // DOCUMENT_CHARS)) if files > 1 else files
+    spark = responses.sparkSession
     fields = [
         "question_id", "question", "strategy", "template", "provider", "response", "success", "error", "attempts",
         "input_tokens", "output_tokens",
     ]
     pad = [" " * (indent * k) for k in range(5)]
 
+    plain = {f.name for f in responses.schema if f.dataType.simpleString() in ("bigint", "int", "boolean")}
+
     def encoded(name: str) -> Column:
-        """The column's value as JSON."""
-        return F.coalesce(F.regexp_extract(F.to_json(F.struct(F.col(name).alias("v"))), r'(?s)^\{"v":(.*)\}$', 1), F.lit(""))
+        """The scalar column's value as JSON, which ends with no brace of its own."""
+        if name in plain:
+            return F.col(name).cast("string")
+        return F.coalesce(F.rtrim(F.substring(F.to_json(F.struct(F.col(name).alias("v"))), 6, (1 << 31) - 1), F.lit("}")), F.lit(""))
 
     lines = [F.concat(F.lit(f'{pad[4]}"{f}": '), F.when(F.col(f).isNull(), "null").otherwise(encoded(f))) for f in fields]
     body = F.concat(F.lit(f"{pad[3]}{{\n"), F.concat_ws(",\n", *lines), F.lit(f"\n{pad[3]}}}"))
     keys = ["provider", "strategy", "question_id"]
-    order = Window.partitionBy("_file").orderBy(*keys)
-    pair = F.struct("provider", "strategy")
-    placed = responses.withColumn("_file", F.pmod(F.xxhash64("question_id"), F.lit(files)))
+    staged = scratch_path(spark, "document-rows")
+    rows, most = responses, 0
     if files > 1:
-        placed = placed.repartition(files, "_file")
-    dealt = placed.withColumns(
-        {"_before": F.lag(pair).over(order), "_after": F.lead(pair).over(order)}
+        chars = sum(F.coalesce(F.sum(F.length(name)), F.lit(0)) for name in ("question", "response"))
+        total, n = responses.agg(chars, F.count(F.lit(1))).first()
+        # a task's last document may be a short one, so the others may hold half as much again
+        most = max(1, min(-(-n // files), int(1.5 * n * DOCUMENT_CHARS) // max(total, 1)))
+    else:
+        rows = responses.coalesce(1)
+    rows.select(*keys, body.alias("body")).write.option("maxRecordsPerFile", most).options(**PAGES).parquet(staged)
+    stored_rows = spark.read.schema(f"provider string, strategy string, question_id {responses.schema['question_id'].dataType.simpleString()}, body string").parquet(staged).select(
+        F.col("_metadata.file_name").alias("_file"), F.struct("question_id", F.col("_metadata.row_index").alias("row")).alias("_at"), "provider", "strategy", "body"
     )
-    opens = [F.col("_before").isNull() | ~F.col(f"_before.{name}").eqNullSafe(F.col(name)) for name in ("provider", "strategy")]
-    stays = [F.col("_after").isNotNull() & F.col(f"_after.{name}").eqNullSafe(F.col(name)) for name in ("provider", "strategy")]
-    opening = F.concat(
-        F.when(F.col("_before").isNull(), "{\n").otherwise(""),
-        F.when(opens[0], F.concat(F.lit(pad[1]), encoded("provider"), F.lit(": {\n"))).otherwise(""),
-        F.when(opens[0] | opens[1], F.concat(F.lit(pad[2]), encoded("strategy"), F.lit(": [\n"))).otherwise(""),
+    order = Window.partitionBy("_file").orderBy("provider", "strategy")
+    around = {"_before": F.lag("provider").over(order), "_after": F.lead("provider").over(order), "_opens": F.row_number().over(order) == 1, "_more": F.lead(F.lit(True)).over(order)}
+    groups = stored_rows.groupBy("_file", "provider", "strategy").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last")).withColumns(around)
+    opens = F.col("_opens") | ~F.col("_before").eqNullSafe(F.col("provider"))
+    more = F.coalesce("_more", F.lit(False))
+    texts = groups.select(
+        F.col("_file").alias("f"), F.col("provider").alias("p"), F.col("strategy").alias("s"), "_first", "_last",
+        F.concat(
+            F.when(F.col("_opens"), "{\n").otherwise(""),
+            F.when(opens, F.concat(F.lit(pad[1]), encoded("provider"), F.lit(": {\n"))).otherwise(""),
+            F.concat(F.lit(pad[2]), encoded("strategy"), F.lit(": [\n")),
+        ).alias("_opening"),
+        F.when(more & F.col("_after").eqNullSafe(F.col("provider")), f"\n{pad[2]}],")
+        .when(more, f"\n{pad[2]}]\n{pad[1]}}},")
+        .otherwise(f"\n{pad[2]}]\n{pad[1]}}}\n}}").alias("_ending"),
     )
-    ending = (
-        F.when(stays[0] & stays[1], ",")
-        .when(stays[0], f"\n{pad[2]}],")
-        .when(F.col("_after").isNotNull(), f"\n{pad[2]}]\n{pad[1]}}},")
-        .otherwise(f"\n{pad[2]}]\n{pad[1]}}}\n}}")
+    pinned = pin(texts)
+    known = pinned.count()
+    own = (F.col("_file") == F.col("f")) & F.col("provider").eqNullSafe(F.col("p")) & F.col("strategy").eqNullSafe(F.col("s"))
+    if known <= FEW_GROUPS:
+        dealt = stored_rows.join(F.broadcast(pinned), own)
+    else:  # the join moves rows, so they are brought together again
+        dealt = stored_rows.join(pinned, own).repartition(pinned.select("f").distinct().count(), "_file")
+    value = F.concat(
+        F.when(F.col("_at") == F.col("_first"), F.col("_opening")).otherwise(""), "body", F.when(F.col("_at") == F.col("_last"), F.col("_ending")).otherwise(",")
     )
-    text = dealt.select("_file", *keys, F.concat(opening, body, ending).alias("value"))
-    text.sortWithinPartitions("_file", *keys).select("_file", "value").write.mode("overwrite").partitionBy("_file").text(path, compression=compression)
+    with whole_files(spark):
+        text = dealt.sortWithinPartitions("_file", "provider", "strategy", "_at").select("_file", value.alias("value"))
+        text.write.mode("overwrite").option("zlib.compress.level", GZIP_LEVEL).partitionBy("_file").text(path, compression=compression)
 
 
 def write_lines(lines: DataFrame, path: str, compression: str = "none") -> None:

@@ -42,35 +42,47 @@ def _events(tail: Column, levels: int, indent: int) -> Column:
     return F.when(F.contains(tail, F.lit('"')), F.transform(found, event)).otherwise(F.array())
 
 
-def read_ranges(spark: SparkSession, path: str, row_schema: str, levels: tuple[str, ...], indent: int = 2) -> DataFrame:
-    """(file, block, place, r, events) of every row of the documents, cut out and stored once.
+def _fixed_cuts(spark: SparkSession) -> SparkSession:
+    """A session of the same settings whose reads cut files as they are cut now, whatever settings or cores change before they run."""
+    own = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(name) or not name.startswith("spark."):
+            own.conf.set(name, value)
+    parts = spark.conf.get("spark.sql.files.minPartitionNum", None) or spark.conf.get("spark.sql.leafNodeDefaultParallelism", None)
+    own.conf.set("spark.sql.files.minPartitionNum", parts or str(spark.sparkContext.defaultParallelism))
+    return own
+
+
+def read_ranges(spark: SparkSession, path: str, levels: tuple[str, ...], indent: int = 2) -> tuple[DataFrame, DataFrame]:
+    """The rows of the documents as (file, block, place, body), read anew whenever they are used, and (file, block, place, is_row, events, other), stored once.
 
     ``place`` numbers the rows of a range without gaps. Documents in another layout are one row each, with ``other`` set to their text.
-    A row's text is stored as it stands, in one column, where values that repeat each other compress; it is parsed as it is read back.
     """
     margin = "\n" + " " * (indent * (len(levels) + 1))
-    text = spark.read.option("lineSep", margin + "{").text(path).select(
+    end = margin + "}"
+    text = _fixed_cuts(spark).read.option("lineSep", margin + "{").text(path).select(
         "value",
+        F.substring_index("value", end, 1).alias("body"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("place"),
     )
-    closed = F.contains("value", F.lit(margin + "}"))
-    body = F.substring_index("value", margin + "}", 1)
-    tail = F.when(closed, F.substring(F.col("value"), F.length(body) + len(margin) + 2, F.length("value"))).otherwise(F.col("value"))
+    # counted in bytes: positions in characters would go through every text again
+    closed = F.octet_length("body") < F.octet_length("value")
+    after = F.substring(F.col("value").cast("binary"), F.octet_length("body") + len(end) + 1, F.octet_length("value")).cast("string")
+    tail = F.when(closed, after).otherwise(F.col("value"))
     known = closed | F.col("value").rlike(rf'^\{{(\}}|\n {{{indent}}}"|\n\}})')
     rows = text.select(
         "file",
         "block",
         "place",
-        F.when(closed, body).alias("body"),
         closed.alias("is_row"),
         F.when(known, _events(tail, len(levels), indent)).otherwise(F.array()).alias("events"),
         F.when(~known & (F.trim("value") != ""), F.col("value")).alias("other"),
     )
     target = scratch_path(spark, "ranges")
     rows.write.parquet(target, compression="zstd")
-    return spark.read.parquet(target).withColumn("r", F.from_json(F.concat(F.lit("{"), "body", F.lit("}")), row_schema)).drop("body")
+    return text.where(closed).select("file", "block", "place", "body"), spark.read.schema(rows.schema).parquet(target)
 
 
 def _groups(rows: DataFrame, levels: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
@@ -102,11 +114,13 @@ def read_indented(spark: SparkSession, path: str, row_type: str, levels: tuple[s
     A document in any other layout is parsed as before, one file in one task. A document that breaks off within a
     row loses that row.
     """
-    rows = read_ranges(spark, path, row_type, levels, indent)
+    texts, rows = read_ranges(spark, path, levels, indent)
     intervals, empty = _groups(rows, levels)
     intervals = per_group(intervals).withColumnsRenamed({"file": "_file", "block": "_block"})
     inside = (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")) & (F.col("place") > F.col("after")) & (F.col("place") <= F.col("until"))
-    placed = rows.where("is_row").join(intervals, inside).select(
+    # parsed below the join, where one field's use cannot ask for a parse of its own
+    parsed = texts.select("file", "block", "place", F.from_json(F.concat(F.lit("{"), "body", F.lit("}")), row_type).alias("r"))
+    placed = intervals.join(parsed, inside).select(
         *levels, (F.col("earlier") + F.col("place") - F.col("after") - 1).cast("int").alias("position"), "r"
     )
     nothing = empty.select(*levels, F.lit(None).cast("int").alias("position"), F.lit(None).cast(row_type).alias("r"))

@@ -107,3 +107,28 @@ def test_long_runs_get_more_documents(spark, tmp_path, make_responses, monkeypat
     assert 6 <= len(list((tmp_path / "out").rglob("*.txt.gz"))) <= 9
     got = readers.read_indented_results(spark, str(tmp_path / "out"))
     assert sorted((r.question_id, r.response) for r in got.collect()) == [(k, "x" * 100) for k in range(80)]
+
+
+def test_later_settings_do_not_move_rows(spark, tmp_path, small_ranges):
+    """The rows are read again when they are used; files are then cut as they were when the groups were found."""
+    documents = [run(8, 3, [0, 1, 7]), run(9, 1, [40]), run(10, 2, [5])]
+    for k, d in enumerate(documents):
+        (tmp_path / f"d{k}.json").write_text(json.dumps(d, indent=2))
+    got = readers.read_indented_results(spark, str(tmp_path))
+    for size, cost in (("200b", "1b"), ("128m", "4m")):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+        assert found(got) == flat(documents)
+
+
+def test_documents_of_many_groups(spark, tmp_path, make_responses, monkeypatch):
+    """More groups than are broadcast, some without a name: each document is still whole and in order."""
+    from gradeloom.sinks import writers
+
+    monkeypatch.setattr(writers, "FEW_GROUPS", 3)
+    rows = make_responses(*[{"provider": p, "strategy": s, "question_id": k, "response": ODD[k % len(ODD)]} for k in range(9) for p in ("b", "a") for s in ("y", "x")])
+    writers.write_indented_results(rows.coalesce(3), str(tmp_path / "out"), files=2)
+    texts = [f.read_text() for f in (tmp_path / "out").rglob("*.txt")]
+    assert 2 <= len(texts) <= 4 and all(json.dumps(json.loads(t), indent=2, ensure_ascii=False) + "\n" == t for t in texts)
+    got = readers.read_indented_results(spark, str(tmp_path / "out"))
+    assert sorted((r.provider, r.strategy, r.question_id, r.response) for r in got.na.fill("").collect()) == sorted((r.provider, r.strategy, r.question_id, r.response or "") for r in rows.collect())

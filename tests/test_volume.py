@@ -95,3 +95,34 @@ def test_run_results_take_less_than_their_codec_alone(spark, tmp_path, small_dir
     assert size["run"] < 0.96 * size["plain"]
     saved = spark.read.parquet(str(tmp_path / "run")).select("question_id", "provider", "strategy", "question", "response")
     assert saved.exceptAll(rows.select(*saved.columns)).count() == 0 and saved.count() == rows.count()
+
+
+@pytest.fixture
+def fixed_plans(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def wide_shuffles(df):
+    """Shuffles of the plan that carry a question, a response or a whole row's text."""
+    nodes, found = [df._jdf.queryExecution().executedPlan()], 0
+    while nodes:
+        node = nodes.pop()
+        children = node.children()
+        nodes += [children.apply(k) for k in range(children.size())]
+        found += node.nodeName() == "Exchange" and any(f"{name}#" in node.output().mkString(",") for name in ("question", "response", "body", "value"))
+    return found
+
+
+def test_documents_take_little_more_than_themselves(spark, fixed_plans, tmp_path, small_dir, monkeypatch):
+    """No plan that writes or reads them shuffles a response, and beside the documents the texts are stored once more at most."""
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    kind, found = type(spark.range(0)), []
+    write = kind.write
+    monkeypatch.setattr(kind, "write", property(lambda df: found.append(wide_shuffles(df)) or write.fget(df)))
+    result = contract.queries()["src_04_results_documents"](spark, small_dir)
+    assert result.count() > 0
+    assert len(found) >= 3 and not any(found) and not wide_shuffles(result)
+    size = {k.name.rsplit("-", 1)[0]: sum(f.stat().st_size for f in k.rglob("*") if f.is_file()) for k in tmp_path.iterdir()}
+    assert sum(size.values()) < 1.5 * size["results-documents"]
