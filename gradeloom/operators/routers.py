@@ -7,14 +7,16 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import HashingTF, IDF, IndexToString, RegexTokenizer, SQLTransformer, StandardScaler, StringIndexer, StringIndexerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gradeloom import fixed_values as fv
+from gradeloom.operators import perceptron
 from gradeloom.operators.ranking import stratified_folds
 from gradeloom.operators.routing import weighted_scores
 from gradeloom.session import stored
@@ -103,10 +105,32 @@ def train_mlp(
     """Neural router on scaled embeddings."""
     names = _labels(rows, labels)
     size = width or rows.select(F.size("embedding")).first()[0]
-    net = MultilayerPerceptronClassifier(
-        featuresCol="features", labelCol="label", layers=[size, *hidden, len(names)], maxIter=max_iter, seed=seed
-    )
-    return _fit(_a_part_per_core(rows.select("label_name", "raw")), net, True, names)
+    indexer = StringIndexerModel.from_labels(names, inputCol="label_name", outputCol="label", handleInvalid="error")
+    marked = rows.select("label_name", "raw")
+    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(marked)
+    ready = stored(_trainable(_a_part_per_core(scaler.transform(indexer.transform(marked)).select("label", "features"))), "router-features")
+    net = _net([size, *hidden, len(names)], max_iter, seed)
+    naming = IndexToString(inputCol="prediction", outputCol="predicted", labels=names)
+    if not perceptron.worth(ready):
+        return PipelineModel([indexer, scaler, net.fit(ready), naming])
+    weights = perceptron.minimise(perceptron.objective(ready.select("values", "label"), net.getLayers()), perceptron.start(net.getLayers(), seed), max_iter)
+    return PipelineModel([indexer, scaler, _with_weights(net, weights, ready), naming])
+
+
+def _net(layers: list[int], max_iter: int, seed: int) -> MultilayerPerceptronClassifier:
+    return MultilayerPerceptronClassifier(featuresCol="features", labelCol="label", layers=layers, maxIter=max_iter, seed=seed)
+
+
+def _with_weights(net: MultilayerPerceptronClassifier, weights: np.ndarray, rows: DataFrame) -> MultilayerPerceptronClassificationModel:
+    """Spark's model with the given weights: its own optimiser starts from them and evaluates them once over the rows."""
+    model = net.copy().setInitialWeights(DenseVector(weights)).setMaxIter(0).fit(rows)
+    model.set(model.maxIter, net.getMaxIter())
+    return model
+
+
+def _trainable(rows: DataFrame) -> DataFrame:
+    """Rows with their features as floats, too, as ``perceptron`` reads them."""
+    return rows.withColumn("values", vector_to_array("features", "float32"))
 
 
 def _a_part_per_core(rows: DataFrame) -> DataFrame:

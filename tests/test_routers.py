@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gradeloom import fixed_values as fv
 from gradeloom.catalog import data
-from gradeloom.operators import requests, routers, routing
+from gradeloom.operators import perceptron, requests, routers, routing
 from gradeloom.operators.ranking import stratified_folds
 
 
@@ -174,3 +174,42 @@ def test_metric_files_hold_the_trained_routers(spark, small_dir):
     held = spark.read.parquet(f"{small_dir}/embeddings.parquet").where("vec_id % 5 = 0").count()
     assert rows["logistic"].questions == rows["forest"].questions == held
     assert rows["logistic"].accurate is not None and rows["constant"].accuracy is not None
+
+
+def test_perceptron_gradient_is_that_of_its_loss(spark):
+    layers, draw = [3, 4, 2], np.random.default_rng(1)
+    x, y, weights = draw.normal(size=(20, 3)), draw.integers(0, 2, 20), perceptron.start([3, 4, 2], 1)
+    total = np.zeros(len(weights))
+    loss = perceptron.add_gradient(layers, weights, x, y, total)
+    for k in range(len(weights)):
+        moved = weights + 1e-5 * np.eye(len(weights))[k]
+        assert abs((perceptron.add_gradient(layers, moved, x, y, np.zeros(len(weights))) - loss) / 1e-5 - total[k]) < 1e-3
+    rows = spark.createDataFrame([(list(map(float, a)), float(b)) for a, b in zip(x, y)], "values array<float>, label double").repartition(4)
+    value, gradient = perceptron.objective(rows, layers)(weights)
+    assert abs(value - loss / 20) < 1e-6 and np.allclose(gradient, total / 20, atol=1e-6)
+
+
+def test_perceptron_weights_are_those_of_the_model(rows, monkeypatch):
+    """Spark's model answers with the shares that the trained weights give, and its own trainer finds nothing much better."""
+    kept = []
+    monkeypatch.setattr(perceptron, "LEAST_ROWS", 0)
+    found = perceptron.minimise
+    monkeypatch.setattr(perceptron, "minimise", lambda *a, **b: kept.append(found(*a, **b)) or kept[-1])
+    model = routers.train_mlp(rows, hidden=(6,), max_iter=60, labels=fv.TEMPLATES)
+    assert np.allclose(model.stages[2].weights.toArray(), kept[0]) and model.stages[2].getMaxIter() == 60
+    scaled = model.stages[1].transform(rows).select("features").collect()
+    x = np.array([r[0].toArray() for r in scaled])
+    z = perceptron._activations(perceptron._views([5, 6, 5], kept[0]), x)[-1]
+    share = np.exp(z - z.max(axis=1, keepdims=True))
+    share /= share.sum(axis=1, keepdims=True)
+    got = np.array([r.confidence for r in routers.score(model, rows).select("confidence").collect()])
+    assert np.allclose(got, share.max(axis=1), atol=1e-6)
+
+
+def test_minimise_finds_the_minimum_of_a_narrow_valley():
+    def valley(w):
+        a, b = w
+        return (1 - a) ** 2 + 100 * (b - a * a) ** 2, np.array([-2 * (1 - a) - 400 * a * (b - a * a), 200 * (b - a * a)])
+
+    assert np.allclose(perceptron.minimise(valley, np.array([-1.2, 1.0]), 200, 1e-12), [1, 1], atol=1e-3)
+    assert perceptron.minimise(valley, np.array([-1.2, 1.0]), 0).tolist() == [-1.2, 1.0]
