@@ -157,7 +157,7 @@ def train_mlp_rounds(
 ) -> tuple[PipelineModel, list[float]]:
     """Neural router that is trained in rounds, with early stopping and weight decay; also the held-out accuracy of every round.
 
-    Spark's perceptron has neither, but it starts from given weights. So a round is a few iterations from the last round's weights
+    Spark's perceptron has neither. A round is a few iterations from the last round's weights
     after their decay. One row in ``held_out``, drawn by a hash of its embedding, is never fitted; training ends when the accuracy on those rows has
     not risen by ``least_gain`` for ``patience`` rounds, and the best round's weights stay.
     """
@@ -166,27 +166,31 @@ def train_mlp_rounds(
     drawn = F.pmod(F.xxhash64("embedding", F.lit(seed)), F.lit(held_out)) == 0
     marked = stored(indexer.transform(rows.select("label_name", "raw", drawn.alias("held"))), "router-rows")
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(marked.where("NOT held"))
-    ready = stored(_a_part_per_core(scaler.transform(marked).select("label", "features", "held")), "router-features")
+    ready = stored(_trainable(_a_part_per_core(scaler.transform(marked).select("label", "features", "held"))), "router-features")
     fitted, held = ready.where("NOT held"), ready.where("held")
-    size = fitted.select(F.size(vector_to_array("features"))).first()[0]
-    net = MultilayerPerceptronClassifier(
-        featuresCol="features", labelCol="label", layers=[size, *hidden, len(names)], maxIter=iterations, seed=seed
-    )
-    scores, best, last = [], None, None
+    size = fitted.select(F.size("values")).first()[0]
+    net = _net([size, *hidden, len(names)], iterations, seed)
+    layers = net.getLayers()
+    evaluate = perceptron.objective(fitted.select("values", "label"), layers) if perceptron.worth(fitted) else None
+    scores, best, last, model = [], None, None, None
     for _ in range(rounds):
-        if last is not None:
-            net = net.copy().setInitialWeights(decayed(last.weights, alpha))
-        last = net.fit(fitted)
-        reached = last.transform(held).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0] or 0.0
+        first = None if last is None else decayed(DenseVector(last), alpha)
+        if evaluate:
+            last = perceptron.minimise(evaluate, perceptron.start(layers, seed) if first is None else first.toArray(), iterations)
+        else:
+            model = (net if first is None else net.copy().setInitialWeights(first)).fit(fitted)
+            last = model.weights.toArray()
+        reached = perceptron.accuracy(held.select("values", "label"), layers, last)
         if best is None or reached >= max(scores) + least_gain:
-            best, since = last, 0
+            best, since = (last, model), 0
         else:
             since += 1
         scores.append(reached)
         if since >= patience:
             break
     naming = IndexToString(inputCol="prediction", outputCol="predicted", labels=names)
-    return PipelineModel([indexer, scaler, best, naming]), scores
+    weights, model = best
+    return PipelineModel([indexer, scaler, model or _with_weights(net, weights, fitted), naming]), scores
 
 
 #: Keys that a lookup router may have; they stand in its statement.

@@ -206,6 +206,16 @@ def test_perceptron_weights_are_those_of_the_model(rows, monkeypatch):
     assert np.allclose(got, share.max(axis=1), atol=1e-6)
 
 
+def test_rounds_over_many_rows_stop_on_the_held_out_score(rows, monkeypatch):
+    monkeypatch.setattr(perceptron, "LEAST_ROWS", 0)
+    fits = []
+    fit = routers.MultilayerPerceptronClassifier.fit
+    monkeypatch.setattr(routers.MultilayerPerceptronClassifier, "fit", lambda net, data: fits.append(net.getMaxIter()) or fit(net, data))
+    model, scores = routers.train_mlp_rounds(rows, hidden=(12,), rounds=6, iterations=30, patience=2, labels=fv.TEMPLATES)
+    assert fits == [0] and accuracy(model, rows) > 90 and len(scores) <= 6
+    assert scores.index(max(scores)) == len(scores) - 3 or len(scores) == 6
+
+
 def test_minimise_finds_the_minimum_of_a_narrow_valley():
     def valley(w):
         a, b = w
